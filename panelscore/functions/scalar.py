@@ -86,3 +86,8 @@ def sum_of(columns: Sequence[Column]) -> Column:
     for column in columns:
         out = out + F.coalesce(column, F.lit(0.0))
     return out
+
+
+def micros(at: Column) -> Column:
+    """Microseconds since 1970 of a timestamp with or without time zone."""
+    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), at)

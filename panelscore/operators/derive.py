@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelscore.functions.scalar import half_even, pct_change
+from panelscore.functions.scalar import col, half_even, pct_change
 from panelscore.schema import ENTITY, FLAG, INDICATOR, LONG_COLUMNS, PERIOD, SOURCE, VALUE
 
 def series():
@@ -142,6 +142,59 @@ def _emit(rule: Derivation) -> Column:
     )
 
 
+def derive_columns(wide: DataFrame, rules: Sequence[Derivation]) -> DataFrame:
+    """The same rules on a wide panel, as columns.
+
+    Every series steps over its own gaps (``lag`` and ``lead`` ignoring nulls), so nothing is
+    reshaped: all series share one exchange by entity and one sort. Ratios are row expressions.
+    A defined derived cell wins over an existing one; an undefined one leaves it (P6).
+    """
+    over = "OVER (PARTITION BY entity ORDER BY period)"
+    steps: dict[str, dict[int, Column]] = {}
+    needs = {"yoy": (-1,), "diff_bps": (-1,), "trailing_gap": (-2, -1), "lag3": (-3,), "centered": (-2, -1, 1, 2)}
+    for rule in rules:
+        for step in needs.get(rule.rule, ()):
+            function = "lag" if step < 0 else "lead"
+            at = F.expr(f"{function}(`{rule.base}`, {abs(step)}) IGNORE NULLS {over}")
+            steps.setdefault(rule.base, {})[step] = at.alias(f"_{rule.base}_{step}")
+    staged = wide.select("*", *[c for found in steps.values() for c in found.values()])
+
+    def moved(rule: Derivation, step: int) -> Column:
+        return F.col(f"`_{rule.base}_{step}`")
+
+    def mean(columns: Sequence[Column], least: int) -> Column:
+        total, n = F.lit(0.0), F.lit(0)
+        for c in columns:
+            total, n = total + F.coalesce(c, F.lit(0.0)), n + F.when(c.isNotNull(), 1).otherwise(0)
+        return F.when(n >= least, total / n)
+
+    def result(rule: Derivation) -> Column:
+        v = col(rule.base)
+        if rule.rule == "ratio":
+            return F.try_divide(v, F.when(col(rule.other) > 0, col(rule.other)))
+        if rule.rule == "level":
+            return v
+        if rule.rule == "yoy":
+            return pct_change(v, moved(rule, -1))
+        if rule.rule == "diff_bps":
+            return (v - moved(rule, -1)) * 100.0
+        if rule.rule == "lag3":
+            return v - moved(rule, -3)
+        if rule.rule == "trailing_gap":
+            return v - mean([moved(rule, -2), moved(rule, -1), v], 2)
+        trend = mean([moved(rule, s) for s in (-2, -1)] + [v] + [moved(rule, s) for s in (1, 2)], 3)
+        return F.when(v.isNotNull() & (trend > 0), pct_change(v, trend))
+
+    derived = {}
+    for rule in rules:
+        value = half_even(result(rule), rule.digits)
+        if rule.only_entity is not None:
+            value = F.when(F.col(ENTITY) == rule.only_entity.upper(), value)
+        derived[rule.code] = F.coalesce(value, col(rule.code)) if rule.code in wide.columns else value
+    kept = [col(c) for c in wide.columns if c not in derived]
+    return staged.select(*kept, *[e.alias(c) for c, e in derived.items()])
+
+
 def year_end(df: DataFrame, keys: Sequence[str], sub_period: str, value: str, digits: int | None = 4) -> DataFrame:
     """The last sub-period present represents the year; combined before the shuffle."""
     return df.groupBy(*keys).agg(half_even(F.max_by(value, sub_period), digits).alias(VALUE))

@@ -3,10 +3,12 @@
 The panel stays wide, one row per (entity, period). That fixes the whole layout:
 
 * peer statistics: one partially aggregated ``groupBy(period, peer_group)`` over all indicators,
-  joined back. The statistics have one row per group and period; AQE broadcasts them when they are
-  small and otherwise splits a hot group (skew join). No window over a peer group exists.
+  written out and joined back. Catalyst broadcasts that table when its files are small and otherwise
+  shuffles, where AQE splits a hot group (skew join). No window over a peer group exists.
 * own history: one exchange by entity; all indicators and the trend share its sort. An entity has
   at most one row per period, so a window partition is bounded by the calendar.
+* the panel is read twice (statistics, scores), so it should be a table or pinned. Everything after
+  it is deterministic to the last bit, which ranks and self-joins on scores rely on.
 * blend, pillars, sectors, completeness, composite: row expressions, no further shuffle. The driver
   table and top-k drivers unfold from the row as well.
 """
@@ -29,6 +31,7 @@ from panelscore.functions.scalar import (
 )
 from panelscore.model import Indicator, Model, pillar_column, sector_column
 from panelscore.schema import ENTITY, PEER_GROUP, PERIOD, require
+from panelscore.session import pin
 
 NO_GROUP = "__all__"
 KEYS = (ENTITY, PERIOD, PEER_GROUP)
@@ -69,7 +72,8 @@ def peer_statistics(values: DataFrame, numbers: Sequence[int]) -> DataFrame:
 
 
 def with_peer_statistics(values: DataFrame, numbers: Sequence[int]) -> DataFrame:
-    stats = peer_statistics(values, numbers)
+    # A small table of its own: written once, its real size decides between broadcast and shuffle.
+    stats = pin(peer_statistics(values, numbers))
     on = (F.col(PERIOD) == F.col("_period")) & (F.coalesce(F.col(PEER_GROUP), F.lit(NO_GROUP)) == F.col("_group"))
     return values.join(stats, on, "left").drop("_period", "_group")
 

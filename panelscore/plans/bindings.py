@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelscore.functions.scalar import micros
 from panelscore.model import Episode, Indicator, Model, Preset, ScoringParams
-from panelscore.operators.clean import finalize, to_wide
-from panelscore.operators.derive import Derivation, derive
+from panelscore.operators.clean import finalize
+from panelscore.operators.derive import Derivation, derive, derive_columns
 from panelscore.schema import ENTITY, FLAG, INDICATOR, PEER_GROUP, PERIOD, SEQ, SOURCE, VALUE
+from panelscore.session import pin
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -94,53 +96,60 @@ def nation_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Wide base series per nation and year.
 
     Facts are aggregated by their own foreign key first. A customer or supplier with a third of all
-    rows then leaves every task as a handful of rows, and the joins move aggregates, not facts.
+    rows then leaves every task as a handful of rows, and the joins move aggregates, not facts. Both
+    sides meet in one union and one more ``groupBy`` instead of an outer join.
     """
-    nations = nation_dimension(spark, sf_dir).select("n_nationkey", ENTITY)
     orders = (
         read(spark, sf_dir, "orders")
         .groupBy("o_custkey", F.year("o_orderdate").cast("int").alias(PERIOD))
         .agg(
-            F.count(F.lit(1)).alias("n"),
+            F.count(F.lit(1)).alias("orders"),
             F.sum("o_totalprice").alias("price"),
             F.count_if(F.col("o_orderstatus") == "O").alias("open"),
             F.count_if(F.col("o_orderpriority") == "1-URGENT").alias("urgent"),
         )
-        .join(read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
-        .groupBy("c_nationkey", PERIOD)
-        .agg(*[F.sum(c).alias(c) for c in ("n", "price", "open", "urgent")])
-        .select(
-            F.col("c_nationkey").alias("n_nationkey"),
-            PERIOD,
-            (F.col("price") / F.col("n")).alias("AVG_ORDER_VALUE"),
-            F.col("n").cast("double").alias("ORDER_COUNT"),
-            (F.col("open") / F.col("n")).alias("OPEN_SHARE"),
-            (F.col("urgent") / F.col("n")).alias("URGENT_SHARE"),
+        .join(
+            read(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("n_nationkey")),
+            F.col("o_custkey") == F.col("c_custkey"),
         )
+        .drop("o_custkey", "c_custkey")
     )
     lines = (
         read(spark, sf_dir, "lineitem")
         .groupBy("l_suppkey", F.year("l_shipdate").cast("int").alias(PERIOD))
         .agg(
-            F.count(F.lit(1)).alias("n"),
+            F.count(F.lit(1)).alias("lines"),
             F.sum("l_discount").alias("discount"),
             F.sum("l_tax").alias("tax"),
             F.count_if(F.col("l_returnflag") == "R").alias("returned"),
         )
-        .join(read(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
-        .groupBy("s_nationkey", PERIOD)
-        .agg(*[F.sum(c).alias(c) for c in ("n", "discount", "tax", "returned")])
-        .select(
-            F.col("s_nationkey").alias("n_nationkey"),
-            PERIOD,
-            (F.col("discount") / F.col("n")).alias("AVG_DISCOUNT"),
-            (F.col("tax") / F.col("n")).alias("AVG_TAX"),
-            (F.col("returned") / F.col("n")).alias("RETURN_SHARE"),
-            F.col("n").cast("double").alias("LINE_COUNT"),
+        .join(
+            read(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("n_nationkey")),
+            F.col("l_suppkey") == F.col("s_suppkey"),
         )
+        .drop("l_suppkey", "s_suppkey")
     )
-    return orders.join(lines, ["n_nationkey", PERIOD], "full").join(nations, "n_nationkey").select(
-        ENTITY, PERIOD, *NATION_BASE
+    parts = ("orders", "price", "open", "urgent", "lines", "discount", "tax", "returned")
+    cells = (
+        orders.unionByName(lines, allowMissingColumns=True)
+        .groupBy("n_nationkey", PERIOD)
+        .agg(*[F.sum(c).alias(c) for c in parts])
+    )
+
+    def per(total: str, n: str) -> Column:
+        return F.try_divide(F.col(total), F.col(n))
+
+    return cells.join(nation_dimension(spark, sf_dir).select("n_nationkey", ENTITY), "n_nationkey").select(
+        ENTITY,
+        PERIOD,
+        per("price", "orders").alias("AVG_ORDER_VALUE"),
+        F.col("orders").cast("double").alias("ORDER_COUNT"),
+        per("open", "orders").alias("OPEN_SHARE"),
+        per("urgent", "orders").alias("URGENT_SHARE"),
+        per("discount", "lines").alias("AVG_DISCOUNT"),
+        per("tax", "lines").alias("AVG_TAX"),
+        per("returned", "lines").alias("RETURN_SHARE"),
+        F.col("lines").cast("double").alias("LINE_COUNT"),
     )
 
 
@@ -161,10 +170,10 @@ def nation_full_long(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def nation_year(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Wide panel with peer group: the input of scoring."""
-    wide = to_wide(nation_full_long(spark, sf_dir), NATION_MODEL.codes)
+    """Wide panel with peer group: the input of scoring, written once because scoring reads it twice."""
+    wide = derive_columns(nation_base(spark, sf_dir), NATION_DERIVED)
     groups = nation_dimension(spark, sf_dir).select(ENTITY, PEER_GROUP)
-    return wide.join(F.broadcast(groups), ENTITY)
+    return pin(wide.join(F.broadcast(groups), ENTITY).select(ENTITY, PEER_GROUP, PERIOD, *NATION_MODEL.codes))
 
 
 SUPPLIER_MODEL = Model(
@@ -193,12 +202,13 @@ def supplier_month(spark: SparkSession, sf_dir: str) -> DataFrame:
         nation_dimension(spark, sf_dir).select("n_nationkey", F.col(ENTITY).alias("nation")),
         F.col("s_nationkey") == F.col("n_nationkey"),
     )
-    return facts.join(suppliers.select("s_suppkey", "nation"), F.col("l_suppkey") == F.col("s_suppkey")).select(
+    panel = facts.join(suppliers.select("s_suppkey", "nation"), F.col("l_suppkey") == F.col("s_suppkey")).select(
         F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias(ENTITY),
         F.col("nation").alias(PEER_GROUP),
         PERIOD,
         *SUPPLIER_MODEL.codes,
     )
+    return pin(panel)
 
 
 # Plausibility bounds of the event indicators (low, high).
@@ -230,14 +240,14 @@ def event_obs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("event_id") % 97 == 0, "n/a").otherwise(F.col("value").cast("string")).alias(VALUE),
         F.concat(F.lit("feed-"), (F.col("user_id") % 3).cast("string")).alias(SOURCE),
         # Microseconds order the arrivals; the id breaks ties.
-        (F.unix_micros("ts") * 1000 + F.col("event_id") % 1000).alias(SEQ),
+        (micros(F.col("ts")) * 1000 + F.col("event_id") % 1000).alias(SEQ),
     )
 
 
 def user_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scale panel: user x day, one column per event type, peer group = user modulo 5."""
     cells = [F.avg(F.when(F.col("event_type") == t, F.col("value"))).alias(t) for t in EVENT_TYPES]
-    return (
+    return pin(
         read(spark, sf_dir, "events")
         .groupBy("user_id", event_day().alias(PERIOD))
         .agg(*cells)
