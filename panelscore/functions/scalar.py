@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -45,12 +43,6 @@ def band_order(name: Column) -> Column:
     return out.otherwise(-1)
 
 
-def signal_to_score(signal: Column) -> Column:
-    """50 + 18 x, clipped to 0..100. ``greatest`` and ``least`` skip nulls, hence the guard."""
-    raw = F.lit(SCORE_CENTRE) + F.lit(SCORE_SLOPE) * signal
-    return F.when(signal.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(100.0), raw)))
-
-
 def half_even(value: Column, digits: int | None) -> Column:
     """Round half to even; ``None`` leaves the value as it is."""
     return value if digits is None else F.bround(value, digits)
@@ -60,34 +52,6 @@ def pct_change(value: Column, base: Column) -> Column:
     return F.try_divide(value - base, base) * 100.0
 
 
-def zscore(value: Column, mean: Column, std: Column, n: Column, min_obs: int) -> Column:
-    """Null below ``min_obs``; exactly 0 where the spread is 0, also for a null value."""
-    return (
-        F.when(n < min_obs, F.lit(None).cast("double"))
-        .when(std == 0.0, 0.0)
-        .otherwise(F.try_divide(value - mean, std))
-    )
-
-
-def weighted_mean(values: Sequence[Column], weights: Sequence[float]) -> Column:
-    """Mean over the values present, weights renormalised over them; null when none is present."""
-    if not values:
-        return F.lit(None).cast("double")
-    total = F.lit(0.0)
-    weight = F.lit(0.0)
-    for value, w in zip(values, weights):
-        total = total + F.coalesce(value * w, F.lit(0.0))
-        weight = weight + F.when(value.isNotNull(), w).otherwise(0.0)
-    return F.try_divide(total, F.when(weight != 0.0, weight))
-
-
-def sum_of(columns: Sequence[Column]) -> Column:
-    out = F.lit(0.0)
-    for column in columns:
-        out = out + F.coalesce(column, F.lit(0.0))
-    return out
-
-
 def micros(at: Column) -> Column:
     """Microseconds since 1970 of a timestamp with or without time zone."""
     return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), at)

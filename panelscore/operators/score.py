@@ -11,34 +11,29 @@ The panel stays wide, one row per (entity, period). That fixes the whole layout:
   it is deterministic to the last bit, which ranks and self-joins on scores rely on.
 * blend, pillars, sectors, completeness, composite: row expressions, no further shuffle. The driver
   table and top-k drivers unfold from the row as well.
+
+Column names: v<n> value, zp<n> peer z, zt<n> history z, zc<n> blend of indicator number n.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelscore.functions.scalar import (
-    band,
-    col,
-    nan_to_null,
-    signal_to_score,
-    sum_of,
-    weighted_mean,
-    zscore,
-)
+from panelscore.functions import text as t
 from panelscore.model import Indicator, Model, pillar_column, sector_column
 from panelscore.schema import ENTITY, PEER_GROUP, PERIOD, require
 from panelscore.session import pin
 
 NO_GROUP = "__all__"
 KEYS = (ENTITY, PERIOD, PEER_GROUP)
+SEEN = f"OVER (PARTITION BY {ENTITY} ORDER BY {PERIOD} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
 
 
-def _present(panel: DataFrame, model: Model) -> list[tuple[int, Indicator]]:
-    found = [(n, i) for n, i in enumerate(model.indicators) if i.code in panel.columns]
+def present(panel: DataFrame, model: Model) -> list[int]:
+    found = [n for n, i in enumerate(model.indicators) if i.code in panel.columns]
     if not found:
         raise ValueError("no configured indicator was found in the panel")
     return found
@@ -51,317 +46,274 @@ def prepare(panel: DataFrame, model: Model, peers: DataFrame | None = None) -> D
         panel = panel.drop(PEER_GROUP).join(peers.select(ENTITY, PEER_GROUP), ENTITY, "left")
     elif PEER_GROUP not in panel.columns:
         panel = panel.withColumn(PEER_GROUP, F.lit(None).cast("string"))
-    return panel.select(
-        F.upper(F.col(ENTITY).cast("string")).alias(ENTITY),
-        F.col(PERIOD).cast("int").alias(PERIOD),
+    return panel.selectExpr(
+        f"upper(CAST({ENTITY} AS STRING)) AS {ENTITY}",
+        f"CAST({PERIOD} AS INT) AS {PERIOD}",
         PEER_GROUP,
-        *[nan_to_null(col(i.code).cast("double")).alias(f"v{n}") for n, i in _present(panel, model)],
+        # NaN counts as missing.
+        *[
+            f"nullif(CAST(`{model.indicators[n].code}` AS DOUBLE), CAST('NaN' AS DOUBLE)) AS v{n}"
+            for n in present(panel, model)
+        ],
     )
 
 
-def _group_key() -> Column:
-    # Entities without a group are compared with each other.
-    return F.coalesce(F.col(PEER_GROUP), F.lit(NO_GROUP)).alias("_group")
-
-
 def peer_statistics(values: DataFrame, numbers: Sequence[int]) -> DataFrame:
-    """n, mean and population std per (period, group) and indicator."""
-    return values.groupBy(F.col(PERIOD).alias("_period"), _group_key()).agg(
-        *[f(f"v{n}").alias(f"{p}{n}") for n in numbers for p, f in (("pn", F.count), ("pm", F.avg), ("ps", F.stddev_pop))]
-    )
+    """n, mean and population std per (period, group) and indicator.
+
+    Entities without a group are compared with each other.
+    """
+    aggregates = [
+        F.expr(f"{function}(v{n}) AS {prefix}{n}")
+        for n in numbers
+        for prefix, function in (("pn", "count"), ("pm", "avg"), ("ps", "stddev_pop"))
+    ]
+    return values.groupBy(
+        F.col(PERIOD).alias("_period"), F.expr(f"coalesce({PEER_GROUP}, '{NO_GROUP}')").alias("_group")
+    ).agg(*aggregates)
 
 
 def with_peer_statistics(values: DataFrame, numbers: Sequence[int]) -> DataFrame:
     # A small table of its own: written once, its real size decides between broadcast and shuffle.
     stats = pin(peer_statistics(values, numbers))
-    on = (F.col(PERIOD) == F.col("_period")) & (F.coalesce(F.col(PEER_GROUP), F.lit(NO_GROUP)) == F.col("_group"))
+    on = F.expr(f"{PERIOD} = _period AND coalesce({PEER_GROUP}, '{NO_GROUP}') = _group")
     return values.join(stats, on, "left").drop("_period", "_group")
 
 
-def peer_z(n: int, model: Model) -> Column:
+def peer_z(n: int, model: Model, v: str | None = None) -> str:
     """Z2 from joined statistics."""
-    return zscore(F.col(f"v{n}"), F.col(f"pm{n}"), F.col(f"ps{n}"), F.col(f"pn{n}"), model.params.min_peer_obs)
-
-
-def history_z(n: int, model: Model) -> Column:
-    """Expanding window, this row and everything before it; never a later one."""
-    seen = Window.partitionBy(ENTITY).orderBy(PERIOD).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    v = F.col(f"v{n}")
-    return zscore(
-        v, F.avg(v).over(seen), F.stddev_pop(v).over(seen), F.count(v).over(seen), model.params.min_history_obs
-    )
+    return t.zscore(v or f"v{n}", f"pm{n}", f"ps{n}", f"pn{n}", model.params.min_peer_obs)
 
 
-def blend(z_time: Column, z_peer: Column, model: Model) -> Column:
+def blend(z_time: str, z_peer: str, model: Model) -> str:
     """Z3: weighted mean of the sides present, 0 when neither is."""
     p = model.params
-    return F.coalesce(weighted_mean([z_time, z_peer], [p.history_z_weight, p.peer_z_weight]), F.lit(0.0))
+    return f"coalesce({t.weighted_mean([z_time, z_peer], [p.history_z_weight, p.peer_z_weight])}, 0D)"
 
 
-def z_frame(panel: DataFrame, model: Model, peers: DataFrame | None = None) -> DataFrame:
-    """Wide z table: v<n>, zp<n>, zt<n>, zc<n> per indicator present."""
-    values = prepare(panel, model, peers)
-    numbers = [n for n, _ in _present(panel, model)]
-    joined = with_peer_statistics(values, numbers)
-    base = [*KEYS, *[f"v{n}" for n in numbers]]
-    peer = joined.select(*base, *[peer_z(n, model).alias(f"zp{n}") for n in numbers])
-    timed = peer.select("*", *[history_z(n, model).alias(f"zt{n}") for n in numbers])
-    return timed.select("*", *[blend(F.col(f"zt{n}"), F.col(f"zp{n}"), model).alias(f"zc{n}") for n in numbers])
+def with_history_z(df: DataFrame, model: Model, numbers: Sequence[int], extra: Sequence[str] = ()) -> DataFrame:
+    """Expanding window (this row and everything before it, never a later one), then the blend."""
+    stats = [f"{f}(v{n}) {SEEN} AS {p}{n}" for n in numbers for p, f in (("hn", "count"), ("hm", "avg"), ("hs", "stddev_pop"))]
+    seen = df.selectExpr("*", *stats)
+    least = model.params.min_history_obs
+    kept = [c for c in df.columns]
+    timed = seen.selectExpr(
+        *kept, *[f"{t.zscore(f'v{n}', f'hm{n}', f'hs{n}', f'hn{n}', least)} AS zt{n}" for n in numbers], *extra
+    )
+    return timed.selectExpr("*", *[f"{blend(f'zt{n}', f'zp{n}', model)} AS zc{n}" for n in numbers])
 
 
-def _contribution(n: int, indicator: Indicator, combined: Column | None = None) -> Column:
-    """Z4."""
-    return (F.col(f"zc{n}") if combined is None else combined) * float(indicator.direction) * float(indicator.weight)
+def z_frame(panel: DataFrame, model: Model, peers: DataFrame | None = None) -> DataFrame:
+    """Wide z table: v<n>, zp<n>, zt<n>, zc<n> per indicator present."""
+    numbers = present(panel, model)
+    joined = with_peer_statistics(prepare(panel, model, peers), numbers)
+    peer = joined.selectExpr(*KEYS, *[f"v{n}" for n in numbers], *[f"{peer_z(n, model)} AS zp{n}" for n in numbers])
+    return with_history_z(peer, model, numbers)
 
 
 def numbers_in(z: DataFrame) -> set[int]:
     return {int(c[2:]) for c in z.columns if c.startswith("zc")}
 
 
-def pillar_exprs(
-    model: Model, numbers: set[int], combined: dict[int, Column] | None = None, present: dict[int, Column] | None = None
-) -> dict[str, Column]:
-    """Sum of contributions over available weight, mapped to 0-100; null without data."""
-    combined, present = combined or {}, present or {}
+def contribution(n: int, indicator: Indicator, combined: Mapping[int, str] | None = None) -> str:
+    """Z4."""
+    return f"({(combined or {}).get(n, f'zc{n}')}) * {t.num(indicator.direction)} * {t.num(indicator.weight)}"
+
+
+def pillar_exprs(model: Model, numbers: set[int], combined: Mapping[int, str] | None = None) -> dict[str, str]:
+    """Sum of contributions over available weight, mapped to 0-100; null without data.
+
+    ``combined`` replaces the blended z of single indicators, as a scenario does.
+    """
     out = {}
     for pillar in model.active_pillars:
         members = [(n, i) for n, i in enumerate(model.indicators) if i.pillar == pillar and n in numbers]
+        weighted = [(n, i) for n, i in members if i.weight != 0]
         if not members:
             continue
-        contribution = sum_of([_contribution(n, i, combined.get(n)) for n, i in members])
-        available = sum_of(
-            [F.when(present.get(n, F.col(f"v{n}").isNotNull()), float(i.weight)).otherwise(0.0) for n, i in members]
-        )
-        out[pillar] = signal_to_score(F.try_divide(contribution, F.when(available > 0, available)))
+        total = t.sum_of([contribution(n, i, combined) for n, i in weighted])
+        available = t.sum_of([f"if(v{n} IS NULL, 0D, {t.num(i.weight)})" for n, i in weighted])
+        signal = f"try_divide({total}, nullif(greatest({available}, 0D), 0D))"
+        out[pillar] = t.signal_to_score(signal, f"{available} > 0D")
     return out
 
 
-def sector_exprs(model: Model, pillars: dict[str, Column]) -> dict[str, Column]:
+def sector_exprs(model: Model, pillars: Mapping[str, str]) -> dict[str, str]:
     """Mean of member pillars, renormalised by pillar weight."""
     out = {}
     for sector, listed in model.sectors.items():
         members = [p for p in listed if p in pillars]
         if members:
-            out[sector] = weighted_mean([pillars[p] for p in members], [model.pillar_weights[p] for p in members])
+            out[sector] = t.weighted_mean([pillars[p] for p in members], [model.pillar_weights[p] for p in members])
     return out
 
 
-def composite_exprs(model: Model, pillars: dict[str, Column], sectors: dict[str, Column]) -> tuple[Column, Column]:
+def composite_exprs(model: Model, pillars: Mapping[str, str], sectors: Mapping[str, str]) -> tuple[str, str]:
     """(composite, aggregate sector score)."""
-    pillar_view = weighted_mean(list(pillars.values()), [model.pillar_weights[p] for p in pillars])
-    sector_view = weighted_mean(list(sectors.values()), [model.sector_weights[s] for s in sectors])
+    pillar_view = t.weighted_mean(list(pillars.values()), [model.pillar_weights[p] for p in pillars])
+    sector_view = t.weighted_mean(list(sectors.values()), [model.sector_weights[s] for s in sectors])
     beta = model.params.sector_composite_weight
-    blended = pillar_view * (1.0 - beta) + sector_view * beta
+    blended = f"{pillar_view} * {t.num(1.0 - beta)} + {sector_view} * {t.num(beta)}"
     return (blended if sectors else pillar_view), sector_view
 
 
-def completeness_expr(model: Model, numbers: set[int]) -> Column:
+def completeness_expr(model: Model, numbers: set[int]) -> str:
     """Weight of the indicators with a value over all configured weight, also of absent ones."""
-    seen = sum_of(
-        [
-            F.when(F.col(f"v{n}").isNotNull(), float(i.weight))
-            for n, i in enumerate(model.indicators)
-            if n in numbers and i.weight != 0
-        ]
+    seen = t.sum_of(
+        [f"if(v{n} IS NULL, 0D, {t.num(i.weight)})" for n, i in enumerate(model.indicators) if n in numbers and i.weight != 0]
     )
-    share = F.try_divide(F.bround(seen, 6), F.lit(model.total_weight))
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), share))
+    return f"greatest(0D, least(1D, try_divide(bround({seen}, 6), {t.num(model.total_weight)})))"
 
 
 def trend_columns(scores: DataFrame, model: Model, keys: Sequence[str] = (ENTITY,)) -> DataFrame:
     """Deltas over 1 and 2 rows and their reading."""
-    w = Window.partitionBy(*keys).orderBy(PERIOD)
-    s, limit = F.col("risk_score"), model.params.trend_threshold_points
-    out = scores.select(
+    over = f"OVER (PARTITION BY {', '.join(keys)} ORDER BY {PERIOD})"
+    limit = t.num(model.params.trend_threshold_points)
+    out = scores.selectExpr(
         "*",
-        (s - F.lag(s, 1).over(w)).alias("trend_1y_delta"),
-        (s - F.lag(s, 2).over(w)).alias("trend_2y_delta"),
+        f"risk_score - lag(risk_score, 1) {over} AS trend_1y_delta",
+        f"risk_score - lag(risk_score, 2) {over} AS trend_2y_delta",
     )
-    delta = F.col("trend_1y_delta")
-    return out.withColumn(
-        "trend_direction",
-        F.when(delta.isNull(), F.lit(None).cast("string"))
-        .when(F.abs(delta) <= limit, "Stable")
-        .when(delta > limit, "Deteriorating")
-        .otherwise("Improving"),
+    return out.selectExpr(
+        "*",
+        f"CASE WHEN trend_1y_delta IS NULL THEN NULL WHEN abs(trend_1y_delta) <= {limit} THEN 'Stable' "
+        f"WHEN trend_1y_delta > {limit} THEN 'Deteriorating' ELSE 'Improving' END AS trend_direction",
     )
 
 
+def rolled_up(z: DataFrame, model: Model, keep: Sequence[str]) -> DataFrame:
+    """Pillar columns next to ``keep``; later steps refer to them by name."""
+    pillars = pillar_exprs(model, numbers_in(z))
+    return z.selectExpr(*keep, *[f"{e} AS {pillar_column(p)}" for p, e in pillars.items()])
+
+
 def scores_from_z(z: DataFrame, model: Model) -> DataFrame:
     """One row per (entity, period) with pillar and sector scores as columns."""
-    numbers = numbers_in(z)
-    pillars = pillar_exprs(model, numbers)
-    staged = z.select(
-        *KEYS,
-        completeness_expr(model, numbers).alias("data_completeness"),
-        *[e.alias(pillar_column(p)) for p, e in pillars.items()],
-    )
-    pillar_cols = {p: F.col(pillar_column(p)) for p in pillars}
-    staged = staged.select("*", *[e.alias(sector_column(s)) for s, e in sector_exprs(model, pillar_cols).items()])
-    sector_cols = {s: F.col(sector_column(s)) for s in model.sectors if sector_column(s) in staged.columns}
-    composite, sector_view = composite_exprs(model, pillar_cols, sector_cols)
-    staged = staged.select("*", composite.alias("risk_score"), sector_view.alias("sector_score"))
-    return trend_columns(staged.withColumn("risk_band", band(F.col("risk_score"))), model)
+    staged = rolled_up(z, model, [*KEYS, f"{completeness_expr(model, numbers_in(z))} AS data_completeness"])
+    pillars = {p: pillar_column(p) for p in model.active_pillars if pillar_column(p) in staged.columns}
+    staged = staged.selectExpr("*", *[f"{e} AS {sector_column(s)}" for s, e in sector_exprs(model, pillars).items()])
+    sectors = {s: sector_column(s) for s in model.sectors if sector_column(s) in staged.columns}
+    composite, sector_view = composite_exprs(model, pillars, sectors)
+    staged = staged.selectExpr("*", f"{composite} AS risk_score", f"{sector_view} AS sector_score")
+    return trend_columns(staged.selectExpr("*", f"{t.band('risk_score')} AS risk_band"), model)
 
 
 def score_panel(panel: DataFrame, model: Model, peers: DataFrame | None = None) -> DataFrame:
     return scores_from_z(z_frame(panel, model, peers), model)
 
 
-def pillar_scores(scores: DataFrame, model: Model, with_empty: bool = False) -> DataFrame:
+def _unfold(scores: DataFrame, entries: Sequence[str], value: str, keep: Sequence[str] = KEYS[:2]) -> DataFrame:
+    out = scores.selectExpr(*keep, f"inline(array({', '.join(entries)}))")
+    return out.where(F.col(value).isNotNull())
+
+
+def pillar_scores(scores: DataFrame, model: Model, keep: Sequence[str] = KEYS[:2]) -> DataFrame:
     """Long pillar table, a narrow unfold of the score row."""
-    rows = F.array(
-        *[
-            F.struct(
-                F.lit(p).alias("pillar"),
-                F.col(pillar_column(p)).alias("pillar_score"),
-                F.lit(float(model.pillar_weights[p])).alias("pillar_weight"),
-            )
-            for p in model.active_pillars
-            if pillar_column(p) in scores.columns
-        ]
-    )
-    out = scores.select(ENTITY, PERIOD, F.explode(rows).alias("_p")).select(ENTITY, PERIOD, "_p.*")
-    out = out if with_empty else out.where(F.col("pillar_score").isNotNull())
-    return out.withColumn("pillar_band", band(F.col("pillar_score")))
+    entries = [
+        f"named_struct('pillar', {t.text(p)}, 'pillar_score', {pillar_column(p)}, 'pillar_weight', {t.num(model.pillar_weights[p])})"
+        for p in model.active_pillars
+        if pillar_column(p) in scores.columns
+    ]
+    return _unfold(scores, entries, "pillar_score", keep).selectExpr("*", f"{t.band('pillar_score')} AS pillar_band")
 
 
-def sector_scores(scores: DataFrame, model: Model) -> DataFrame:
-    rows = F.array(
-        *[
-            F.struct(
-                F.lit(s).alias("sector"),
-                F.col(sector_column(s)).alias("sector_score"),
-                F.lit(float(model.sector_weights[s])).alias("sector_weight"),
-            )
-            for s in model.sectors
-            if sector_column(s) in scores.columns
-        ]
-    )
-    out = scores.select(ENTITY, PERIOD, F.explode(rows).alias("_s")).select(ENTITY, PERIOD, "_s.*")
-    return out.where(F.col("sector_score").isNotNull()).withColumn("sector_band", band(F.col("sector_score")))
-
-
-def _driver_struct(n: int, i: Indicator) -> Column:
-    z_risk = F.col(f"zc{n}") * float(i.direction)
-    return F.struct(
-        F.lit(i.code).alias("indicator"),
-        F.lit(i.category).alias("category"),
-        F.lit(i.pillar).alias("pillar"),
-        F.lit(i.name).alias("label"),
-        F.col(f"v{n}").alias("raw_value"),
-        F.lit(i.unit).alias("unit"),
-        F.lit(float(i.direction)).alias("risk_direction"),
-        F.lit(float(i.weight)).alias("weight"),
-        F.col(f"zt{n}").alias("z_time"),
-        F.col(f"zp{n}").alias("z_peer"),
-        F.col(f"zc{n}").alias("z_combined"),
-        z_risk.alias("z_risk"),
-        (z_risk * float(i.weight)).alias("weighted_contribution"),
-    )
+def sector_scores(scores: DataFrame, model: Model, keep: Sequence[str] = KEYS[:2]) -> DataFrame:
+    entries = [
+        f"named_struct('sector', {t.text(s)}, 'sector_score', {sector_column(s)}, 'sector_weight', {t.num(model.sector_weights[s])})"
+        for s in model.sectors
+        if sector_column(s) in scores.columns
+    ]
+    return _unfold(scores, entries, "sector_score", keep).selectExpr("*", f"{t.band('sector_score')} AS sector_band")
+
 
+def driver_array(z: DataFrame, model: Model) -> str:
+    """Array of driver structs of a row."""
+
+    def entry(n: int, i: Indicator) -> str:
+        z_risk = f"zc{n} * {t.num(i.direction)}"
+        return (
+            f"named_struct('indicator', {t.text(i.code)}, 'category', {t.text(i.category)}, 'pillar', {t.text(i.pillar)}, "
+            f"'label', {t.text(i.name)}, 'raw_value', v{n}, 'unit', {t.text(i.unit)}, "
+            f"'risk_direction', {t.num(i.direction)}, 'weight', {t.num(i.weight)}, 'z_time', zt{n}, 'z_peer', zp{n}, "
+            f"'z_combined', zc{n}, 'z_risk', {z_risk}, 'weighted_contribution', {z_risk} * {t.num(i.weight)})"
+        )
 
-def driver_array(z: DataFrame, model: Model) -> Column:
     numbers = numbers_in(z)
-    return F.array(*[_driver_struct(n, i) for n, i in enumerate(model.indicators) if n in numbers])
+    return f"array({', '.join(entry(n, i) for n, i in enumerate(model.indicators) if n in numbers)})"
 
 
 def drivers(z: DataFrame, model: Model) -> DataFrame:
     """Long driver table."""
-    return z.select(ENTITY, PERIOD, F.explode(driver_array(z, model)).alias("_d")).select(ENTITY, PERIOD, "_d.*")
-
+    return z.selectExpr(ENTITY, PERIOD, f"inline({driver_array(z, model)})")
 
-def ranked_drivers(array: Column, k: int | None) -> Column:
-    """Sort a row's drivers by size of contribution; ties by indicator."""
 
-    def order(a: Column, b: Column) -> Column:
-        x, y = F.abs(a["weighted_contribution"]), F.abs(b["weighted_contribution"])
-        return (
-            F.when(x > y, -1)
-            .when(x < y, 1)
-            .when(a["indicator"] < b["indicator"], -1)
-            .when(a["indicator"] > b["indicator"], 1)
-            .otherwise(0)
-        )
-
-    ranked = F.array_sort(array, order)
-    return ranked if k is None else F.slice(ranked, 1, k)
+def ranked(array: str, k: int | None = None) -> str:
+    """A row's drivers by size of contribution, ties by indicator; the first k of them."""
+    order = (
+        "(a, b) -> CASE WHEN abs(a.weighted_contribution) > abs(b.weighted_contribution) THEN -1 "
+        "WHEN abs(a.weighted_contribution) < abs(b.weighted_contribution) THEN 1 "
+        "WHEN a.indicator < b.indicator THEN -1 WHEN a.indicator > b.indicator THEN 1 ELSE 0 END"
+    )
+    out = f"array_sort({array}, {order})"
+    return out if k is None else f"slice({out}, 1, {int(k)})"
 
 
 def top_drivers(z: DataFrame, model: Model, k: int = 6) -> DataFrame:
     """The k largest contributions of every slice, sorted inside the row."""
-    top = ranked_drivers(driver_array(z, model), k)
-    return z.select(ENTITY, PERIOD, F.posexplode(top).alias("_pos", "_d")).select(
-        ENTITY, PERIOD, (F.col("_pos") + 1).alias("position"), "_d.*"
-    )
+    top = z.selectExpr(ENTITY, PERIOD, f"posexplode({ranked(driver_array(z, model), k)}) AS (_pos, _d)")
+    return top.selectExpr(ENTITY, PERIOD, "_pos + 1 AS position", "_d.*")
 
 
 def signed_drivers(z: DataFrame, model: Model, up: int = 6, down: int = 6) -> DataFrame:
     """Largest contributions on either side, with the bar width against the slice maximum."""
-    packed = z.select(ENTITY, PERIOD, driver_array(z, model).alias("_all"))
-    largest = F.array_max(F.transform("_all", lambda d: F.abs(d["weighted_contribution"])))
-
-    def side(keep, k):
-        return F.slice(ranked_drivers(F.filter("_all", keep), None), 1, k)
-
-    packed = packed.select(
+    packed = z.selectExpr(ENTITY, PERIOD, f"{ranked(driver_array(z, model))} AS _all")
+    sides = packed.selectExpr(
         ENTITY,
         PERIOD,
-        largest.alias("_max"),
-        side(lambda d: d["weighted_contribution"] > 0, up).alias("up"),
-        side(lambda d: d["weighted_contribution"] < 0, down).alias("down"),
+        "array_max(transform(_all, d -> abs(d.weighted_contribution))) AS _max",
+        "explode(array("
+        f"named_struct('side', 'up', 'd', slice(filter(_all, d -> d.weighted_contribution > 0), 1, {int(up)})),"
+        f"named_struct('side', 'down', 'd', slice(filter(_all, d -> d.weighted_contribution < 0), 1, {int(down)}))"
+        ")) AS _s",
     )
-    parts = [
-        packed.select(ENTITY, PERIOD, "_max", F.lit(name).alias("side"), F.posexplode(name).alias("_pos", "_d"))
-        for name in ("up", "down")
-    ]
-    width = F.abs("weighted_contribution") / F.greatest(F.col("_max"), F.lit(1e-11))
-    return (
-        parts[0]
-        .unionByName(parts[1])
-        .select(
-            ENTITY,
-            PERIOD,
-            "side",
-            (F.col("_pos") + 1).alias("position"),
-            "_d.indicator",
-            "_d.label",
-            "_d.weighted_contribution",
-            "_max",
-        )
-        .withColumn("bar_share", width)
-        .drop("_max")
+    rows = sides.selectExpr(ENTITY, PERIOD, "_max", "_s.side", "posexplode(_s.d) AS (_pos, _d)")
+    return rows.selectExpr(
+        ENTITY,
+        PERIOD,
+        "side",
+        "_pos + 1 AS position",
+        "_d.indicator",
+        "_d.label",
+        "_d.weighted_contribution",
+        "abs(_d.weighted_contribution) / greatest(_max, 1e-11D) AS bar_share",
     )
 
 
 def pillar_list(scores: DataFrame, model: Model) -> DataFrame:
     """Pillars of a slice ordered by score, highest first, as one array column."""
-    entries = F.array(
-        *[
-            F.struct(
-                F.col(pillar_column(p)).alias("score"),
-                F.lit(p).alias("pillar"),
-                band(F.col(pillar_column(p))).alias("band"),
-                F.lit(float(model.pillar_weights[p])).alias("weight"),
-            )
-            for p in model.active_pillars
-            if pillar_column(p) in scores.columns
-        ]
+    entries = ", ".join(
+        f"named_struct('score', {pillar_column(p)}, 'pillar', {t.text(p)}, 'band', {t.band(pillar_column(p))}, "
+        f"'weight', {t.num(model.pillar_weights[p])})"
+        for p in model.active_pillars
+        if pillar_column(p) in scores.columns
     )
-    return scores.withColumn("pillars", F.sort_array(F.filter(entries, lambda e: e["score"].isNotNull()), asc=False))
+    return scores.selectExpr("*", f"sort_array(filter(array({entries}), p -> p.score IS NOT NULL), false) AS pillars")
 
 
 def scheme_scores(z: DataFrame, model: Model) -> DataFrame:
     """Configured and equal-weight composites of the same pillars, from one pass."""
-    numbers = numbers_in(z)
-    pillars = pillar_exprs(model, numbers)
-    staged = z.select(*KEYS, *[e.alias(pillar_column(p)) for p, e in pillars.items()])
-    cols = {p: F.col(pillar_column(p)) for p in pillars}
-    rows = []
-    for scheme, variant in (("weighted", model), ("equal_weight", model.equal_weights())):
-        sectors = sector_exprs(variant, cols)
-        composite, _ = composite_exprs(variant, cols, sectors)
-        rows.append(F.struct(F.lit(scheme).alias("scheme"), composite.alias("risk_score")))
-    return staged.select("*", F.explode(F.array(*rows)).alias("_s")).select(
-        "_s.scheme", *KEYS, "_s.risk_score", band(F.col("_s.risk_score")).alias("risk_band"), *cols.values()
+    staged = rolled_up(z, model, KEYS)
+    pillars = {p: pillar_column(p) for p in model.active_pillars if pillar_column(p) in staged.columns}
+    sectors = sector_exprs(model, pillars)
+    staged = staged.selectExpr("*", *[f"{e} AS {sector_column(s)}" for s, e in sectors.items()])
+    names = {s: sector_column(s) for s in sectors}
+    weighted, _ = composite_exprs(model, pillars, names)
+    equal, _ = composite_exprs(model.equal_weights(), pillars, {})
+    rows = staged.selectExpr(
+        *KEYS,
+        *pillars.values(),
+        *names.values(),
+        f"inline(array(named_struct('scheme', 'weighted', 'risk_score', {weighted}), "
+        f"named_struct('scheme', 'equal_weight', 'risk_score', {equal})))",
     )
+    return rows.selectExpr("*", f"{t.band('risk_score')} AS risk_band")

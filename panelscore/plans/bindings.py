@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from panelscore.functions.scalar import micros
 from panelscore.model import Episode, Indicator, Model, Preset, ScoringParams
@@ -13,8 +14,15 @@ from panelscore.schema import ENTITY, FLAG, INDICATOR, PEER_GROUP, PERIOD, SEQ,
 from panelscore.session import pin
 
 
+_SCHEMAS: dict[str, StructType] = {}
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    """A table of the star schema; the footer is read once per path and process."""
+    path = f"{sf_dir}/{table}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 NATION_MODEL = Model(

@@ -1,2 +1,123 @@
-QUERIES = {}
-ORACLE = {}
+"""Data quality checks on nation x year."""
+
+from __future__ import annotations
+
+from dataclasses import replace
+
+from pyspark.sql import functions as F
+
+from panelscore.model import Indicator
+from panelscore.operators import clean, quality
+from panelscore.plans import bindings as b
+from panelscore.plans import oracle as o
+from panelscore.plans.catalogue.common import tidy
+
+M = b.NATION_MODEL
+WIDER = replace(
+    M, indicators=(*M.indicators, Indicator("SHIPPING_DELAY", "Service", 0.04), Indicator("CLAIMS", "Quality", 0.02))
+)
+
+
+def long_panel(spark, sf):
+    return clean.to_long(b.nation_year(spark, sf), M.codes)
+
+
+def q2(spark, sf):
+    return tidy(quality.missing_indicators(long_panel(spark, sf), WIDER))
+
+
+def q4(spark, sf):
+    return quality.latest_covered_period(long_panel(spark, sf), M, min_coverage=0.8, min_entities=10)
+
+
+def tampered(spark, sf):
+    panel = b.nation_year(spark, sf)
+    value = F.when(F.col("period") == 1998, F.col("RETURN_SHARE_3Y") + 1.0).otherwise(F.col("RETURN_SHARE_3Y"))
+    return panel.withColumn("RETURN_SHARE_3Y", value)
+
+
+# The line count is no model column, so the ratio cannot be re-derived from the wide panel.
+RULES = tuple(r for r in b.NATION_DERIVED if r.rule != "ratio")
+
+
+def q5(spark, sf):
+    return tidy(quality.derivation_drift(tampered(spark, sf), RULES))
+
+
+def q6(spark, sf):
+    return quality.episode_checks(b.nation_year(spark, sf), b.NATION_EPISODES)
+
+
+def q7(spark, sf):
+    return quality.report(tampered(spark, sf), M, RULES, b.NATION_EPISODES)
+
+
+def q8(spark, sf):
+    flagged = clean.flag_quality(b.nation_long(spark, sf).drop("flag"), M)
+    row = quality.provenance(flagged, 25, M, 2000, {"orders": "Orders", "lineitem": "lineitem", "rates": "rates feed"})
+    return tidy(row.withColumn("notes", F.concat_ws(" | ", "notes")))
+
+
+def q9(spark, sf):
+    return quality.run_metadata(b.nation_long(spark, sf), 25, M)
+
+
+QUERIES = {
+    "q2_missing": q2,
+    "q4_latest_period": q4,
+    "q5_drift": q5,
+    "q6_episodes": q6,
+    "q7_report": q7,
+    "q8_provenance": q8,
+    "q9_run_metadata": q9,
+}
+
+EPISODES = o.values(
+    "ep",
+    "episode, entity, label, baseline, event, win, threshold",
+    [(n, e.entity, e.label, e.baseline, e.event, e.window, float(e.threshold)) for n, e in enumerate(b.NATION_EPISODES)],
+)
+BOUNDS = o.values("bounds", "indicator, low, high", [(i.code, i.low, i.high) for i in M.indicators])
+
+ORACLE = {
+    "q2_missing": f"""{o.PANEL}, {o.values('wider', 'indicator, pillar, weight', [(i.code, i.pillar, float(i.weight)) for i in WIDER.weighted])}
+        SELECT indicator, pillar, {o.r6('weight::DOUBLE AS weight')} FROM wider
+        WHERE indicator NOT IN (SELECT indicator FROM full_long WHERE value IS NOT NULL)""",
+    "q4_latest_period": f"""{o.PANEL}, sh AS (
+          SELECT entity, period, sum(weight) / {M.total_weight} AS share FROM full_long JOIN ind USING (indicator) WHERE weight > 0 GROUP BY 1, 2),
+        g AS (SELECT period, count(*) AS entities FROM sh WHERE share >= 0.8 - 1e-9 GROUP BY 1)
+        SELECT period, entities FROM g WHERE entities >= 10 ORDER BY period DESC LIMIT 1""",
+    "q5_drift": f"""{o.PANEL}, p2 AS (SELECT * REPLACE (CASE WHEN period = 1998 THEN RETURN_SHARE_3Y + 1.0 ELSE RETURN_SHARE_3Y END AS RETURN_SHARE_3Y) FROM panel),
+        act AS ({" UNION ALL ".join(f"SELECT entity, period, '{r.code}' AS indicator, {r.code} AS actual FROM p2" for r in RULES)}),
+        rows_ AS (
+          SELECT w.entity, w.period, CASE w.indicator WHEN 'AVG_ORDER_VALUE' THEN 'ORDER_VALUE_YOY' WHEN 'ORDER_COUNT' THEN 'ORDER_COUNT_GAP'
+                   WHEN 'RETURN_SHARE' THEN 'RETURN_SHARE_3Y' ELSE 'DISCOUNT_TREND_DEV' END AS indicator FROM w
+          WHERE w.indicator IN ('AVG_ORDER_VALUE', 'ORDER_COUNT', 'RETURN_SHARE') OR (w.indicator = 'AVG_DISCOUNT' AND n5 >= 3 AND mean5 > 0)),
+        cmp AS (SELECT r.indicator, abs(d.value - a.actual) AS gap FROM rows_ r JOIN act a USING (entity, period, indicator)
+                LEFT JOIN derived d USING (entity, period, indicator))
+        SELECT indicator, {o.r6('max(gap) AS max_drift')}, count(*) AS rows, coalesce(max(gap) > 1e-6, false) AS drifted FROM cmp GROUP BY 1""",
+    "q6_episodes": f"""{o.PANEL}, {EPISODES}, span AS (SELECT min(period) AS low, max(period) AS high FROM panel),
+        c AS (SELECT ep.*, CASE WHEN entity NOT IN (SELECT entity FROM panel) THEN 'unknown entity'
+            WHEN NOT baseline BETWEEN low AND high AND NOT event BETWEEN low AND high THEN 'baseline and event outside panel'
+            WHEN NOT baseline BETWEEN low AND high THEN 'baseline outside panel'
+            WHEN NOT event BETWEEN low AND high THEN 'event outside panel' END AS problem FROM ep, span)
+        SELECT episode, entity, label, baseline, event, problem FROM c WHERE problem IS NOT NULL""",
+    "q7_report": f"""{o.PANEL} SELECT min(period) AS period_min, max(period) AS period_max, count(DISTINCT entity) AS entities,
+        count(RETURN_SHARE_3Y) FILTER (period = 1998) = 0 AS derivations, false AS episode_windows_in_range,
+        10::BIGINT AS indicators_total, 10::BIGINT AS indicators_covered, true AS indicator_columns, true AS pillar_coverage,
+        CASE WHEN count(RETURN_SHARE_3Y) FILTER (period = 1998) = 0 THEN 'ok' ELSE 'issues' END AS status FROM panel""",
+    "q8_provenance": f"""{o.LONG}, {BOUNDS}, f AS (
+          SELECT obs.*, CASE WHEN value < low OR value > high THEN 1 ELSE 0 END AS bad,
+                 obs.indicator IN ('AVG_DISCOUNT', 'AVG_TAX', 'RETURN_SHARE', 'LINE_COUNT') AS from_lines
+          FROM obs LEFT JOIN bounds USING (indicator)),
+        a AS (SELECT count(*) FILTER (period = 2000) AS received, sum(bad)::BIGINT AS out_of_range,
+                     bool_or(NOT from_lines) AS orders_ok, bool_or(from_lines) AS lineitem_ok FROM f)
+        SELECT 2000 AS period, {25 * len(M.indicators)}::BIGINT AS expected, received,
+          {o.r6(f'round_even(received * 100.0 / {25 * len(M.indicators)}, 1)::DOUBLE AS coverage_pct')}, out_of_range, orders_ok, lineitem_ok,
+          false AS rates_ok, concat_ws(' | ', CASE WHEN out_of_range > 0 THEN out_of_range || ' observation(s) fell outside configured bounds' END,
+            CASE WHEN NOT orders_ok THEN 'Orders delivered nothing' END, CASE WHEN NOT lineitem_ok THEN 'lineitem delivered nothing' END,
+            'rates feed delivered nothing') AS notes FROM a""",
+    "q9_run_metadata": f"""{o.LONG}, {o.values('codes', 'indicator', [(c,) for c in M.codes])}
+        SELECT count(DISTINCT entity) AS entity_count, count(DISTINCT indicator) FILTER (indicator IN (SELECT indicator FROM codes)) AS indicator_count,
+          count(*) AS observations_received, greatest(0, {25 * len(M.codes)} - count(*)) AS observations_missing FROM obs""",
+}
