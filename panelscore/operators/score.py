@@ -39,7 +39,9 @@ def present(panel: DataFrame, model: Model) -> list[int]:
     return found
 
 
-def prepare(panel: DataFrame, model: Model, peers: DataFrame | None = None) -> DataFrame:
+def prepare(
+    panel: DataFrame, model: Model, peers: DataFrame | None = None, extra: Sequence[str] = ()
+) -> DataFrame:
     """Typed columns v<n>, one per indicator present; peer_group stays null where there is none."""
     require(panel, ENTITY, PERIOD)
     if peers is not None:
@@ -55,6 +57,7 @@ def prepare(panel: DataFrame, model: Model, peers: DataFrame | None = None) -> D
             f"nullif(CAST(`{model.indicators[n].code}` AS DOUBLE), CAST('NaN' AS DOUBLE)) AS v{n}"
             for n in present(panel, model)
         ],
+        *extra,
     )
 
 
@@ -187,9 +190,12 @@ def rolled_up(z: DataFrame, model: Model, keep: Sequence[str]) -> DataFrame:
     return z.selectExpr(*keep, *[f"{e} AS {pillar_column(p)}" for p, e in pillars.items()])
 
 
-def scores_from_z(z: DataFrame, model: Model) -> DataFrame:
-    """One row per (entity, period) with pillar and sector scores as columns."""
-    staged = rolled_up(z, model, [*KEYS, f"{completeness_expr(model, numbers_in(z))} AS data_completeness"])
+def scores_from_z(z: DataFrame, model: Model, extra: Sequence[str] = ()) -> DataFrame:
+    """One row per (entity, period) with pillar and sector scores as columns.
+
+    ``extra`` expressions over the z table ride along, which saves a join of the row with itself.
+    """
+    staged = rolled_up(z, model, [*KEYS, f"{completeness_expr(model, numbers_in(z))} AS data_completeness", *extra])
     pillars = {p: pillar_column(p) for p in model.active_pillars if pillar_column(p) in staged.columns}
     staged = staged.selectExpr("*", *[f"{e} AS {sector_column(s)}" for s, e in sector_exprs(model, pillars).items()])
     sectors = {s: sector_column(s) for s in model.sectors if sector_column(s) in staged.columns}
