@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from panelscore.functions import text as t
 from panelscore.functions.ranks import order_statistic, rank_table
-from panelscore.model import Model
+from panelscore.model import Model, Preset
 from panelscore.operators import rank
 from panelscore.operators import score as scoring
 from panelscore.schema import ENTITY, PEER_GROUP, PERIOD
@@ -54,6 +54,11 @@ def whole(value: str) -> str:
     return f"format_string('%.0f', bround({value}, 0))"
 
 
+def signed(value: str, digits: int) -> str:
+    """A number with its sign; a tiny negative keeps its minus."""
+    return f"concat(if({value} < 0, '-', '+'), format_string('%.{digits}f', bround(abs({value}), {digits})))"
+
+
 def _phrases(model: Model, code: str, better: bool) -> str:
     of = {i.code: (i.better_phrase if better else i.worse_phrase) or i.name for i in model.indicators}
     cases = " ".join(f"WHEN {t.text(c)} THEN {t.text(p)}" for c, p in of.items())
@@ -80,7 +85,7 @@ def with_trend(scores: DataFrame) -> DataFrame:
         f"CASE WHEN {delta} IS NULL THEN NULL "
         f"WHEN abs({delta}) < {t.num(UNCHANGED)} THEN concat('broadly unchanged from ', {whole('_before')}, ' a year earlier') "
         f"ELSE concat(if({delta} > 0D, 'up', 'down'), ' from ', {whole('_before')}, ' a year earlier (', "
-        f"format_string('%+.1f', bround({delta}, 1)), ' pts)') END AS trend_phrase"
+        f"{signed(delta, 1)}, ' pts)') END AS trend_phrase"
     )
     return out.selectExpr("*", phrase).drop("_before")
 
@@ -160,11 +165,11 @@ def limitations() -> str:
     return f"concat_ws('\\n', {caution}, {fixed})"
 
 
-def _scenario_parts(driver: str) -> list[str]:
-    rate = driver == RATE_DRIVER
-    label = RATE_LABEL if rate else f"{driver} moves by"
+def _scenario_parts(preset: Preset) -> list[str]:
+    rate = preset.driver == RATE_DRIVER
+    label = RATE_LABEL if rate else f"{preset.driver} moves by"
     unit = "bps" if rate else ""
-    shock = f"concat('\"If ', {t.text(label)}, ' ', format_string('%+.0f', shock_amount), {t.text(unit)}, ' from current levels...\"')"
+    shock = t.text(f'"If {label} {preset.amount:+.0f}{unit} from current levels..."')
     moving = (
         "if(scenario_band <> baseline_band, concat('moving the country into the ', scenario_band, ' band'), "
         "concat('staying within the ', scenario_band, ' band'))"
@@ -176,7 +181,7 @@ def _scenario_parts(driver: str) -> list[str]:
     )
     channel = (
         "transform(channels, c -> concat('Channel: ', c.target, ' estimated to move by ', "
-        "coalesce(format_string('%+.2f', bround(c.estimated_delta, 2)), '+nan'), ' (', "
+        f"coalesce({signed('c.estimated_delta', 2)}, '+nan'), ' (', "
         "if(c.r_squared < 0.1D, 'low-information', 'moderate-information'), ', pooled-panel R²=', "
         "coalesce(format_string('%.2f', bround(c.r_squared, 2)), 'nan'), ', n=', c.n_obs, ').'))"
     )
@@ -192,13 +197,12 @@ def reports(
     sources: Sequence[str] = (),
     scenarios: DataFrame | None = None,
     channels: DataFrame | None = None,
-    driver: str | None = None,
+    preset: Preset | None = None,
 ) -> DataFrame:
     """The full text of every slice.
 
     ``scores`` comes from ``story_scores``. ``names`` (entity, name) replaces codes by names. A
-    scenario block needs the rows of one preset from ``shock_scores``, its ``target_deltas`` and the
-    driver code.
+    scenario block needs one preset, its rows from ``shock_scores`` and its ``target_deltas``.
     """
     rows = with_peers(with_trend(scores))
     if names is not None:
@@ -206,13 +210,12 @@ def reports(
     else:
         rows = rows.withColumn("_name", F.lit(None).cast("string"))
     rows = rows.selectExpr("*", f"coalesce(_name, {ENTITY}) AS name")
-    shocked = scenarios is not None
+    shocked = preset is not None
     if shocked:
         rows = rows.join(
             scenarios.select(
                 ENTITY, PERIOD, "baseline_score", "baseline_band", "scenario_score", "scenario_band", "delta",
                 "information", "out_of_sample",
-                (F.col("shocked_driver_value") - F.col("baseline_driver_value")).alias("shock_amount"),
             ),
             [ENTITY, PERIOD],
             "left",
@@ -230,7 +233,7 @@ def reports(
         "concat('That score is ', trend_phrase, '.')",
         "concat('It sits ', peer_phrase, '.')",
         f"concat('The single largest swing factor this period is ', lower({lead}), '.')",
-        *([t.text(LEVER % (driver or "").replace("_", " ").lower())] if shocked else []),
+        *([t.text(LEVER % preset.driver.replace("_", " ").lower())] if shocked else []),
         t.text(POSITIONING),
     ]
     listed = "\n".join(f"- {s}" for s in sources) if sources else NO_SOURCES
@@ -240,7 +243,7 @@ def reports(
         "'**Main drivers:**'",
         bullets,
         "''",
-        *(_scenario_parts(driver or "") if shocked else []),
+        *(_scenario_parts(preset) if shocked else []),
         "'**Analyst view:**'",
         f"concat_ws(' ', {', '.join(view)})",
         "''",

@@ -50,7 +50,7 @@ def t6(spark, sf):
     shocked = scenario.shock_scores(panel, M, [PRESET])
     channels = scenario.target_deltas(panel, [PRESET])
     names = b.nation_dimension(spark, sf).select("entity", F.concat(F.initcap("entity"), F.lit(" of "), "region").alias("name"))
-    return explain.reports(scores, M, STAMP, names, ["orders", "lineitem"], shocked, channels, PRESET.driver)
+    return explain.reports(scores, M, STAMP, names, ["orders", "lineitem"], shocked, channels, PRESET)
 
 
 def t7(spark, sf):
@@ -117,7 +117,7 @@ blt AS (SELECT entity, period, string_agg('- ' || phrase, chr(10) ORDER BY posit
               first(phrase ORDER BY position) AS lead FROM top GROUP BY 1, 2),
 chn AS (
   SELECT p.entity, p.period, string_agg('Channel: ' || target || ' estimated to move by ' ||
-      CASE WHEN slope * r.amount >= 0 THEN '+' ELSE '' END || printf('%.2f', slope * r.amount) || ' (' ||
+      CASE WHEN slope * r.amount < 0 THEN '-' ELSE '+' END || printf('%.2f', abs(slope * r.amount)) || ' (' ||
       CASE WHEN r_squared < 0.1 THEN 'low-information' ELSE 'moderate-information' END || ', pooled-panel R²=' || printf('%.2f', r_squared) ||
       ', n=' || n_obs || ').', ' ' ORDER BY target) AS channels
   FROM pairs p JOIN reg r USING (preset, target) WHERE preset = '{PRESET.key}' GROUP BY 1, 2),

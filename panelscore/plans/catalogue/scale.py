@@ -1,2 +1,110 @@
-QUERIES = {}
-ORACLE = {}
+"""The same operators on panels that grow with the data: supplier x month and user x day."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from panelscore.operators import backtest, network, rank
+from panelscore.operators import score as scoring
+from panelscore.plans import bindings as b
+from panelscore.plans import oracle as o
+from panelscore.plans.catalogue.common import tidy
+from panelscore.session import pin
+
+S, U = b.SUPPLIER_MODEL, b.EVENT_MODEL
+
+
+def supplier_scores(spark, sf):
+    return scoring.score_panel(b.supplier_month(spark, sf), S)
+
+
+def user_scores(spark, sf):
+    return scoring.score_panel(b.user_day(spark, sf), U)
+
+
+def scale_z(spark, sf):
+    return tidy(supplier_scores(spark, sf).select("entity", "period", "data_completeness", "risk_score", "trend_1y_delta"))
+
+
+def scale_users(spark, sf):
+    return tidy(user_scores(spark, sf).select("entity", "period", "data_completeness", "risk_score", "risk_band"))
+
+
+def scale_standing(spark, sf):
+    scores = pin(user_scores(spark, sf).select("entity", "period", "peer_group", F.round("risk_score", 6).alias("risk_score")))
+    return rank.peer_standing(scores)
+
+
+def scale_b9(spark, sf):
+    tally = backtest.ordinary_windows(supplier_scores(spark, sf), window=3, threshold=5.0)
+    return tidy(backtest.false_alarm_rate(tally))
+
+
+def scale_n2(spark, sf):
+    """Edges among all suppliers, in several blocks."""
+    vectors = pin(network.delta_vectors(supplier_scores(spark, sf)))
+    found = network.correlations(vectors, min_pairs=12, threshold=0.4, block_rows=64)
+    return tidy(network.pair_table(found))
+
+
+QUERIES = {
+    "scale_z": scale_z,
+    "scale_users": scale_users,
+    "scale_standing": scale_standing,
+    "scale_b9": scale_b9,
+    "scale_n2": scale_n2,
+}
+
+
+def scored(panel: str, model) -> str:
+    """CTEs up to ``ss`` for a pillar-only model on a wide panel CTE ``pan``."""
+    p = model.params
+    cells = " UNION ALL ".join(f"SELECT entity, period, peer_group AS grp, '{c}' AS indicator, {c} AS v FROM pan" for c in model.codes)
+    ind = o.values("im", "indicator, pillar, weight, dir", [(i.code, i.pillar, float(i.weight), float(i.direction)) for i in model.indicators])
+    pw = o.values("pw", "pillar, pillar_weight", [(k, float(w)) for k, w in model.pillar_weights.items()])
+    return f"""WITH {panel}, {ind}, {pw}, cells AS ({cells}),
+peer AS (SELECT indicator, period, grp, count(v) AS pn, avg(v) AS pm, stddev_pop(v) AS ps FROM cells GROUP BY ALL),
+zz AS (
+  SELECT *, {o.ZSCORE.format(n="hn", m=p.min_history_obs, s="hs", v="v", mean="hm")} AS zt, {o.ZSCORE.format(n="pn", m=p.min_peer_obs, s="ps", v="v", mean="pm")} AS zp
+  FROM (SELECT *, count(v) OVER s AS hn, avg(v) OVER s AS hm, stddev_pop(v) OVER s AS hs FROM cells
+        WINDOW s AS (PARTITION BY entity, indicator ORDER BY period ROWS UNBOUNDED PRECEDING)) JOIN peer USING (indicator, period, grp)),
+ct AS (
+  SELECT *, coalesce((coalesce(zt, 0) * {p.history_z_weight} + coalesce(zp, 0) * {p.peer_z_weight})
+    / nullif((zt IS NOT NULL)::INT * {p.history_z_weight} + (zp IS NOT NULL)::INT * {p.peer_z_weight}, 0), 0) * dir * weight AS c FROM zz JOIN im USING (indicator)),
+pl AS (SELECT entity, period, pillar, greatest(0.0, least(100.0, 50.0 + 18.0 * sum(c) / sum(CASE WHEN v IS NOT NULL THEN weight END))) AS ps
+       FROM ct GROUP BY ALL HAVING sum(CASE WHEN v IS NOT NULL THEN weight END) > 0),
+ss AS (
+  SELECT entity, period, grp, completeness AS data_completeness, risk_score, risk_score - lag(risk_score) OVER (PARTITION BY entity ORDER BY period) AS trend_1y_delta
+  FROM (SELECT entity, period, grp, least(1.0, round(sum(CASE WHEN v IS NOT NULL THEN weight ELSE 0 END), 6) / {model.total_weight}) AS completeness FROM ct GROUP BY ALL)
+  LEFT JOIN (SELECT entity, period, sum(ps * pillar_weight) / sum(pillar_weight) AS risk_score FROM pl JOIN pw USING (pillar) GROUP BY ALL) USING (entity, period))"""
+
+
+SUPPLIERS = scored(
+    """pan AS (SELECT 'S' || l_suppkey AS entity, n_name AS peer_group, (year(l_shipdate) * 12 + month(l_shipdate))::INT AS period,
+      sum(l_extendedprice * (1 - l_discount)) AS REVENUE, avg(l_discount) AS DISCOUNT, count(*) FILTER (l_returnflag = 'R') / count(*) AS RETURN_SHARE
+      FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY ALL)""",
+    S,
+)
+USERS = scored(
+    f"""pan AS (SELECT 'U' || user_id AS entity, 'G' || (user_id % 5) AS peer_group, date_diff('day', DATE '2024-01-01', ts::DATE)::INT AS period,
+      {", ".join(f"avg(value) FILTER (event_type = '{t}') AS {t}" for t in b.EVENT_TYPES)} FROM events GROUP BY ALL)""",
+    U,
+)
+
+ORACLE = {
+    "scale_z": f"{SUPPLIERS} SELECT entity, period, {o.r6('data_completeness::DOUBLE AS data_completeness', 'risk_score', 'trend_1y_delta')} FROM ss",
+    "scale_users": f"""{USERS} SELECT entity, period, {o.r6('data_completeness::DOUBLE AS data_completeness', 'risk_score')}, {o.band('risk_score')} AS risk_band FROM ss""",
+    "scale_standing": f"""{USERS}, rs AS (SELECT entity, period, grp, round(risk_score, 6) AS r FROM ss WHERE risk_score IS NOT NULL),
+        k AS (SELECT *, count(*) OVER (PARTITION BY period, grp) - 1 AS n, rank() OVER (PARTITION BY period, grp ORDER BY r DESC) AS rank FROM rs)
+        SELECT entity, period, CASE WHEN n > 0 THEN round_even((n - rank + 1) * 100.0 / n, 0)::INT END AS percentile,
+          CASE WHEN n > 0 THEN round_even((rank - 1) * 100.0 / n, 0)::INT END AS riskier_share, CASE WHEN n > 0 THEN rank END AS rank, n, grp AS group_name FROM k""",
+    "scale_b9": f"""{SUPPLIERS}, r AS (SELECT a.entity, a.period, max(y.risk_score) - any_value(a.risk_score) AS rise FROM ss a
+          JOIN ss y ON y.entity = a.entity AND y.period BETWEEN a.period AND a.period + 3 WHERE a.risk_score IS NOT NULL GROUP BY 1, 2),
+        q AS (SELECT count(*) FILTER (rise >= 5) AS alarmed, count(*) FILTER (rise < 5) AS quiet FROM r)
+        SELECT alarmed, quiet, {o.r6('(round_even(alarmed / (alarmed + quiet), 3)::DOUBLE) AS false_alarm_rate')} FROM q""",
+    "scale_n2": f"""{SUPPLIERS}, yr AS (SELECT period, lag(period) OVER (ORDER BY period) AS adj FROM (SELECT DISTINCT period FROM ss WHERE risk_score IS NOT NULL)),
+        dl AS (SELECT a.entity, a.period, a.risk_score - x.risk_score AS delta FROM ss a JOIN yr USING (period) JOIN ss x ON x.entity = a.entity AND x.period = adj
+               WHERE a.risk_score IS NOT NULL AND x.risk_score IS NOT NULL),
+        cr AS (SELECT a.entity AS a, b.entity AS b, count(*) AS pairs, corr(a.delta, b.delta) AS r FROM dl a JOIN dl b ON a.period = b.period AND a.entity < b.entity GROUP BY 1, 2)
+        SELECT a, b, {o.r6('r AS correlation')}, pairs FROM cr WHERE pairs >= 12 AND abs(r) >= 0.4""",
+}
