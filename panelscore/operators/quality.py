@@ -37,7 +37,7 @@ def coverage(panel: DataFrame, entities: DataFrame, indicators: Sequence[str], p
 def missing_indicators(panel: DataFrame, model: Model) -> DataFrame:
     """Q2: weighted indicators without a single value in the long panel."""
     wanted = local_table(
-        panel.sparkSession, [(i.code, i.pillar, i.weight) for i in model.weighted], "indicator string, pillar string, weight double"
+        panel.sparkSession, [(i.code, i.pillar, float(i.weight)) for i in model.weighted], "indicator string, pillar string, weight double"
     )
     found = panel.where(F.col(VALUE).isNotNull()).select(INDICATOR).distinct()
     return wanted.join(found, INDICATOR, "left_anti")
