@@ -16,6 +16,8 @@ from panelscore.schema import ENTITY, PEER_GROUP, PERIOD
 from panelscore.session import pin
 
 SCORE = "risk_score"
+# Drivers listed in a report, tolerance of the trend and peer phrases, coverage levels.
+REPORT_DRIVERS, TOP_DRIVERS = 3, 6
 UNCHANGED, IN_LINE = 1.5, 2.0
 FULL, PARTIAL = 0.95, 0.7
 
@@ -70,7 +72,7 @@ def driver_phrase(model: Model, code: str, contribution: str) -> str:
     return f"if({contribution} > 0D, {_phrases(model, code, False)}, {_phrases(model, code, True)})"
 
 
-def story_scores(z: DataFrame, model: Model, k: int = 3) -> DataFrame:
+def story_scores(z: DataFrame, model: Model, k: int = TOP_DRIVERS) -> DataFrame:
     """Scores with each slice's k largest drivers as an array column, written once."""
     top = f"{scoring.ranked(scoring.driver_array(z, model), k)} AS top"
     return pin(scoring.scores_from_z(z, model, extra=[top]))
@@ -226,7 +228,7 @@ def reports(
         )
         rows = rows.join(packed, [ENTITY, PERIOD], "left")
 
-    bullets = f"concat_ws('\\n', transform(top, d -> concat('- ', {driver_phrase(model, 'd.indicator', 'd.weighted_contribution')})))"
+    bullets = f"concat_ws('\\n', transform(slice(top, 1, {REPORT_DRIVERS}), d -> concat('- ', {driver_phrase(model, 'd.indicator', 'd.weighted_contribution')})))"
     lead = driver_phrase(model, "get(top, 0).indicator", "get(top, 0).weighted_contribution")
     view = [
         f"concat(name, '\\'s composite score of ', {whole(SCORE)}, ' places it in the ', lower(risk_band), ' risk band.')",
