@@ -94,7 +94,7 @@ PHRASES = o.values(
 )
 WHOLE = "printf('%.0f', {0})"
 TOP = f"""{PHRASES},
-rkd AS (SELECT *, row_number() OVER (PARTITION BY entity, period ORDER BY abs(weighted_contribution) DESC, indicator) AS position FROM drv),
+rkd AS (SELECT *, row_number() OVER (PARTITION BY entity, period ORDER BY round(abs(weighted_contribution), 12) DESC, indicator) AS position FROM drv),
 top AS (SELECT entity, period, position, indicator, CASE WHEN weighted_contribution > 0 THEN worse ELSE better END AS phrase
         FROM rkd JOIN ph USING (indicator) WHERE position <= 3)"""
 TREND = """tr AS (
@@ -158,8 +158,8 @@ ORACLE = {
     "t6_report": f"""{REPORT} SELECT entity, period,
         CASE WHEN risk_score IS NULL THEN 'No sufficient data to score ' || name || ' for ' || period || '.' ELSE {FULL_TEXT} END AS report FROM one""",
     "t7_dossier": f"""{o.SC}, pl AS (SELECT entity, period, string_agg(pillar || ':' || {o.band('pillar_score')}, ',' ORDER BY pillar_score DESC, pillar DESC) AS pillars FROM pil GROUP BY 1, 2),
-        td AS (SELECT entity, period, string_agg(indicator, ',' ORDER BY abs(weighted_contribution) DESC, indicator) AS drivers FROM (
-          SELECT *, row_number() OVER (PARTITION BY entity, period ORDER BY abs(weighted_contribution) DESC, indicator) AS pos FROM drv) WHERE pos <= 6 GROUP BY 1, 2),
+        td AS (SELECT entity, period, string_agg(indicator, ',' ORDER BY round(abs(weighted_contribution), 12) DESC, indicator) AS drivers FROM (
+          SELECT *, row_number() OVER (PARTITION BY entity, period ORDER BY round(abs(weighted_contribution), 12) DESC, indicator) AS pos FROM drv) WHERE pos <= 6 GROUP BY 1, 2),
         tj AS (SELECT entity, string_agg(printf('%d:%.4f', period, risk_score), ';' ORDER BY period) AS trajectory FROM scores WHERE risk_score IS NOT NULL GROUP BY 1),
         st AS (SELECT a.entity, a.period, count(x.entity) AS n, count(*) FILTER (x.risk_score <= a.risk_score) AS le, count(*) FILTER (x.risk_score > a.risk_score) AS gt
           FROM scores a LEFT JOIN scores x ON x.period = a.period AND x.entity <> a.entity AND x.risk_score IS NOT NULL

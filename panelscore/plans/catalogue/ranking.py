@@ -167,7 +167,7 @@ ORACLE = {
     "r10_yoy_worst": f"""{CHANGE} SELECT entity, period, {o.r6('change AS score_delta')} FROM (
           SELECT * FROM ch WHERE change IS NOT NULL ORDER BY change DESC, entity, period LIMIT 5)""",
     "r11_driver_category": f"""{o.Z} SELECT period, category, count(*) AS times_top_driver FROM (
-          SELECT *, row_number() OVER (PARTITION BY entity, period ORDER BY abs(weighted_contribution) DESC, indicator) AS pos FROM drv)
+          SELECT *, row_number() OVER (PARTITION BY entity, period ORDER BY round(abs(weighted_contribution), 12) DESC, indicator) AS pos FROM drv)
         WHERE pos = 1 GROUP BY 1, 2""",
     "r12_matrix": f"""{o.SC} SELECT entity, {o.r6(*[f'y{y}' for y in YEARS])} FROM (
           SELECT entity, {", ".join(f"max(risk_score) FILTER (period = {y}) AS y{y}" for y in YEARS)}

@@ -120,12 +120,12 @@ ORACLE = {
           UNION ALL SELECT 'equal_weight', entity, period, sum(pillar_score * w) / sum(w) FROM pil JOIN eq USING (pillar) GROUP BY 2, 3)
         SELECT scheme, entity, period, {o.r6('risk_score')}, {o.band('risk_score')} AS risk_band FROM both_schemes""",
     "z15_top_drivers": f"""{o.Z} SELECT entity, period, position::INT AS position, indicator, label, {o.r6('weighted_contribution')} FROM (
-          SELECT *, row_number() OVER (PARTITION BY entity, period ORDER BY abs(weighted_contribution) DESC, indicator) AS position FROM drv)
+          SELECT *, row_number() OVER (PARTITION BY entity, period ORDER BY round(abs(weighted_contribution), 12) DESC, indicator) AS position FROM drv)
         WHERE position <= 6""",
     "z16_split": f"""{o.Z}, m AS (
           SELECT *, max(abs(weighted_contribution)) OVER (PARTITION BY entity, period) AS top,
                  CASE WHEN weighted_contribution > 0 THEN 'up' WHEN weighted_contribution < 0 THEN 'down' END AS side FROM drv),
-        r AS (SELECT *, row_number() OVER (PARTITION BY entity, period, side ORDER BY abs(weighted_contribution) DESC, indicator) AS position
+        r AS (SELECT *, row_number() OVER (PARTITION BY entity, period, side ORDER BY round(abs(weighted_contribution), 12) DESC, indicator) AS position
               FROM m WHERE side IS NOT NULL)
         SELECT entity, period, side, position::INT AS position, indicator, label, {o.r6('weighted_contribution', 'abs(weighted_contribution) / greatest(top, 1e-11) AS bar_share')}
         FROM r WHERE position <= CASE side WHEN 'up' THEN 3 ELSE 2 END""",
