@@ -74,7 +74,7 @@ def driver_phrase(model: Model, code: str, contribution: str) -> str:
 
 def story_scores(z: DataFrame, model: Model, k: int = TOP_DRIVERS) -> DataFrame:
     """Scores with each slice's k largest drivers as an array column, written once."""
-    top = f"{scoring.ranked(scoring.driver_array(z, model), k)} AS top"
+    top = f"{scoring.ranked(z, model, k)} AS top"
     return pin(scoring.scores_from_z(z, model, extra=[top]))
 
 

@@ -54,62 +54,42 @@ def delta_vectors(scores: DataFrame) -> DataFrame:
     return entities.join(packed, ENTITY, "left")
 
 
-def _matrix(rows: pd.DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
-    values, mask = np.zeros((len(rows), width)), np.zeros((len(rows), width))
-    for n, (steps, deltas) in enumerate(zip(rows["steps"], rows["deltas"])):
-        if steps is not None and len(steps):
-            values[n, steps] = deltas
-            mask[n, steps] = 1.0
-    # Centring does not change a correlation; it keeps the sums below small.
-    mean = values.sum(axis=1, keepdims=True) / np.maximum(mask.sum(axis=1, keepdims=True), 1.0)
-    return (values - mean) * mask, mask
-
-
-def _block_correlations(left: pd.DataFrame, right: pd.DataFrame, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairwise-complete Pearson of two blocks and the overlap; NaN where it is undefined."""
-    width = 1 + max((int(max(s)) for part in (left, right) for s in part["steps"] if s is not None and len(s)), default=0)
-    x, mx = _matrix(left, width)
-    y, my = _matrix(right, width)
-    n = mx @ my.T
-    sx, sy = x @ my.T, mx @ y.T
-    qx, qy = (x * x) @ my.T, mx @ (y * y).T
-    with np.errstate(invalid="ignore", divide="ignore"):
-        vx, vy = n * qx - sx * sx, n * qy - sy * sy
-        # Relative to its own scale a constant series leaves only rounding noise.
-        scale_x, scale_y = np.abs(x).max(axis=1) ** 2 + 1e-300, np.abs(y).max(axis=1) ** 2 + 1e-300
-        flat = (vx <= 1e-20 + 1e-12 * n * n * scale_x[:, None]) | (vy <= 1e-20 + 1e-12 * n * n * scale_y[None, :])
-        r = (n * (x @ y.T) - sx * sy) / np.sqrt(vx * vy)
-    r[flat | (n < least)] = np.nan
-    return np.clip(r, -1.0, 1.0), n
-
-
-def correlations(
-    vectors: DataFrame,
-    min_pairs: int = MIN_PAIRS,
-    threshold: float = THRESHOLD,
-    block_rows: int = BLOCK_ROWS,
-    entities: int | None = None,
-) -> DataFrame:
-    """Rows of kind ``pair`` (|r| >= threshold, overlap) and ``node`` (partial sums of |r|).
-
-    ``threshold`` 0 gives the whole matrix. ``entities`` may pass a known row count; it sizes the
-    blocks so that a group never holds more than about two blocks of rows.
-    """
-    count = vectors.count() if entities is None else int(entities)
-    blocks = max(1, -(-count // int(block_rows)))
-    least = max(2, int(min_pairs))
-    own = F.pmod(F.xxhash64(ENTITY), F.lit(blocks)).cast("int")
-    # Every row visits each pairing of its block once: B copies of a block, never a copy per pair.
-    sent = vectors.withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    sent = sent.select(
-        F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"), "_own", ENTITY, "steps", "deltas"
-    )
+def _block_kernel(least: int, threshold: float):
+    """The task function. Everything it calls is local, so it travels by value and the workers need
+    only numpy and pandas."""
+
+    def matrix(rows: pd.DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+        values, mask = np.zeros((len(rows), width)), np.zeros((len(rows), width))
+        for n, (steps, deltas) in enumerate(zip(rows["steps"], rows["deltas"])):
+            if steps is not None and len(steps):
+                values[n, steps] = deltas
+                mask[n, steps] = 1.0
+        # Centring does not change a correlation; it keeps the sums below small.
+        mean = values.sum(axis=1, keepdims=True) / np.maximum(mask.sum(axis=1, keepdims=True), 1.0)
+        return (values - mean) * mask, mask
+
+    def block_correlations(left: pd.DataFrame, right: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        """Pairwise-complete Pearson of two blocks and the overlap; NaN where it is undefined."""
+        width = 1 + max((int(max(s)) for part in (left, right) for s in part["steps"] if s is not None and len(s)), default=0)
+        x, mx = matrix(left, width)
+        y, my = matrix(right, width)
+        n = mx @ my.T
+        sx, sy = x @ my.T, mx @ y.T
+        qx, qy = (x * x) @ my.T, mx @ (y * y).T
+        with np.errstate(invalid="ignore", divide="ignore"):
+            vx, vy = n * qx - sx * sx, n * qy - sy * sy
+            # Relative to its own scale a constant series leaves only rounding noise.
+            scale_x, scale_y = np.abs(x).max(axis=1) ** 2 + 1e-300, np.abs(y).max(axis=1) ** 2 + 1e-300
+            flat = (vx <= 1e-20 + 1e-12 * n * n * scale_x[:, None]) | (vy <= 1e-20 + 1e-12 * n * n * scale_y[None, :])
+            r = (n * (x @ y.T) - sx * sy) / np.sqrt(vx * vy)
+        r[flat | (n < least)] = np.nan
+        return np.clip(r, -1.0, 1.0), n
 
     def kernel(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         i, j = int(key[0]), int(key[1])
         rows = rows.sort_values(ENTITY, ignore_index=True)
         left, right = rows[rows["_own"] == i], rows[rows["_own"] == j]
-        r, n = _block_correlations(left, right, least)
+        r, n = block_correlations(left, right)
         if i == j:
             np.fill_diagonal(r, np.nan)
         a, b = left[ENTITY].to_numpy(), right[ENTITY].to_numpy()
@@ -140,7 +120,32 @@ def correlations(
         ]
         return pd.concat([pairs, *nodes], ignore_index=True)
 
-    return sent.groupBy("_i", "_j").applyInPandas(kernel, PAIR_SCHEMA)
+    return kernel
+
+
+def correlations(
+    vectors: DataFrame,
+    min_pairs: int = MIN_PAIRS,
+    threshold: float = THRESHOLD,
+    block_rows: int = BLOCK_ROWS,
+    entities: int | None = None,
+) -> DataFrame:
+    """Rows of kind ``pair`` (|r| >= threshold, overlap) and ``node`` (partial sums of |r|).
+
+    ``threshold`` 0 gives the whole matrix. ``entities`` may pass a known row count; it sizes the
+    blocks so that a group never holds more than about two blocks of rows.
+    """
+    count = vectors.count() if entities is None else int(entities)
+    blocks = max(1, -(-count // int(block_rows)))
+    least = max(2, int(min_pairs))
+    own = F.pmod(F.xxhash64(ENTITY), F.lit(blocks)).cast("int")
+    # Every row visits each pairing of its block once: B copies of a block, never a copy per pair.
+    sent = vectors.withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    sent = sent.select(
+        F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"), "_own", ENTITY, "steps", "deltas"
+    )
+
+    return sent.groupBy("_i", "_j").applyInPandas(_block_kernel(least, float(threshold)), PAIR_SCHEMA)
 
 
 def pair_table(found: DataFrame) -> DataFrame:

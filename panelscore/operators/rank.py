@@ -196,7 +196,7 @@ def worst_rises(scores: DataFrame, k: int = 5) -> DataFrame:
 
 def top_driver_categories(z: DataFrame, model) -> DataFrame:
     """How often each category is the largest driver, per period. The winner is found in the row."""
-    first = f"get({scoring.ranked(scoring.driver_array(z, model))}, 0).category"
+    first = scoring.top_driver(z, model, [i.category for i in model.indicators])
     return z.groupBy(PERIOD, F.expr(first).alias("category")).agg(F.count(F.lit(1)).alias("times_top_driver"))
 
 

@@ -253,28 +253,58 @@ def drivers(z: DataFrame, model: Model) -> DataFrame:
     return z.selectExpr(ENTITY, PERIOD, f"inline({driver_array(z, model)})")
 
 
-def ranked(array: str, k: int | None = None) -> str:
-    """A row's drivers by size of contribution, ties by indicator; the first k of them.
+def ranked(z: DataFrame, model: Model, k: int | None = None) -> str:
+    """Array of a row's drivers by size of contribution, ties by indicator; the first k of them.
 
-    Equal up to the twelfth decimal counts as a tie, so rounding noise never decides. Sorting by a
-    leading key avoids a comparator call per pair.
+    Equal up to the twelfth decimal counts as a tie, so rounding noise never decides. Small keys are
+    sorted, and only the chosen drivers get their full record.
     """
-    keyed = (
-        f"transform({array}, d -> named_struct('k', -round(abs(d.weighted_contribution), 12), 'i', d.indicator, 'd', d))"
+    numbers = sorted(numbers_in(z))
+    kept = [model.indicators[n] for n in numbers]
+    keys = []
+    for position, (n, i) in enumerate(zip(numbers, kept)):
+        c = contribution(n, i)
+        keys.append(f"named_struct('k', -rint(abs({c}) * 1e12D), 'i', {t.text(i.code)}, 'n', {position}, 'c', {c})")
+    order = f"array_sort(array({', '.join(keys)}))"
+    if k is not None:
+        order = f"slice({order}, 1, {int(k)})"
+
+    def fixed(values: Sequence[str]) -> str:
+        return f"get(array({', '.join(values)}), x.n)"
+
+    def column(prefix: str) -> str:
+        return fixed([f"{prefix}{n}" for n in numbers])
+
+    z_risk = f"{column('zc')} * {fixed([t.num(i.direction) for i in kept])}"
+    return (
+        f"transform({order}, x -> named_struct('indicator', x.i, 'category', {fixed([t.text(i.category) for i in kept])}, "
+        f"'pillar', {fixed([t.text(i.pillar) for i in kept])}, 'label', {fixed([t.text(i.name) for i in kept])}, "
+        f"'raw_value', {column('v')}, 'unit', {fixed([t.text(i.unit) for i in kept])}, "
+        f"'risk_direction', {fixed([t.num(i.direction) for i in kept])}, 'weight', {fixed([t.num(i.weight) for i in kept])}, "
+        f"'z_time', {column('zt')}, 'z_peer', {column('zp')}, 'z_combined', {column('zc')}, 'z_risk', {z_risk}, "
+        "'weighted_contribution', x.c))"
     )
-    out = f"transform(array_sort({keyed}), x -> x.d)"
-    return out if k is None else f"slice({out}, 1, {int(k)})"
+
+
+def top_driver(z: DataFrame, model: Model, field: Sequence[str]) -> str:
+    """One property, listed by indicator, of a row's largest driver."""
+    numbers = sorted(numbers_in(z))
+    keys = ", ".join(
+        f"named_struct('k', -rint(abs({contribution(n, model.indicators[n])}) * 1e12D), 'i', {t.text(model.indicators[n].code)}, 'f', {t.text(field[n])})"
+        for n in numbers
+    )
+    return f"array_min(array({keys})).f"
 
 
 def top_drivers(z: DataFrame, model: Model, k: int = 6) -> DataFrame:
     """The k largest contributions of every slice, sorted inside the row."""
-    top = z.selectExpr(ENTITY, PERIOD, f"posexplode({ranked(driver_array(z, model), k)}) AS (_pos, _d)")
+    top = z.selectExpr(ENTITY, PERIOD, f"posexplode({ranked(z, model, k)}) AS (_pos, _d)")
     return top.selectExpr(ENTITY, PERIOD, "_pos + 1 AS position", "_d.*")
 
 
 def signed_drivers(z: DataFrame, model: Model, up: int = 6, down: int = 6) -> DataFrame:
     """Largest contributions on either side, with the bar width against the slice maximum."""
-    packed = z.selectExpr(ENTITY, PERIOD, f"{ranked(driver_array(z, model))} AS _all")
+    packed = z.selectExpr(ENTITY, PERIOD, f"{ranked(z, model)} AS _all")
     sides = packed.selectExpr(
         ENTITY,
         PERIOD,

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from importlib import import_module
 
+from panelscore.session import tune
+
 FAMILIES = ("panel", "series", "scoring", "ranking", "quality", "replay", "network", "benchmark", "scenario", "explain", "scale")
 
 
@@ -14,8 +16,15 @@ def _merged(attribute: str) -> dict:
     return out
 
 
+def _tuned(query):
+    def run(spark, sf_dir):
+        return query(tune(spark), sf_dir)
+
+    return run
+
+
 def queries() -> dict:
-    return _merged("QUERIES")
+    return {name: _tuned(query) for name, query in _merged("QUERIES").items()}
 
 
 def oracle_sql() -> dict:

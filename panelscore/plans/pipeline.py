@@ -17,6 +17,7 @@ from panelscore.operators import backtest, clean, explain, quality, scenario
 from panelscore.operators import score as scoring
 from panelscore.operators.derive import Derivation, derive_columns
 from panelscore.schema import ENTITY, INDICATOR, PERIOD, VALUE
+from panelscore.session import tune
 from panelscore.sources.files import write_table
 
 
@@ -46,6 +47,7 @@ def run(
 ) -> Outputs:
     """Clean, derive, widen, score, stress, explain, check. Re-running replaces what it rewrites."""
     spark = observations.sparkSession
+    tune(spark)
     outputs = Outputs(out)
     write_table(clean.clean_long(observations, model, periods), outputs.path("observations"))
     cleaned = outputs.read(spark, "observations")
@@ -62,7 +64,7 @@ def run(
 
     z = scoring.z_frame(panel, model, peers)
     keep = explain.TOP_DRIVERS
-    top = f"{scoring.ranked(scoring.driver_array(z, model), keep)} AS top"
+    top = f"{scoring.ranked(z, model, keep)} AS top"
     write_table(scoring.scores_from_z(z, model, extra=[top]), outputs.path("scores"))
     write_table(scoring.drivers(z, model), outputs.path("drivers"))
     scores = outputs.read(spark, "scores")

@@ -15,8 +15,9 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Split a hot join key even where that costs one more exchange further up.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
-    # A wide panel carries three to four columns per indicator.
-    "spark.sql.codegen.maxFields": "400",
+    # The JVM does not compile methods above 8000 bytes. Wide score expressions would run interpreted
+    # as one huge method; below this limit Spark splits them into small compiled ones instead.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
 }
 
@@ -30,6 +31,14 @@ def build_session(app: str = "panelscore", master: str | None = None, **extra: s
     return builder.getOrCreate()
 
 
+def tune(spark: SparkSession) -> SparkSession:
+    """Apply the settings above that a running session still accepts."""
+    for key, value in SETTINGS.items():
+        if key != "spark.sql.session.timeZone":
+            spark.conf.set(key, value)
+    return spark
+
+
 def checkpoint_folder(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``; a temporary one only in local mode."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
