@@ -81,7 +81,7 @@ ss AS (
 
 SUPPLIERS = scored(
     """pan AS (SELECT 'S' || l_suppkey AS entity, n_name AS peer_group, (year(l_shipdate) * 12 + month(l_shipdate))::INT AS period,
-      sum(l_extendedprice * (1 - l_discount)) AS REVENUE, avg(l_discount) AS DISCOUNT, count(*) FILTER (l_returnflag = 'R') / count(*) AS RETURN_SHARE
+      sum(l_extendedprice * (1 - l_discount)) AS REVENUE, sum(round(l_discount * 100)::BIGINT) / (100 * count(*)) AS DISCOUNT, count(*) FILTER (l_returnflag = 'R') / count(*) AS RETURN_SHARE
       FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY ALL)""",
     S,
 )
