@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from panelscore.llm import repeats, url_filter, winnowing
+from panelscore.llm import language, packing, repeats, url_filter, winnowing
 
 
 def queries() -> dict:
     return {
+        "op1_language_id": language.op1_language_id,
         "op4_url_filter": url_filter.op4_url_filter,
         "op5_substring_dedup": repeats.op5_substring_dedup,
+        "op7_packing": packing.op7_packing,
         "op8_decontamination": winnowing.op8_decontamination,
         "op9_suffix_array_dedup": repeats.op9_suffix_array_dedup,
     }
