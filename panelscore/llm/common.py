@@ -145,10 +145,10 @@ def as_bytes(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
     return [b"" if t is None else t.encode() for t in column.to_pylist()]
 
 
-def text_batches(batches: Iterable[pa.RecordBatch], limit: int = 4 << 20, text: str = "text") -> Iterator[pa.RecordBatch]:
+def text_batches(batches: Iterable[pa.RecordBatch], limit: int = 4 << 20, text: str | int = "text") -> Iterator[pa.RecordBatch]:
     """Slices of at most ``limit`` bytes of text, or of one row."""
     for batch in batches:
-        sizes = pc.binary_length(batch[text]).to_pylist()
+        sizes = pc.binary_length(batch.column(text)).to_pylist()
         start, held = 0, 0
         for i, n in enumerate(sizes):
             n = n or 0

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from panelscore.llm import language, near_join, packing, repeats, url_filter, winnowing
+from panelscore.llm import language, line_dedup, near_join, packing, repeats, url_filter, winnowing
 
 
 def queries() -> dict:
     return {
         "op1_language_id": language.op1_language_id,
+        "op2_line_dedup": line_dedup.op2_line_dedup,
         "op3_ngram_jaccard_join": near_join.op3_ngram_jaccard_join,
         "op4_url_filter": url_filter.op4_url_filter,
         "op5_substring_dedup": repeats.op5_substring_dedup,

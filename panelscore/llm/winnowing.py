@@ -107,6 +107,18 @@ def _spans(flags: np.ndarray) -> list[int]:
     return np.flatnonzero(np.diff(flags.view(np.int8), prepend=0, append=0)).tolist()
 
 
+def _indexes(items: DataFrame, window: int, gram: int, block_bytes: int):
+    """An index of each block of items, sent to the executors; at least one."""
+    if not 1 <= gram < window:
+        raise ValueError("gram must be shorter than window")
+    known = items.select(F.col("item_id").cast("string").alias("item_id"), "text").where("item_id is not null and text is not null")
+    blocks = max(1, -(-c.text_bytes(known) // block_bytes))
+    known = known.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
+    for block in range(blocks):
+        held = [(r.item_id, r.text) for r in known.where(F.col("block") == block).collect()]
+        yield items.sparkSession.sparkContext.broadcast(Index(held, window, gram))
+
+
 def decontaminate(
     docs: DataFrame, items: DataFrame, window: int = WINDOW, gram: int = GRAM, block_bytes: int = BLOCK_BYTES
 ) -> DataFrame:
@@ -117,18 +129,9 @@ def decontaminate(
     empty text, or of null id, occur nowhere; items that share an id count as one. Other columns are not read. ``rid`` is a
     hash of id and text. The benchmark is the query set: blocks of at most ``block_bytes`` (or one item) are sent out.
     """
-    if not 1 <= gram < window:
-        raise ValueError("gram must be shorter than window")
-    spark = docs.sparkSession
-    known = items.select(F.col("item_id").cast("string").alias("item_id"), "text").where("item_id is not null and text is not null")
-    size = c.text_bytes(known)
-    blocks = max(1, -(-size // block_bytes))
-    known = known.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
     rows = docs.select(F.xxhash64("doc_id", "text").alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     parts = []
-    for block in range(blocks):
-        held = [(r.item_id, r.text) for r in known.where(F.col("block") == block).collect()]
-        index = spark.sparkContext.broadcast(Index(held, window, gram))
+    for index in _indexes(items, window, gram, block_bytes):
 
         def scan(batches, index=index):
             for b in c.text_batches(batches):
@@ -145,7 +148,7 @@ def decontaminate(
                 )
 
         parts.append(rows.mapInArrow(scan, SCHEMA))
-    if blocks == 1:
+    if len(parts) == 1:
         return parts[0]
     return _merged(parts)
 
@@ -180,6 +183,20 @@ def _merged(parts: list[DataFrame]) -> DataFrame:
     return parts[0].join(more, "rid", "left").mapInArrow(union, SCHEMA)
 
 
+def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram: int = GRAM, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of ``docs`` in which no window of any item occurs, with all their columns."""
+    at = docs.columns.index("text")
+    for index in _indexes(items, window, gram, block_bytes):
+
+        def keep(batches, index=index):
+            for b in c.text_batches(batches, text=at):
+                clean = [not hit.any() for _, hit, _ in index.value.scan(c.as_bytes(b.column(at)))]
+                yield b.filter(pa.array(clean, pa.bool_()))
+
+        docs = docs.mapInArrow(keep, docs.schema)
+    return docs
+
+
 def digest(found: DataFrame) -> DataFrame:
     return found.select(
         "doc_id",
