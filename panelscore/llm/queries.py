@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from panelscore.llm import language, line_dedup, near_join, packing, repeats, url_filter, winnowing
+from panelscore.llm import knn, language, line_dedup, near_join, packing, repeats, toxicity, url_filter, winnowing
 
 
 def queries() -> dict:
@@ -12,9 +12,11 @@ def queries() -> dict:
         "op3_ngram_jaccard_join": near_join.op3_ngram_jaccard_join,
         "op4_url_filter": url_filter.op4_url_filter,
         "op5_substring_dedup": repeats.op5_substring_dedup,
+        "op6_toxicity": toxicity.op6_toxicity,
         "op7_packing": packing.op7_packing,
         "op8_decontamination": winnowing.op8_decontamination,
         "op9_suffix_array_dedup": repeats.op9_suffix_array_dedup,
+        "op10_topk_search": knn.op10_topk_search,
     }
 
 
