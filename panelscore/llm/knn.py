@@ -94,7 +94,7 @@ def _one_dimension(data: DataFrame, asked: DataFrame, dim: int, k: int, pivots:
     norm = F.aggregate("v", F.lit(0.0), lambda a, e: a + e * e)
     top = data.agg(F.coalesce(F.max(norm), F.lit(0.0))).first()[0]
     chosen = data.orderBy(F.xxhash64("vec_id"), "vec_id").limit(pivots).collect()
-    points = np.array([r.v for r in chosen], float).reshape(-1, dim)
+    points = np.array([r.v for r in chosen], float).reshape(len(chosen), dim)
     points = np.concatenate([points, _lifted(points, top)[:, None]], 1)
     near = k + 1
 
