@@ -1,9 +1,9 @@
 """Ranks, medians and positions that never bring one large group into one task.
 
 A rank window over a period (or over nothing at all) would sort every entity of that period in a
-single task. Here ties are collapsed by a partially aggregated ``groupBy``, values fall into
-fixed-width buckets, and only two small windows remain: one over the buckets of a group (at most
-range/width rows) and one over the distinct values inside a bucket.
+single task. Here ties are collapsed by a partially aggregated ``groupBy``, the distinct values are
+range-partitioned, and only two small windows remain: one over the values of a chunk and one over the
+chunks of a group, which are at most as many as shuffle partitions.
 """
 
 from __future__ import annotations
@@ -16,47 +16,31 @@ from pyspark.sql import functions as F
 from panelscore.session import pin
 
 
-def rank_table(df: DataFrame, keys: Sequence[str], value: str, width: float = 0.01) -> DataFrame:
+def rank_table(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """One row per (keys, value): how many rows are smaller, equal, and in the group.
 
-    ``width`` suits values of about 0..100. Input with several uses should be pinned first.
+    The distinct values are dealt out in order of (keys, value), so neither a large group nor a narrow or wide range of
+    values decides who gets how much. Counts run inside each chunk of a group, and the sums of the chunks before it are
+    added: one row per group and chunk. The chunked table is pinned, since the chunk borders must not move between its uses.
     """
     keys = list(keys)
-    distinct = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*keys, value)
-        .agg(F.count(F.lit(1)).alias("n_equal"))
-        .withColumn("_bucket", F.floor(F.col(value) / width))
+    distinct = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n_equal"))
+    chunked = pin(distinct.repartitionByRange(*keys, value).withColumn("_chunk", F.spark_partition_id()))
+    within = Window.partitionBy(*keys, "_chunk").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    group = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    before = group.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    totals = chunked.groupBy(*keys, "_chunk").agg(F.sum("n_equal").alias("_n"))
+    totals = totals.select(
+        *[F.col(k).alias(f"_{k}") for k in keys],
+        F.col("_chunk").alias("_of"),
+        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_below"),
+        F.sum("_n").over(group).alias("n_total"),
     )
-    within = Window.partitionBy(*keys, "_bucket").orderBy(value)
-    distinct = distinct.withColumn(
-        "_below_in_bucket",
-        F.coalesce(F.sum("n_equal").over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
-    )
-    totals = distinct.groupBy(*keys, "_bucket").agg(F.sum("n_equal").alias("_n"))
-    over_buckets = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    totals = totals.withColumn(
-        "_below",
-        F.coalesce(
-            F.sum("_n").over(over_buckets.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-        ),
-    ).withColumn("n_total", F.sum("_n").over(over_buckets))
-    return distinct.join(totals.drop("_n"), [*keys, "_bucket"]).select(
-        *keys,
-        value,
-        (F.col("_below") + F.col("_below_in_bucket")).alias("n_less"),
-        "n_equal",
-        "n_total",
-    )
-
-
-def with_ranks(df: DataFrame, keys: Sequence[str], value: str, width: float = 0.01) -> DataFrame:
-    """``df`` (pinned by the caller) with n_less, n_equal and n_total; nulls keep null counts."""
-    table = rank_table(df, keys, value, width)
-    # Rows without a value match nothing; spread them, since a null key would gather in one task.
-    rows = df.where(F.col(value).isNotNull()).join(table, [*keys, value], "left")
-    rest = df.where(F.col(value).isNull())
-    return rows.unionByName(rest, allowMissingColumns=True)
+    same = F.col("_chunk") == F.col("_of")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    counted = chunked.withColumn("_ahead", F.coalesce(F.sum("n_equal").over(within), F.lit(0)))
+    return counted.join(totals, same).select(*keys, value, (F.col("_below") + F.col("_ahead")).alias("n_less"), "n_equal", "n_total")
 
 
 def order_statistic(position: Column, value: str) -> Column:

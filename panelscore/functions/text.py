@@ -11,6 +11,10 @@ from collections.abc import Sequence
 from panelscore.functions.scalar import BAND_CUTS, BANDS, SCORE_CENTRE, SCORE_SLOPE
 
 
+#: A spread below this share of the mean is what rounding leaves of equal values.
+NO_SPREAD = 1e-12
+
+
 def num(value: float) -> str:
     return f"{float(value)!r}D"
 
@@ -20,8 +24,11 @@ def text(value: str) -> str:
 
 
 def zscore(v: str, mean: str, std: str, n: str, min_obs: int) -> str:
-    """Null below ``min_obs``; exactly 0 where the spread is 0, also for a null value."""
-    return f"CASE WHEN {n} < {int(min_obs)} THEN NULL WHEN {std} = 0D THEN 0D ELSE try_divide({v} - {mean}, {std}) END"
+    """Null below ``min_obs``; exactly 0 where the spread is 0 up to rounding of the mean, also for a null value."""
+    return (
+        f"CASE WHEN {n} < {int(min_obs)} THEN NULL WHEN {std} <= {num(NO_SPREAD)} * abs({mean}) THEN 0D "
+        f"ELSE try_divide({v} - {mean}, {std}) END"
+    )
 
 
 def weighted_mean(values: Sequence[str], weights: Sequence[float]) -> str:

@@ -45,8 +45,9 @@ def _all_episodes(scores: DataFrame, episodes: Sequence[Episode], by: Sequence[s
     table = episode_table(scores.sparkSession, episodes)
     if not by:
         return table
-    groups = scores.select(*by).distinct().withColumn("_one", F.lit(1))
-    return groups.join(table.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    # Few values of ``by`` (schemes), few episodes: the episodes unfold in each row instead of being joined to it.
+    listed = table.agg(F.collect_list(F.struct(*table.columns)).alias("_all"))
+    return scores.select(*by).distinct().crossJoin(listed).select(*by, F.explode("_all").alias("_e")).select(*by, "_e.*")
 
 
 def replay(scores: DataFrame, episodes: Sequence[Episode], by: Sequence[str] = ()) -> DataFrame:
@@ -235,11 +236,8 @@ def metrics(results: DataFrame, tally: DataFrame, by: Sequence[str] = ()) -> Dat
         F.bround(F.median("lead_time"), 1).alias("median_lead_time"),
     )
     negatives = tally.select(*by, F.col("alarmed").alias("false_positives"), F.col("quiet").alias("true_negatives"))
-    # One row per value of ``by`` on both sides.
-    keys = list(by) or ["_one"]
-    if not by:
-        counts, negatives = counts.withColumn("_one", F.lit(1)), negatives.withColumn("_one", F.lit(1))
-    joined = counts.join(F.broadcast(negatives), keys, "left")
+    # One row per value of ``by`` on both sides; without ``by`` one row, and none of ordinary windows if there are none.
+    joined = counts.join(negatives, list(by) if by else F.lit(True), "left")
     tp, fn, fp, tn = (F.col(c) for c in ("true_positives", "false_negatives", "false_positives", "true_negatives"))
 
     def rate(part: Column, whole: Column) -> Column:

@@ -85,7 +85,5 @@ def agreement(compared: DataFrame) -> DataFrame:
     """Number of entities, rank correlation and share of agreeing bands."""
     compared = pin(compared)
     share = F.bround(F.avg(F.when(F.col("bands_match").isNotNull(), F.col("bands_match").cast("int"))), 3)
-    bands = compared.agg(share.alias("band_match_share")).withColumn("_one", F.lit(1))
-    # Both sides are one row.
-    order = spearman(compared, "engine_score", "reference_risk").withColumn("_one", F.lit(1))
-    return order.join(F.broadcast(bands), "_one").drop("_one")
+    # Two aggregates of one row each.
+    return spearman(compared, "engine_score", "reference_risk").crossJoin(compared.agg(share.alias("band_match_share")))

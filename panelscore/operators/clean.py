@@ -72,11 +72,13 @@ def check_period_range(start: int, end: int, allowed: int | None = None) -> tupl
 def keep_last(df: DataFrame, keys: Sequence[str] = (ENTITY, INDICATOR, PERIOD), order: str | Column = SEQ) -> DataFrame:
     """P5: the last arrival per key.
 
-    ``max_by`` is combined before the shuffle, so a key with a third of all rows leaves every
-    task as one row; a ``row_number`` window would sort all of them in a single task.
+    ``max_by`` is combined before the shuffle, so a key with a third of all rows leaves every task as one row; a
+    ``row_number`` window would sort all of them in a single task. Its struct buffer makes Spark sort each task's rows by key
+    on both sides of the shuffle. Rows without a position come first; equal positions fall to the greatest value and source.
     """
     rest = [c for c in df.columns if c not in keys]
     position = F.col(order) if isinstance(order, str) else order
+    position = F.struct(position.isNotNull(), position, *[col(c) for c in (VALUE, SOURCE) if c in rest])
     last = F.max_by(F.struct(*[col(c) for c in rest]), position).alias("_last")
     return df.groupBy(*keys).agg(last).select(*keys, "_last.*").select(*[col(c) for c in df.columns])
 
@@ -145,11 +147,9 @@ def fan_out(series: DataFrame, entities: DataFrame) -> DataFrame:
     """A series without entity (one row per period) given to every entity.
 
     The series is collapsed to one array first (one entry per period, bounded by the calendar)
-    and attached to the entities as a single broadcast row; the rows then unfold in place.
+    and attached to the entities as the single row it is; the rows then unfold in place.
     """
     others = [c for c in series.columns if c != ENTITY]
     packed = series.agg(F.array_sort(F.collect_list(F.struct(PERIOD, *[c for c in others if c != PERIOD]))).alias("_s"))
-    attached = entities.select(ENTITY).distinct().withColumn("_one", F.lit(1)).join(
-        F.broadcast(packed.withColumn("_one", F.lit(1))), "_one"
-    )
+    attached = entities.select(ENTITY).distinct().crossJoin(packed)
     return attached.select(ENTITY, F.explode("_s").alias("_r")).select(ENTITY, "_r.*")

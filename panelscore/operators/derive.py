@@ -34,8 +34,8 @@ class Derivation:
 
 
 def yoy(value: Column) -> Column:
-    """% change against the previous observed row."""
-    return pct_change(value, F.lag(value, 1).over(series()))
+    """% change against the previous row with a value."""
+    return pct_change(value, F.last(value, ignorenulls=True).over(series().rowsBetween(Window.unboundedPreceding, -1)))
 
 
 def diff_bps(value: Column) -> Column:
@@ -124,6 +124,8 @@ def derive(panel: DataFrame, rules: Sequence[Derivation]) -> DataFrame:
                 ENTITY, F.col("_d.code").alias(INDICATOR), PERIOD, F.col("_d.value").alias(VALUE), F.col("_d.source")
             )
         )
+    if not parts:
+        return panel.where(F.lit(False)).select(ENTITY, INDICATOR, PERIOD, F.lit(None).cast("double").alias(VALUE), F.lit("").alias(SOURCE), F.lit("ok").alias(FLAG)).select(*LONG_COLUMNS)
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
@@ -137,6 +139,9 @@ def _emit(rule: Derivation) -> Column:
         when = when & (F.col(ENTITY) == rule.only_entity.upper())
     if rule.rule in SPARSE:
         when = when & value.isNotNull()
+    if rule.rule == "yoy":
+        # A row without a value is no observation.
+        when = when & F.col(VALUE).isNotNull()
     return F.when(
         when, F.struct(F.lit(rule.code).alias("code"), value.alias("value"), F.lit(rule.source).alias("source"))
     )

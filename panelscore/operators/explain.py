@@ -167,6 +167,7 @@ def limitations() -> str:
     return f"concat_ws('\\n', {caution}, {fixed})"
 
 
+# The wording in the functions below, up to reports(), and in with_trend, with_peers and confidence_section.
 def _scenario_parts(preset: Preset) -> list[str]:
     rate = preset.driver == RATE_DRIVER
     label = RATE_LABEL if rate else f"{preset.driver} moves by"
@@ -222,9 +223,9 @@ def reports(
             [ENTITY, PERIOD],
             "left",
         )
-        # A handful of targets per slice.
+        # A handful of targets per slice, in the order of the preset.
         packed = channels.groupBy(ENTITY, PERIOD).agg(
-            F.array_sort(F.collect_list(F.struct("target", "estimated_delta", "r_squared", "n_obs"))).alias("channels")
+            F.array_sort(F.collect_list(F.struct("position", "target", "estimated_delta", "r_squared", "n_obs"))).alias("channels")
         )
         rows = rows.join(packed, [ENTITY, PERIOD], "left")
 
@@ -264,7 +265,11 @@ def reports(
 def dossiers(
     scores: DataFrame, model: Model, scenarios: DataFrame | None = None
 ) -> DataFrame:
-    """One nested row per scored slice; ``scores`` comes from ``story_scores`` with k = 6."""
+    """One nested row per scored slice; ``scores`` comes from ``story_scores`` with k = 6.
+
+    An entity's trajectory is the same for all its slices: it is a table of its own (``rank.trajectories``), looked up by
+    entity when a slice is shown, since repeated in each slice it would grow with the square of the periods.
+    """
     pillars = scoring.pillar_list(rank.scored(scores), model)
     contributions = (
         "transform(top, d -> named_struct('indicator', d.indicator, 'label', d.label, 'category', d.category, 'pillar', d.pillar, "
@@ -278,7 +283,7 @@ def dossiers(
     standing = rank.peer_standing(scores).select(
         ENTITY, PERIOD, F.struct("percentile", "riskier_share", "rank", "n", "group_name").alias("peer_standing")
     )
-    out = rows.join(standing, [ENTITY, PERIOD], "left").join(rank.trajectories(scores), ENTITY, "left")
+    out = rows.join(standing, [ENTITY, PERIOD], "left")
     if scenarios is not None:
         packed = scenarios.groupBy(ENTITY, PERIOD).agg(
             F.array_sort(

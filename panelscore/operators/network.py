@@ -15,11 +15,11 @@ from pyspark.sql import functions as F
 
 from panelscore.functions.ranks import global_index
 from panelscore.schema import ENTITY, PERIOD
-from panelscore.session import pin
+from panelscore.session import pin, unpin
 
 SCORE = "risk_score"
 # Defaults of the network.
-MIN_PAIRS, THRESHOLD, MAX_EDGES = 4, 0.5, 60
+MIN_PAIRS, THRESHOLD = 4, 0.5
 BLOCK_ROWS = 2048
 PAIR_SCHEMA = "kind string, a string, b string, correlation double, pairs bigint, abs_sum double, peers bigint"
 
@@ -129,12 +129,15 @@ def correlations(
     threshold: float = THRESHOLD,
     block_rows: int = BLOCK_ROWS,
     entities: int | None = None,
+    whole: bool = False,
 ) -> DataFrame:
     """Rows of kind ``pair`` (|r| >= threshold, overlap) and ``node`` (partial sums of |r|).
 
-    ``threshold`` 0 gives the whole matrix. ``entities`` may pass a known row count; it sizes the
+    ``threshold`` 0 gives the whole matrix and has to be asked for with ``whole``, for its rows grow with the square of the entities. ``entities`` may pass a known row count; it sizes the
     blocks so that a group never holds more than about two blocks of rows.
     """
+    if threshold <= 0 and not whole:
+        raise ValueError("a threshold of 0 returns every pair; pass whole=True to mean it")
     count = vectors.count() if entities is None else int(entities)
     blocks = max(1, -(-count // int(block_rows)))
     least = max(2, int(min_pairs))
@@ -152,8 +155,11 @@ def pair_table(found: DataFrame) -> DataFrame:
     return found.where(F.col("kind") == "pair").select("a", "b", "correlation", "pairs")
 
 
-def edges(found: DataFrame, max_edges: int | None = MAX_EDGES) -> DataFrame:
-    """The strongest edges by rounded |r|, ties by name. The limit is a distributed top-k."""
+def edges(found: DataFrame, max_edges: int | None = None) -> DataFrame:
+    """The edges, or the ``max_edges`` strongest by rounded |r|, ties by name (a distributed top-k).
+
+    Degree, sign share and clusters take all of them: a limited list makes loners of most entities.
+    """
     rounded = pair_table(found).withColumn("correlation", F.bround("correlation", 4))
     if max_edges is None:
         return rounded
@@ -174,7 +180,7 @@ def components(edge_table: DataFrame) -> DataFrame:
     both = pin(
         edge_table.select("a", "b").unionByName(edge_table.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     )
-    labels = pin(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")))
+    held = labels = pin(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")))
     while True:
         offered = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("offer"))
         spread = labels.join(offered, F.col("node") == F.col("a")).select(
@@ -187,8 +193,10 @@ def components(edge_table: DataFrame) -> DataFrame:
             )
         )
         changed = moved.where(F.col("old") != F.col("label")).count()
-        labels = moved.select("node", "label")
+        unpin(held)
+        held, labels = moved, moved.select("node", "label")
         if changed == 0:
+            unpin(both)
             return labels
 
 
@@ -203,7 +211,7 @@ def clusters(nodes: DataFrame, edge_table: DataFrame) -> DataFrame:
 
 
 def nodes(found: DataFrame, edge_table: DataFrame) -> DataFrame:
-    """Mean |r| with all entities a finite r exists for, and the degree among the kept edges."""
+    """Mean |r| with all entities a finite r exists for, and the degree among the edges."""
     sums = found.where(F.col("kind") == "node").groupBy(F.col("a").alias(ENTITY)).agg(
         F.sum("abs_sum").alias("_s"), F.sum("peers").alias("_n")
     )
@@ -228,7 +236,8 @@ def summary(found: DataFrame, edge_table: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("edges"),
         F.bround(F.avg(F.when(F.col("correlation") >= 0, 1.0).otherwise(0.0)), 4).alias("positive_edge_share"),
     )
-    joined = totals.withColumn("_one", F.lit(1)).join(F.broadcast(kept.withColumn("_one", F.lit(1))), "_one")
+    # Two aggregates of one row each.
+    joined = totals.crossJoin(kept)
     n = F.col("entities")
     return joined.select(
         "entities", F.floor(n * (n - 1) / 2).alias("pairs_considered"), "mean_abs_correlation", "edges", "positive_edge_share"
@@ -236,11 +245,11 @@ def summary(found: DataFrame, edge_table: DataFrame) -> DataFrame:
 
 
 def network(
-    scores: DataFrame, min_pairs: int = MIN_PAIRS, threshold: float = THRESHOLD, max_edges: int | None = MAX_EDGES
+    scores: DataFrame, min_pairs: int = MIN_PAIRS, threshold: float = THRESHOLD
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(correlation rows, edges, nodes with cluster); the quadratic step runs once and is pinned."""
     vectors = pin(delta_vectors(scores))
     found = pin(correlations(vectors, min_pairs, threshold))
-    kept = pin(edges(found, max_edges))
+    kept = pin(edges(found))
     members = nodes(found, kept).join(clusters(vectors, kept), ENTITY)
     return found, kept, members

@@ -24,9 +24,9 @@ def coverage(panel: DataFrame, entities: DataFrame, indicators: Sequence[str], p
     """
     expected = max(1, len(indicators) * len(periods))
     asked = panel.where(F.col(INDICATOR).isin(list(indicators)) & F.col(PERIOD).isin(list(periods)))
-    seen = asked.select(ENTITY, INDICATOR, PERIOD).distinct().groupBy(ENTITY).agg(F.count(F.lit(1)).alias("_n"))
+    seen = asked.select(F.upper(ENTITY).alias(ENTITY), INDICATOR, PERIOD).distinct().groupBy(ENTITY).agg(F.count(F.lit(1)).alias("_n"))
     observed = F.coalesce(F.col("_n"), F.lit(0)).cast("bigint")
-    return entities.select(ENTITY).distinct().join(seen, ENTITY, "left").select(
+    return entities.select(F.upper(ENTITY).alias(ENTITY)).distinct().join(seen, ENTITY, "left").select(
         ENTITY,
         F.lit(expected).cast("bigint").alias("expected"),
         observed.alias("observed"),
@@ -43,14 +43,19 @@ def missing_indicators(panel: DataFrame, model: Model) -> DataFrame:
     return wanted.join(found, INDICATOR, "left_anti")
 
 
-def empty_pillars(spark, model: Model) -> DataFrame:
+def structure_problems(model: Model) -> list[tuple[str, str]]:
     """Q3: weighted pillars without a weighted indicator, and pillars the sectors do not partition."""
     occupied = {i.pillar for i in model.weighted}
     listed = {p for members in model.sectors.values() for p in members}
     rows = [("pillar_coverage", p) for p in sorted(set(model.active_pillars) - occupied)]
     if model.sectors and model.params.sector_composite_weight > 0:
         rows += [("sector_partition", p) for p in sorted(occupied ^ listed)]
-    return local_table(spark, rows, "check string, pillar string")
+    return rows
+
+
+def empty_pillars(spark, model: Model) -> DataFrame:
+    """Q3 as a table."""
+    return local_table(spark, structure_problems(model), "check string, pillar string")
 
 
 def latest_covered_period(panel: DataFrame, model: Model, min_coverage: float = 0.8, min_entities: int = 5) -> DataFrame:
@@ -71,6 +76,8 @@ def derivation_drift(wide: DataFrame, rules: Sequence[Derivation], tolerance: fl
     """Q5: re-derive from the base columns and compare with the stored ones."""
     present = set(wide.columns)
     usable = [r for r in rules if {r.code, r.base} <= present and (r.other is None or r.other in present)]
+    if not usable:
+        return wide.sparkSession.createDataFrame([], f"{INDICATOR} string, max_drift double, rows bigint, drifted boolean")
     codes = sorted({r.code for r in usable} | {c for r in usable for c in (r.base, r.other) if c})
     long = to_long(wide, codes).where(F.col(VALUE).isNotNull())
     expected = derive(long, usable).select(ENTITY, PERIOD, INDICATOR, F.col(VALUE).alias("_expected"))
@@ -87,11 +94,13 @@ def episode_checks(panel: DataFrame, episodes: Sequence[Episode], entities: Data
     """Q6: episodes of unknown entities or with years outside the panel."""
     spark = panel.sparkSession
     table = episode_table(spark, episodes)
-    known = panel.select(ENTITY) if entities is None else panel.select(ENTITY).unionByName(entities.select(ENTITY))
+    known = panel.select(F.upper(ENTITY).alias(ENTITY))
+    if entities is not None:
+        known = known.unionByName(entities.select(F.upper(ENTITY).alias(ENTITY)))
     # Only the episodes' own entities matter: one row each, whatever the size of the panel.
     known = known.join(table.select(ENTITY).distinct(), ENTITY, "left_semi").distinct().withColumn("_known", F.lit(True))
-    span = panel.agg(F.min(PERIOD).alias("_low"), F.max(PERIOD).alias("_high")).withColumn("_one", F.lit(1))
-    joined = table.join(known, ENTITY, "left").withColumn("_one", F.lit(1)).join(F.broadcast(span), "_one")
+    span = panel.agg(F.min(PERIOD).alias("_low"), F.max(PERIOD).alias("_high"))
+    joined = table.join(known, ENTITY, "left").crossJoin(span)
 
     def outside(name: str) -> Column:
         return (F.col(name) < F.col("_low")) | (F.col(name) > F.col("_high"))
@@ -114,7 +123,7 @@ def report(
     spark = wide.sparkSession
     weighted = [i.code for i in model.weighted]
     covered = [c for c in weighted if c in wide.columns]
-    structure_ok = len(empty_pillars(spark, model).head(1)) == 0
+    structure_ok = not structure_problems(model)
     drift = derivation_drift(wide, rules).agg(
         F.coalesce(F.bool_and(~F.col("drifted")), F.lit(True)).alias("derivations")
     )
@@ -125,7 +134,7 @@ def report(
     out = span
     for part in (entities, drift, warned):
         # Every part is one row.
-        out = out.withColumn("_one", F.lit(1)).join(F.broadcast(part.withColumn("_one", F.lit(1))), "_one").drop("_one")
+        out = out.crossJoin(part)
     out = (
         out.withColumn("indicators_total", F.lit(len(weighted)).cast("bigint"))
         .withColumn("indicators_covered", F.lit(len(covered)).cast("bigint"))
@@ -151,7 +160,7 @@ def provenance(
         for name, text in sources.items()
     ]
     facts = panel.agg(F.count_if(F.col("flag") == "out_of_range").alias("out_of_range"), *flags)
-    out = facts.withColumn("_one", F.lit(1)).join(F.broadcast(received.withColumn("_one", F.lit(1))), "_one").drop("_one")
+    out = facts.crossJoin(received)
     share = F.lit(0.0) if expected == 0 else F.bround(F.col("received") * 100.0 / expected, 1)
     notes = F.array(
         F.when(
@@ -171,21 +180,21 @@ def provenance(
     )
 
 
-def run_metadata(panel: DataFrame, entities: int, model: Model) -> DataFrame:
-    """Q9: counts of a run over a long panel with unique keys."""
+def run_metadata(panel: DataFrame, entities: int, model: Model, periods: int = 1) -> DataFrame:
+    """Q9: counts of a run over a long panel with unique keys; expected are entities x indicators x periods."""
     per_entity = panel.groupBy(ENTITY).agg(F.count(F.lit(1)).alias("_n")).agg(
         F.count(F.lit(1)).alias("entity_count"), F.sum("_n").alias("observations_received")
     )
     codes = panel.where(F.col(INDICATOR).isin(model.codes)).select(INDICATOR).distinct().agg(
         F.count(F.lit(1)).alias("indicator_count")
     )
-    joined = per_entity.withColumn("_one", F.lit(1)).join(F.broadcast(codes.withColumn("_one", F.lit(1))), "_one")
+    joined = per_entity.crossJoin(codes)
     received = F.coalesce(F.col("observations_received"), F.lit(0))
     return joined.select(
         "entity_count",
         "indicator_count",
         received.alias("observations_received"),
-        F.greatest(F.lit(0).cast("bigint"), F.lit(entities * len(model.codes)).cast("bigint") - received).alias("observations_missing"),
+        F.greatest(F.lit(0).cast("bigint"), F.lit(entities * len(model.codes) * periods).cast("bigint") - received).alias("observations_missing"),
     )
 
 

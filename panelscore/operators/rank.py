@@ -151,7 +151,7 @@ def panel_kpis(scores: DataFrame) -> DataFrame:
     known = scored(scores)
     score_median = median_table(rank_table(known, [PERIOD], SCORE), [PERIOD], SCORE, "median_score").drop("n_total")
     share_median = median_table(
-        rank_table(known, [PERIOD], "data_completeness", width=1e-4), [PERIOD], "data_completeness", "median_completeness"
+        rank_table(known, [PERIOD], "data_completeness"), [PERIOD], "data_completeness", "median_completeness"
     ).drop("n_total")
     return facts.join(score_median, PERIOD, "left").join(share_median, PERIOD, "left")
 
@@ -206,12 +206,19 @@ def score_matrix(scores: DataFrame, periods: Sequence[int]) -> DataFrame:
     return scored(scores).groupBy(ENTITY).agg(*cells)
 
 
-def map_layer(scores: DataFrame, periods: Sequence[int]) -> DataFrame:
-    """Every entity in every listed period, "No data" where there is no score, and the highlight."""
+def scored_periods(scores: DataFrame) -> list[int]:
+    """The periods that have a score; as many as the calendar has."""
+    return sorted(r[0] for r in scored(scores).select(PERIOD).distinct().collect())
+
+
+def map_layer(scores: DataFrame, periods: Sequence[int] | None = None) -> DataFrame:
+    """Every entity in every period (those with a score, unless listed), "No data" where there is no score, and the highlight."""
     from panelscore.functions.scalar import band
 
+    periods = scored_periods(scores) if periods is None else list(periods)
     matrix = score_matrix(scores, periods)
-    cells = F.array(*[F.struct(F.lit(int(p)).alias(PERIOD), col(str(p)).alias(SCORE)) for p in periods])
+    grid = F.array(*[F.struct(F.lit(int(p)).alias(PERIOD), col(str(p)).alias(SCORE)) for p in periods])
+    cells = grid if periods else F.expr(f"CAST(array() AS ARRAY<STRUCT<{PERIOD}: INT, {SCORE}: DOUBLE>>)")
     rows = matrix.select(ENTITY, F.explode(cells).alias("_c")).select(ENTITY, "_c.*")
     label = F.coalesce(band(F.col(SCORE)), F.lit("No data"))
     return rows.withColumn("label", label).withColumn("highlight", F.col("label").isin("High", "Severe"))

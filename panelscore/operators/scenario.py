@@ -29,9 +29,8 @@ EXTRAPOLATION = " The chosen shock sits outside the observed historical range of
 
 
 def usable_targets(panel: DataFrame, preset: Preset) -> list[str]:
-    if preset.driver not in panel.columns:
-        raise ValueError(f"scenario driver {preset.driver} is not in the panel")
-    return [target for target in preset.targets if target in panel.columns]
+    """Targets in the panel; none without the driver."""
+    return [target for target in preset.targets if target in panel.columns] if preset.driver in panel.columns else []
 
 
 def _pairs(panel: DataFrame, presets: Sequence[Preset]) -> list[tuple[int, Preset, int, str]]:
@@ -49,7 +48,8 @@ def estimates(panel: DataFrame, presets: Sequence[Preset]) -> DataFrame:
         found = ols(finite(col(preset.driver)), finite(col(target)))
         aggregates += [e.alias(f"{name}_{s}_{k}") for name, e in found.items()]
     for s, preset in enumerate(presets):
-        driver = finite(col(preset.driver))
+        # Nothing is known of a driver that nobody delivered.
+        driver = finite(col(preset.driver)) if preset.driver in panel.columns else F.lit(None).cast("double")
         aggregates += [F.min(driver).alias(f"low_{s}"), F.max(driver).alias(f"high_{s}")]
     one = panel.agg(*aggregates)
     deltas = [f"slope_{s}_{k} * {t.num(p.amount)} AS delta_{s}_{k}" for s, p, k, _ in _pairs(panel, presets)]
@@ -90,30 +90,43 @@ def regressions(panel: DataFrame, presets: Sequence[Preset]) -> DataFrame:
         f"'driver_min', driver_min_{s}_{k}, 'driver_max', driver_max_{s}_{k}, 'information', information_{s})"
         for s, p, k, target in _pairs(panel, presets)
     )
-    return estimates(panel, presets).selectExpr(f"inline(array({rows}))")
+    return estimates(panel, presets).selectExpr(f"inline({_rows(rows, REGRESSION)})")
+
+
+def _rows(structs: str, fields: str) -> str:
+    return f"array({structs})" if structs else f"CAST(array() AS ARRAY<STRUCT<{fields}>>)"
+
 
+REGRESSION = "preset: STRING, driver: STRING, target: STRING, slope: DOUBLE, r_squared: DOUBLE, n_obs: BIGINT, driver_min: DOUBLE, driver_max: DOUBLE, information: STRING"
+DELTA = (
+    "preset: STRING, target: STRING, position: INT, baseline_value: DOUBLE, estimated_delta: DOUBLE, r_squared: DOUBLE, n_obs: BIGINT, "
+    "baseline_driver_value: DOUBLE, shocked_driver_value: DOUBLE"
+)
 
-def target_deltas(panel: DataFrame, presets: Sequence[Preset]) -> DataFrame:
-    """Estimated move of every target for every cell and preset."""
-    found = _estimate_literals(panel, presets)
+
+def target_deltas(panel: DataFrame, presets: Sequence[Preset], found: DataFrame | None = None) -> DataFrame:
+    """Estimated move of every target for every cell and preset; ``position`` is the target's place in the preset.
+
+    ``found`` may pass finished ``estimates``, the one row that is joined to every cell.
+    """
+    found = estimates(panel, presets) if found is None else found
     rows = ", ".join(
-        f"named_struct('preset', {t.text(p.key)}, 'target', {t.text(target)}, 'baseline_value', `{target}`, "
-        f"'estimated_delta', {_literal(found[f'delta_{s}_{k}'])}, 'r_squared', {_literal(found[f'r_squared_{s}_{k}'])}, "
-        f"'n_obs', CAST({int(found[f'n_obs_{s}_{k}'])} AS BIGINT), "
-        f"'baseline_driver_value', `{p.driver}`, 'shocked_driver_value', `{p.driver}` + {t.num(p.amount)})"
+        f"named_struct('preset', {t.text(p.key)}, 'target', {t.text(target)}, 'position', {k}, 'baseline_value', CAST(`{target}` AS DOUBLE), "
+        f"'estimated_delta', delta_{s}_{k}, 'r_squared', r_squared_{s}_{k}, 'n_obs', n_obs_{s}_{k}, "
+        f"'baseline_driver_value', CAST(`{p.driver}` AS DOUBLE), 'shocked_driver_value', `{p.driver}` + {t.num(p.amount)})"
         for s, p, k, target in _pairs(panel, presets)
     )
-    return panel.selectExpr(ENTITY, PERIOD, f"inline(array({rows}))")
+    return panel.crossJoin(found).selectExpr(ENTITY, PERIOD, f"inline({_rows(rows, DELTA)})")
 
 
 def _replaced_peer_z(n: int, x: str, model: Model) -> str:
     """Peer z after one member of the group moved from v to x: same n, shifted mean, updated spread."""
     mean = f"(pm{n} + ({x} - v{n}) / pn{n})"
-    square = f"greatest(0D, pn{n} * ps{n} * ps{n} + ({x} - v{n}) * ({x} - {mean} + v{n} - pm{n}))"
-    std = f"sqrt({square} / pn{n})"
-    # Rounding noise of the update must not pass for spread.
-    std = f"if({std} <= 1e-12D * greatest(abs({mean}), abs({x})), 0D, {std})"
-    return t.zscore(x, mean, std, f"pn{n}", model.params.min_peer_obs)
+    before = f"pn{n} * ps{n} * ps{n}"
+    square = f"({before} + ({x} - v{n}) * ({x} - {mean} + v{n} - pm{n}))"
+    # What is left of the spread when nearly all of it is taken away is rounding.
+    square = f"if({square} <= {t.num(t.NO_SPREAD)} * ({before} + ({x} - v{n}) * ({x} - v{n})), 0D, {square})"
+    return t.zscore(x, mean, f"sqrt({square} / pn{n})", f"pn{n}", model.params.min_peer_obs)
 
 
 def _replaced_history_z(n: int, x: str, model: Model) -> str:
@@ -124,29 +137,26 @@ def _replaced_history_z(n: int, x: str, model: Model) -> str:
     return t.zscore(x, mean, f"sqrt({square} / {count})", count, model.params.min_history_obs)
 
 
-def _estimate_literals(panel: DataFrame, presets: Sequence[Preset]) -> dict[str, object]:
-    """The single row of ``estimates``, whose width depends on the presets only, as plan literals."""
-    return estimates(panel, presets).first().asDict()
+def _moved(n: int) -> str:
+    """A move below the last digits of the value is none."""
+    return f"abs(x{n} - v{n}) > {t.num(t.NO_SPREAD)} * abs(v{n})"
 
 
-def _literal(value: object) -> str:
-    if value is None:
-        return "CAST(NULL AS DOUBLE)"
-    return t.text(value) if isinstance(value, str) else t.num(value)
-
-
-def shock_scores(panel: DataFrame, model: Model, presets: Sequence[Preset], peers: DataFrame | None = None) -> DataFrame:
-    """X5-X7 for every scored cell and preset: baseline and shocked score, bands, extrapolation, labels.
+def shock_scores(
+    panel: DataFrame, model: Model, presets: Sequence[Preset], peers: DataFrame | None = None, found: DataFrame | None = None
+) -> DataFrame:
+    """X5-X7 for every scored cell and preset: baseline and shocked score, bands, extrapolation, labels, status.
 
-    ``panel`` should be a table: the regressions take one pass over it, the scores another. A row
-    unfolds into its presets after the windows, so the update formulas exist once, not per preset.
+    ``panel`` should be a table: the regressions take one pass over it, unless ``found`` passes finished ``estimates``, and
+    the scores another. A row unfolds into its presets after the windows, so the update formulas exist once, not per preset.
+    A preset whose driver nobody delivered gives rows without a shocked score and with that status.
     """
-    found = _estimate_literals(panel, presets)
+    found = estimates(panel, presets) if found is None else found
     numbers = scoring.present(panel, model)
     number_of = {model.indicators[n].code: n for n in numbers}
     pairs = [(s, k, number_of[target]) for s, _, k, target in _pairs(panel, presets) if target in number_of]
     moved = sorted({n for _, _, n in pairs})
-    drivers = sorted({p.driver for p in presets})
+    drivers = sorted({p.driver for p in presets if p.driver in panel.columns})
     keys = scoring.KEYS
 
     carried = [f"CAST(`{d}` AS DOUBLE) AS driver_{j}" for j, d in enumerate(drivers)]
@@ -172,30 +182,31 @@ def shock_scores(panel: DataFrame, model: Model, presets: Sequence[Preset], peer
         composite, _ = scoring.composite_exprs(model, columns, names)
         return df.selectExpr("*", f"{composite} AS {name}_score").drop(*columns.values(), *names.values())
 
-    staged = rolled(staged, {}, "baseline")
-    delta_of = {(s, n): found[f"delta_{s}_{k}"] for s, k, n in pairs}
+    staged = rolled(staged, {}, "baseline").crossJoin(found)
+    delta_of = {(s, n): f"delta_{s}_{k}" for s, k, n in pairs}
     rows = []
     for s, p in enumerate(presets):
-        driver = f"driver_{drivers.index(p.driver)}"
+        known = p.driver in drivers
+        driver = f"driver_{drivers.index(p.driver)}" if known else "CAST(NULL AS DOUBLE)"
         after = f"({driver} + {t.num(p.amount)})"
-        low, high = _literal(found[f"low_{s}"]), _literal(found[f"high_{s}"])
+        low, high = f"low_{s}", f"high_{s}"
         # Without an estimate a target does not move.
-        moves = ", ".join(f"'d{n}', {_literal(delta_of.get((s, n)))}" for n in moved)
+        moves = ", ".join(f"'d{n}', {delta_of.get((s, n), 'CAST(NULL AS DOUBLE)')}" for n in moved)
         rows.append(
             f"named_struct('preset', {t.text(p.key)}, 'baseline_driver_value', {driver}, 'shocked_driver_value', {after}, "
-            f"'information', {_literal(found[f'information_{s}'])}, "
+            f"'information', information_{s}, 'known', {str(known).lower()}, "
             f"'out_of_sample', coalesce({after} < {low} OR {after} > {high}, false){', ' + moves if moves else ''})"
         )
     staged = staged.selectExpr("*", f"inline(array({', '.join(rows)}))")
     staged = staged.selectExpr("*", *[f"v{n} + d{n} AS x{n}" for n in moved])
     timed = []
     for n in moved:
-        timed.append(f"if(x{n} IS NULL, zt{n}, {_replaced_history_z(n, f'x{n}', model)}) AS t{n}")
-        timed.append(f"if(x{n} IS NULL, zp{n}, {_replaced_peer_z(n, f'x{n}', model)}) AS q{n}")
+        timed.append(f"if({_moved(n)}, {_replaced_history_z(n, f'x{n}', model)}, zt{n}) AS t{n}")
+        timed.append(f"if({_moved(n)}, {_replaced_peer_z(n, f'x{n}', model)}, zp{n}) AS q{n}")
     staged = staged.selectExpr("*", *timed)
     staged = staged.selectExpr("*", *[f"{scoring.blend(f't{n}', f'q{n}', model)} AS c{n}" for n in moved])
-    out = rolled(staged, {n: f"c{n}" for n in moved}, "scenario")
-    window = t.text(f"{found['from_period']}–{found['to_period']}")
+    out = rolled(staged, {n: f"c{n}" for n in moved}, "scenario").selectExpr("* EXCEPT (scenario_score)", "if(known, scenario_score, NULL) AS scenario_score")
+    window = "concat(from_period, '–', to_period)"
     return out.selectExpr(
         *keys,
         "preset",
@@ -209,7 +220,7 @@ def shock_scores(panel: DataFrame, model: Model, presets: Sequence[Preset], peer
         "information",
         "out_of_sample",
         f"{window} AS estimation_window",
-        "if(baseline_score IS NULL, 'no baseline score', 'ok') AS status",
+        "CASE WHEN NOT known THEN 'driver not in the panel' WHEN baseline_score IS NULL THEN 'no baseline score' ELSE 'ok' END AS status",
     )
 
 
@@ -223,7 +234,7 @@ def narrative(scenarios: DataFrame, presets: Sequence[Preset]) -> DataFrame:
     head = pick(
         lambda p: f"{p.name or 'Custom'} shock: a {abs(p.amount):g} {p.unit} change in the {p.driver_label or p.driver} ({p.driver}) moves "
     )
-    direction = "CASE WHEN delta > 0 THEN 'elevated risk' WHEN delta < 0 THEN 'moderated risk' ELSE 'unchanged risk' END"
+    direction = "CASE WHEN delta > 1e-9D THEN 'elevated risk' WHEN delta < -1e-9D THEN 'moderated risk' ELSE 'unchanged risk' END"
     sentence = (
         f"concat({head}, {ENTITY}, '\\'s risk score from ', format_string('%.1f', bround(baseline_score, 1)), ' (', baseline_band, ') to ', "
         "format_string('%.1f', bround(scenario_score, 1)), ' (', scenario_band, ') — a ', format_string('%.1f', bround(abs(delta), 1)), "
@@ -243,6 +254,8 @@ def run_shock(
     found = rows.select("status").head(1)
     if not found:
         raise ValueError("the selected slice is not in the panel")
-    if found[0]["status"] != "ok":
+    if found[0]["status"] == "no baseline score":
         raise ValueError("no baseline score is available for the selected slice")
+    if found[0]["status"] != "ok":
+        raise ValueError(f"scenario driver {preset.driver} is not in the panel")
     return rows

@@ -39,13 +39,21 @@ def present(panel: DataFrame, model: Model) -> list[int]:
     return found
 
 
+def peer_groups(peers: DataFrame) -> DataFrame:
+    """(entity, peer_group) with upper-case ids; an entity in two groups is an error where it is read."""
+    one = peers.groupBy(F.upper(F.col(ENTITY).cast("string")).alias(ENTITY)).agg(F.min(PEER_GROUP).alias(PEER_GROUP), F.max(PEER_GROUP).alias("_last"))
+    twice = F.raise_error(F.concat(F.lit("more than one peer group for "), F.col(ENTITY))).cast("string")
+    return one.select(ENTITY, F.when(F.col(PEER_GROUP).eqNullSafe(F.col("_last")), F.col(PEER_GROUP)).otherwise(twice).alias(PEER_GROUP))
+
+
 def prepare(
     panel: DataFrame, model: Model, peers: DataFrame | None = None, extra: Sequence[str] = ()
 ) -> DataFrame:
     """Typed columns v<n>, one per indicator present; peer_group stays null where there is none."""
     require(panel, ENTITY, PERIOD)
     if peers is not None:
-        panel = panel.drop(PEER_GROUP).join(peers.select(ENTITY, PEER_GROUP), ENTITY, "left")
+        panel = panel.drop(PEER_GROUP).withColumn(ENTITY, F.upper(F.col(ENTITY).cast("string")))
+        panel = panel.join(peer_groups(peers), ENTITY, "left")
     elif PEER_GROUP not in panel.columns:
         panel = panel.withColumn(PEER_GROUP, F.lit(None).cast("string"))
     return panel.selectExpr(
@@ -328,14 +336,17 @@ def signed_drivers(z: DataFrame, model: Model, up: int = 6, down: int = 6) -> Da
 
 
 def pillar_list(scores: DataFrame, model: Model) -> DataFrame:
-    """Pillars of a slice ordered by score, highest first, as one array column."""
+    """Pillars of a slice ordered by score, highest first, as one array column; scores equal to nine decimals are ties."""
     entries = ", ".join(
-        f"named_struct('score', {pillar_column(p)}, 'pillar', {t.text(p)}, 'band', {t.band(pillar_column(p))}, "
+        f"named_struct('k', rint({pillar_column(p)} * 1e9D), 'pillar', {t.text(p)}, 'score', {pillar_column(p)}, 'band', {t.band(pillar_column(p))}, "
         f"'weight', {t.num(model.pillar_weights[p])})"
         for p in model.active_pillars
         if pillar_column(p) in scores.columns
     )
-    return scores.selectExpr("*", f"sort_array(filter(array({entries}), p -> p.score IS NOT NULL), false) AS pillars")
+    ordered = f"sort_array(filter(array({entries}), p -> p.score IS NOT NULL), false)"
+    return scores.selectExpr(
+        "*", f"transform({ordered}, p -> named_struct('score', p.score, 'pillar', p.pillar, 'band', p.band, 'weight', p.weight)) AS pillars"
+    )
 
 
 def scheme_scores(z: DataFrame, model: Model) -> DataFrame:

@@ -100,12 +100,6 @@ def nation_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def hundredths(name: str) -> Column:
-    """A two-decimal rate as an integer. Its sums are exact in any order, so equal averages stay equal
-    and a group without spread has a standard deviation of exactly 0."""
-    return F.round(F.col(name) * 100).cast("bigint")
-
-
 def nation_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Wide base series per nation and year.
 
@@ -133,8 +127,8 @@ def nation_base(spark: SparkSession, sf_dir: str) -> DataFrame:
         .groupBy("l_suppkey", F.year("l_shipdate").cast("int").alias(PERIOD))
         .agg(
             F.count(F.lit(1)).alias("lines"),
-            F.sum(hundredths("l_discount")).alias("discount"),
-            F.sum(hundredths("l_tax")).alias("tax"),
+            F.sum("l_discount").alias("discount"),
+            F.sum("l_tax").alias("tax"),
             F.count_if(F.col("l_returnflag") == "R").alias("returned"),
         )
         .join(
@@ -150,8 +144,8 @@ def nation_base(spark: SparkSession, sf_dir: str) -> DataFrame:
         .agg(*[F.sum(c).alias(c) for c in parts])
     )
 
-    def per(total: str, n: str, scale: int = 1) -> Column:
-        return F.try_divide(F.col(total), F.col(n) * scale)
+    def per(total: str, n: str) -> Column:
+        return F.try_divide(F.col(total), F.col(n))
 
     return cells.join(nation_dimension(spark, sf_dir).select("n_nationkey", ENTITY), "n_nationkey").select(
         ENTITY,
@@ -160,8 +154,8 @@ def nation_base(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("orders").cast("double").alias("ORDER_COUNT"),
         per("open", "orders").alias("OPEN_SHARE"),
         per("urgent", "orders").alias("URGENT_SHARE"),
-        per("discount", "lines", 100).alias("AVG_DISCOUNT"),
-        per("tax", "lines", 100).alias("AVG_TAX"),
+        per("discount", "lines").alias("AVG_DISCOUNT"),
+        per("tax", "lines").alias("AVG_TAX"),
         per("returned", "lines").alias("RETURN_SHARE"),
         F.col("lines").cast("double").alias("LINE_COUNT"),
     )
@@ -183,11 +177,11 @@ def nation_full_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     return finalize(base, derive(base, NATION_DERIVED))
 
 
-def nation_year(spark: SparkSession, sf_dir: str) -> DataFrame:
+def nation_year(spark: SparkSession, sf_dir: str, extra: tuple[str, ...] = ()) -> DataFrame:
     """Wide panel with peer group: the input of scoring, written once because scoring reads it twice."""
     wide = derive_columns(nation_base(spark, sf_dir), NATION_DERIVED)
     groups = nation_dimension(spark, sf_dir).select(ENTITY, PEER_GROUP)
-    return pin(wide.join(F.broadcast(groups), ENTITY).select(ENTITY, PEER_GROUP, PERIOD, *NATION_MODEL.codes))
+    return pin(wide.join(F.broadcast(groups), ENTITY).select(ENTITY, PEER_GROUP, PERIOD, *NATION_MODEL.codes, *extra))
 
 
 SUPPLIER_MODEL = Model(
@@ -208,7 +202,7 @@ def supplier_month(spark: SparkSession, sf_dir: str) -> DataFrame:
         .groupBy("l_suppkey", month.alias(PERIOD))
         .agg(
             F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("REVENUE"),
-            (F.sum(hundredths("l_discount")) / (F.count(F.lit(1)) * 100)).alias("DISCOUNT"),
+            F.avg("l_discount").alias("DISCOUNT"),
             (F.count_if(F.col("l_returnflag") == "R") / F.count(F.lit(1))).alias("RETURN_SHARE"),
         )
     )

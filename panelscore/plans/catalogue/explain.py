@@ -12,6 +12,7 @@ from panelscore.plans import oracle as o
 from panelscore.plans.catalogue import scenario as sc
 from panelscore.plans.catalogue.common import nation_scores, nation_z, tidy
 from panelscore.plans.catalogue.ranking import table
+from panelscore.session import pin
 
 M = b.NATION_MODEL
 STAMP = "2024-01-31 06:00:00"
@@ -47,8 +48,9 @@ def t6(spark, sf):
     """Reports with a scenario block for every nation and year."""
     panel = sc.panel(spark, sf)
     scores = explain.story_scores(scoring.z_frame(panel, M), M)
-    shocked = scenario.shock_scores(panel, M, [PRESET])
-    channels = scenario.target_deltas(panel, [PRESET])
+    found = pin(scenario.estimates(panel, [PRESET]))
+    shocked = scenario.shock_scores(panel, M, [PRESET], found=found)
+    channels = scenario.target_deltas(panel, [PRESET], found)
     names = b.nation_dimension(spark, sf).select("entity", F.concat(F.initcap("entity"), F.lit(" of "), "region").alias("name"))
     return explain.reports(scores, M, STAMP, names, ["orders", "lineitem"], shocked, channels, PRESET)
 
@@ -62,7 +64,6 @@ def t7(spark, sf):
             "concat_ws(',', transform(pillars, p -> concat(p.pillar, ':', p.band))) AS pillars",
             "concat_ws(',', transform(top_drivers, x -> x.indicator)) AS drivers",
             "peer_standing.percentile", "peer_standing.rank", "peer_standing.n", "peer_standing.group_name",
-            "concat_ws(';', transform(trajectory, x -> format_string('%d:%.4f', x.period, x.risk_score))) AS trajectory",
         )
     )
 
@@ -70,7 +71,9 @@ def t7(spark, sf):
 def t7_nested(spark, sf):
     panel = sc.panel(spark, sf)
     scores = explain.story_scores(scoring.z_frame(panel, M), M, 6)
-    return explain.dossiers(scores, M, scenario.shock_scores(panel, M, b.NATION_PRESETS))
+    nested = explain.dossiers(scores, M, scenario.shock_scores(panel, M, b.NATION_PRESETS))
+    flat = nested.selectExpr("entity", "period", "size(pillars) AS pillars", "size(top_drivers) AS drivers", "inline(scenarios)")
+    return tidy(flat.selectExpr("entity", "period", "preset", "scenario_band", "scenario_score", "delta", "information", "out_of_sample", "CAST(pillars AS BIGINT) AS pillars", "CAST(drivers AS BIGINT) AS drivers"))
 
 
 def t8(spark, sf):
@@ -92,6 +95,7 @@ QUERIES = {
 PHRASES = o.values(
     "ph", "indicator, worse, better", [(i.code, i.worse_phrase or i.name, i.better_phrase or i.name) for i in M.indicators]
 )
+ORDER = "CASE target " + " ".join(f"WHEN '{x}' THEN {k}" for k, x in enumerate(PRESET.targets)) + " END"
 WHOLE = "printf('%.0f', {0})"
 TOP = f"""{PHRASES},
 rkd AS (SELECT *, row_number() OVER (PARTITION BY entity, period ORDER BY round(abs(weighted_contribution), 12) DESC, indicator) AS position FROM drv),
@@ -119,7 +123,7 @@ chn AS (
   SELECT p.entity, p.period, string_agg('Channel: ' || target || ' estimated to move by ' ||
       CASE WHEN slope * r.amount < 0 THEN '-' ELSE '+' END || printf('%.2f', abs(slope * r.amount)) || ' (' ||
       CASE WHEN r_squared < 0.1 THEN 'low-information' ELSE 'moderate-information' END || ', pooled-panel R²=' || printf('%.2f', r_squared) ||
-      ', n=' || n_obs || ').', ' ' ORDER BY target) AS channels
+      ', n=' || n_obs || ').', ' ' ORDER BY {ORDER}) AS channels
   FROM pairs p JOIN reg r USING (preset, target) WHERE preset = '{PRESET.key}' GROUP BY 1, 2),
 one AS (
   SELECT s.*, r.scenario_score, r.scenario_band, r.delta, r.information, r.out_of_sample, bullets, lead, channels, trend_phrase, peer_phrase,
@@ -157,17 +161,19 @@ ORACLE = {
     "t5_limitations": f"{o.SC} SELECT entity, period, {LIMITS} AS limitations FROM scores",
     "t6_report": f"""{REPORT} SELECT entity, period,
         CASE WHEN risk_score IS NULL THEN 'No sufficient data to score ' || name || ' for ' || period || '.' ELSE {FULL_TEXT} END AS report FROM one""",
-    "t7_dossier": f"""{o.SC}, pl AS (SELECT entity, period, string_agg(pillar || ':' || {o.band('pillar_score')}, ',' ORDER BY pillar_score DESC, pillar DESC) AS pillars FROM pil GROUP BY 1, 2),
+    "t7_dossier": f"""{o.SC}, pl AS (SELECT entity, period, string_agg(pillar || ':' || {o.band('pillar_score')}, ',' ORDER BY round(pillar_score, 9) DESC, pillar DESC) AS pillars FROM pil GROUP BY 1, 2),
         td AS (SELECT entity, period, string_agg(indicator, ',' ORDER BY round(abs(weighted_contribution), 12) DESC, indicator) AS drivers FROM (
           SELECT *, row_number() OVER (PARTITION BY entity, period ORDER BY round(abs(weighted_contribution), 12) DESC, indicator) AS pos FROM drv) WHERE pos <= 6 GROUP BY 1, 2),
-        tj AS (SELECT entity, string_agg(printf('%d:%.4f', period, risk_score), ';' ORDER BY period) AS trajectory FROM scores WHERE risk_score IS NOT NULL GROUP BY 1),
         st AS (SELECT a.entity, a.period, count(x.entity) AS n, count(*) FILTER (x.risk_score <= a.risk_score) AS le, count(*) FILTER (x.risk_score > a.risk_score) AS gt
           FROM scores a LEFT JOIN scores x ON x.period = a.period AND x.entity <> a.entity AND x.risk_score IS NOT NULL
             AND (a.peer_group IS NULL OR x.peer_group = a.peer_group) WHERE a.risk_score IS NOT NULL GROUP BY 1, 2)
         SELECT entity, period, {o.r6('risk_score')}, risk_band, trend_direction AS direction, {o.r6('trend_1y_delta AS delta_1', 'trend_2y_delta AS delta_2')}, pillars, drivers,
           CASE WHEN n > 0 THEN round_even(le * 100.0 / n, 0)::INT END AS percentile, CASE WHEN n > 0 THEN gt + 1 END AS rank, n,
-          coalesce(peer_group, 'panel') AS group_name, trajectory
-        FROM scores JOIN pl USING (entity, period) JOIN td USING (entity, period) JOIN st USING (entity, period) JOIN tj USING (entity)""",
+          coalesce(peer_group, 'panel') AS group_name
+        FROM scores JOIN pl USING (entity, period) JOIN td USING (entity, period) JOIN st USING (entity, period)""",
+    "t7_dossier_nested": f"""{sc.SHOCK} SELECT entity, period, preset, scenario_band, {o.r6('scenario_score', 'delta')}, information, out_of_sample,
+          (SELECT count(*) FROM pil p WHERE p.entity = res.entity AND p.period = res.period) AS pillars, (SELECT least(6, count(*)) FROM ind) AS drivers
+        FROM res WHERE baseline_score IS NOT NULL""",
     "t8_history": f"""{o.SC} SELECT entity, period, {o.r6('risk_score', 'data_completeness::DOUBLE AS data_completeness', 'trend_1y_delta')}, risk_band, trend_direction
         FROM scores WHERE risk_score IS NOT NULL""",
 }

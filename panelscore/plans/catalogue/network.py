@@ -17,7 +17,7 @@ def n1(spark, sf):
 
 def _found(spark, sf, threshold=network.THRESHOLD):
     vectors = pin(network.delta_vectors(table(spark, sf)))
-    return vectors, network.correlations(vectors, threshold=threshold)
+    return vectors, network.correlations(vectors, threshold=threshold, whole=threshold == 0)
 
 
 def n2(spark, sf):
@@ -31,7 +31,7 @@ def n4(spark, sf):
 
 def n5(spark, sf):
     vectors, found = _found(spark, sf, STRONG)
-    return network.clusters(vectors, pin(network.edges(found, None))).select("entity", "cluster")
+    return network.clusters(vectors, pin(network.edges(found))).select("entity", "cluster")
 
 
 def n6(spark, sf):
@@ -68,7 +68,7 @@ PAIRS = f"""{DELTAS}, cr AS (
               THEN covar_pop(a.delta, b.delta) / (stddev_pop(a.delta) * stddev_pop(b.delta)) END AS r
   FROM dl a JOIN dl b ON a.period = b.period AND a.entity < b.entity GROUP BY 1, 2),
 cand AS (SELECT a, b, round_even(r, 4)::DOUBLE AS correlation, pairs FROM cr WHERE abs(r) >= {network.THRESHOLD}),
-edg AS (SELECT * FROM cand ORDER BY abs(correlation) DESC, a, b LIMIT {network.MAX_EDGES}),
+edg AS (SELECT * FROM cand),
 nd AS (SELECT DISTINCT entity FROM scores WHERE risk_score IS NOT NULL)"""
 
 ORACLE = {

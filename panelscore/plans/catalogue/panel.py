@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from panelscore.functions.scalar import micros
@@ -9,6 +11,7 @@ from panelscore.operators import clean, quality
 from panelscore.plans import bindings as b
 from panelscore.plans import oracle as o
 from panelscore.plans.catalogue.common import tidy
+from panelscore.session import checkpoint_folder
 from panelscore.sources import cachelog, files, payloads
 
 AS_OF = "2024-01-20 00:00:00"
@@ -93,8 +96,11 @@ def s12(spark, sf):
 
 
 def s13(spark, sf):
-    return cachelog.statistics(response_log(spark, sf)).select(
-        F.coalesce("source", F.lit("(total)")).alias("source"),
+    """With entries of which nobody noted the source."""
+    log = response_log(spark, sf)
+    log = log.withColumn("source", F.when(F.col("entry") % 11 != 0, F.col("source")))
+    return cachelog.statistics(log).select(
+        F.when(F.col("is_total"), F.lit("(total)")).otherwise(F.coalesce("source", F.lit("(none)"))).alias("source"),
         "entries",
         micros(F.col("oldest")).alias("oldest_us"),
         micros(F.col("newest")).alias("newest_us"),
@@ -266,7 +272,8 @@ def q1(spark, sf):
     panel = event_clean(spark, sf)
     users = b.read(spark, sf, "events").select(F.concat(F.lit("U"), F.col("user_id").cast("string")).alias("entity"))
     absent = b.read(spark, sf, "nation").select(F.col("n_name").alias("entity"))
-    return tidy(quality.coverage(panel, users.unionByName(absent), ["click", "view", "error"], list(range(0, 20))))
+    days = sorted(r[0] for r in panel.select("period").distinct().collect())
+    return tidy(quality.coverage(panel, users.unionByName(absent), b.EVENT_TYPES, days))
 
 
 def q10(spark, sf):
@@ -279,6 +286,35 @@ def q10(spark, sf):
     return quality.compare_fingerprints(recorded, current)
 
 
+def _folder(spark):
+    return f"{checkpoint_folder(spark)}/panelscore/tables/{uuid.uuid4().hex}"
+
+
+def s6(spark, sf):
+    """The wide panel landed as CSV with ids as people type them, read back by header."""
+    path = _folder(spark)
+    wide = b.nation_base(spark, sf).withColumn("entity", F.concat(F.lit("  "), F.lower("entity")))
+    files.write_table(wide, path, partition_by=None, fmt="csv")
+    return tidy(files.read_wide_csv(spark, path, [*b.NATION_BASE, "NOT_DELIVERED"]))
+
+
+def s8(spark, sf):
+    """Written by period, then again as a full reload without some of its periods."""
+    path, long = _folder(spark), b.nation_long(spark, sf)
+    files.write_table(long, path)
+    files.write_table(long.where("period >= 1996 and period <> 1998"), path)
+    return tidy(files.read_long(spark, path).select("entity", "indicator", "period", "value"))
+
+
+def s9(spark, sf):
+    """Two periods replaced: one by other values, one by nothing; the rest stays."""
+    path, long = _folder(spark), b.nation_long(spark, sf)
+    files.write_table(long, path)
+    changed = long.where("period <> 1995").withColumn("value", F.col("value") + 1)
+    files.write_table(changed, path, replace=[1995, 1997])
+    return tidy(files.read_long(spark, path).select("entity", "indicator", "period", "value"))
+
+
 QUERIES = {
     "p1_normalize": p1,
     "p2_flags": p2,
@@ -293,6 +329,9 @@ QUERIES = {
     "s3_quarterly_sdmx": s3,
     "s4_series_sdmx": s4,
     "s5_code_mapping": s5,
+    "s6_wide_csv": s6,
+    "s8_sink": s8,
+    "s9_reload": s9,
     "s10_upsert": s10,
     "s11_ttl_lookup": s11,
     "s12_last_known_good": s12,
@@ -354,19 +393,27 @@ ORACLE = {
     "s11_ttl_lookup": f"{LOG} SELECT cache_key, source, body, floor(age)::BIGINT AS freshness_seconds FROM newest WHERE age <= {TTL}",
     "s12_last_known_good": f"""{LOG} SELECT cache_key, source, body, floor(age)::BIGINT AS freshness_seconds,
         age > {TTL} AS stale FROM newest""",
-    "s13_cache_stats": f"""{LOG} SELECT coalesce(source, '(total)') AS source, count(*) AS entries,
-        epoch_us(min(retrieved_at)) AS oldest_us, epoch_us(max(retrieved_at)) AS newest_us FROM log GROUP BY ROLLUP (source)""",
+    "s6_wide_csv": f"""{o.LONG} SELECT entity, period, {o.r6(*b.NATION_BASE)} FROM base""",
+    "s8_sink": f"""{o.LONG} SELECT entity, indicator, period, {o.r6('value')} FROM obs WHERE period >= 1996 AND period <> 1998""",
+    "s9_reload": f"""{o.LONG} SELECT entity, indicator, period, {o.r6('(CASE WHEN period = 1997 THEN value + 1 ELSE value END) AS value')} FROM obs WHERE period <> 1995""",
+    "s13_cache_stats": f"""{LOG}, known AS (SELECT CASE WHEN entry % 11 <> 0 THEN source END AS source, retrieved_at FROM log)
+        SELECT CASE WHEN grouping(source) = 1 THEN '(total)' ELSE coalesce(source, '(none)') END AS source, count(*) AS entries,
+        epoch_us(min(retrieved_at)) AS oldest_us, epoch_us(max(retrieved_at)) AS newest_us FROM known GROUP BY ROLLUP (source)""",
     "s15_routing": f"""{o.LONG} SELECT entity, indicator, period, {o.r6('value')},
         CASE WHEN indicator = 'AVG_DISCOUNT' THEN 'lineitem' ELSE 'orders' END AS source
         FROM obs WHERE indicator IN ('AVG_ORDER_VALUE', 'AVG_DISCOUNT')""",
     "q1_coverage": f"""{o.EVENT_OBS}, ents AS (SELECT DISTINCT 'U' || user_id AS entity FROM events UNION SELECT n_name FROM nation)
-        SELECT entity, 60::BIGINT AS expected, count(indicator)::BIGINT AS observed, {o.r6('count(indicator) * 100.0 / 60 AS coverage_pct')}
-        FROM ents LEFT JOIN (SELECT DISTINCT entity, indicator, period FROM clean
-          WHERE indicator IN ('click', 'view', 'error') AND period BETWEEN 0 AND 19) USING (entity) GROUP BY entity""",
-    "q10_fingerprint": """SELECT 'events' AS "table", strftime(ts, '%Y-%m-%d') AS "partition", count(*) AS old_rows,
-        CASE WHEN ts::DATE <> DATE '2024-01-09' THEN count(*) END AS new_rows,
-        CASE WHEN ts::DATE = DATE '2024-01-09' THEN 'missing' WHEN ts::DATE = DATE '2024-01-05' THEN 'drifted' ELSE 'ok' END AS status
-        FROM events GROUP BY ts::DATE, strftime(ts, '%Y-%m-%d')""",
+        , grid AS (SELECT {len(b.EVENT_TYPES)} * count(DISTINCT period) AS expected FROM clean)
+        SELECT entity, any_value(expected)::BIGINT AS expected, count(indicator)::BIGINT AS observed,
+          {o.r6('count(indicator) * 100.0 / any_value(expected) AS coverage_pct')}
+        FROM ents CROSS JOIN grid LEFT JOIN (SELECT DISTINCT entity, indicator, period FROM clean) USING (entity) GROUP BY entity""",
+    "q10_fingerprint": """WITH changed AS (
+          SELECT * REPLACE (CASE WHEN ts::DATE = DATE '2024-01-05' THEN value + 1 ELSE value END AS value) FROM events WHERE ts::DATE <> DATE '2024-01-09'),
+        old AS (SELECT strftime(ts, '%Y-%m-%d') AS p, count(*) AS n, sum(hash(event_id, ts, user_id, event_type, value, props)::HUGEINT) AS h FROM events GROUP BY 1),
+        new AS (SELECT strftime(ts, '%Y-%m-%d') AS p, count(*) AS n, sum(hash(event_id, ts, user_id, event_type, value, props)::HUGEINT) AS h FROM changed GROUP BY 1)
+        SELECT 'events' AS "table", p AS "partition", old.n AS old_rows, new.n AS new_rows,
+          CASE WHEN new.h IS NULL THEN 'missing' WHEN old.h IS NULL THEN 'new' WHEN old.h = new.h AND old.n = new.n THEN 'ok' ELSE 'drifted' END AS status
+        FROM old FULL JOIN new USING (p)""",
     "q11_freshness": f"""WITH log AS (
           SELECT event_type AS source, ts, event_id % 7 <> 0 AS good FROM events WHERE ts <= TIMESTAMP '{AS_OF}'),
         g AS (SELECT source, max(ts) AS attempt, max(ts) FILTER (good) AS newest FROM log GROUP BY 1),

@@ -11,7 +11,6 @@ from panelscore.plans.catalogue.common import nation_scores, nation_z, tidy
 from panelscore.session import pin
 
 M = b.NATION_MODEL
-YEARS = tuple(range(1995, 2003))
 
 
 def table(spark, sf):
@@ -69,12 +68,15 @@ def r11(spark, sf):
 
 
 def r12(spark, sf):
-    matrix = rank.score_matrix(table(spark, sf), YEARS)
-    return tidy(matrix.select("entity", *[F.col(str(y)).alias(f"y{y}") for y in YEARS]))
+    """The matrix over all scored years, one row per cell so that any number of years compares."""
+    scores = table(spark, sf)
+    years = rank.scored_periods(scores)
+    cells = rank.score_matrix(scores, years).unpivot("entity", [str(y) for y in years], "period", "risk_score")
+    return tidy(cells.withColumn("period", F.col("period").cast("int")))
 
 
 def r13(spark, sf):
-    return tidy(rank.map_layer(table(spark, sf), YEARS))
+    return tidy(rank.map_layer(table(spark, sf)))
 
 
 def r14(spark, sf):
@@ -113,6 +115,8 @@ QUERIES = {
     "r16_flags": r16,
 }
 
+GRID = """(SELECT DISTINCT entity FROM scores WHERE risk_score IS NOT NULL)
+        CROSS JOIN (SELECT DISTINCT period FROM scores WHERE risk_score IS NOT NULL) LEFT JOIN scores USING (entity, period)"""
 CHANGE = f"""{o.SC}, ch AS (
   SELECT c.*, p.risk_score AS previous_score, c.risk_score - p.risk_score AS change
   FROM scores c LEFT JOIN scores p ON p.entity = c.entity AND p.period = c.period - 1 WHERE c.risk_score IS NOT NULL)"""
@@ -169,13 +173,10 @@ ORACLE = {
     "r11_driver_category": f"""{o.Z} SELECT period, category, count(*) AS times_top_driver FROM (
           SELECT *, row_number() OVER (PARTITION BY entity, period ORDER BY round(abs(weighted_contribution), 12) DESC, indicator) AS pos FROM drv)
         WHERE pos = 1 GROUP BY 1, 2""",
-    "r12_matrix": f"""{o.SC} SELECT entity, {o.r6(*[f'y{y}' for y in YEARS])} FROM (
-          SELECT entity, {", ".join(f"max(risk_score) FILTER (period = {y}) AS y{y}" for y in YEARS)}
-          FROM scores WHERE risk_score IS NOT NULL GROUP BY 1)""",
+    "r12_matrix": f"""{o.SC} SELECT entity, period, {o.r6('risk_score')} FROM {GRID}""",
     "r13_map_layer": f"""{o.SC} SELECT entity, period, {o.r6('risk_score')}, coalesce(risk_band, 'No data') AS label,
           coalesce(risk_band IN ('High', 'Severe'), false) AS highlight
-        FROM (SELECT DISTINCT entity FROM scores WHERE risk_score IS NOT NULL)
-        CROSS JOIN (SELECT unnest({list(YEARS)})::INT AS period) LEFT JOIN scores USING (entity, period)""",
+        FROM {GRID}""",
     "r14_trajectory": f"""{o.SC} SELECT entity, string_agg(printf('%d:%.4f', period, risk_score), ';' ORDER BY period) AS trajectory
         FROM scores WHERE risk_score IS NOT NULL GROUP BY 1""",
     "r15_movement": f"""{CHANGE} SELECT entity, period, {o.r6('risk_score', 'change')},

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from panelscore.model import Preset
 from panelscore.operators import scenario
 from panelscore.plans import bindings as b
 from panelscore.plans import oracle as o
@@ -21,12 +22,20 @@ def x1(spark, sf):
 
 
 def x3(spark, sf):
-    return tidy(scenario.target_deltas(panel(spark, sf), PRESETS))
+    return tidy(scenario.target_deltas(panel(spark, sf), PRESETS).drop("position"))
 
 
 def x5(spark, sf):
     out = scenario.shock_scores(panel(spark, sf), M, PRESETS)
-    return tidy(out.drop("peer_group", "status"))
+    return tidy(out.drop("peer_group"))
+
+
+def x7(spark, sf):
+    """Status of every shock, with a preset whose driver nobody delivers, on a panel of which a year has no score."""
+    p = panel(spark, sf)
+    blank = [F.when(F.col("period") != 1996, F.col(c)).alias(c) for c in M.codes]
+    out = scenario.shock_scores(p.select("entity", "peer_group", "period", *blank), M, (b.NATION_PRESETS[0], MISSING))
+    return tidy(out.select("entity", "period", "preset", "status", "shocked_driver_value"))
 
 
 def x8(spark, sf):
@@ -34,7 +43,8 @@ def x8(spark, sf):
     return out.select("entity", "period", "preset", "narrative")
 
 
-QUERIES = {"x1_ols": x1, "x3_deltas": x3, "x5_scenarios": x5, "x8_narrative": x8}
+MISSING = Preset("absent_driver", "Absent driver", "NOT_DELIVERED", 1.0, ("RETURN_SHARE",))
+QUERIES = {"x1_ols": x1, "x3_deltas": x3, "x5_scenarios": x5, "x7_status": x7, "x8_narrative": x8}
 
 TARGETS = [(p, target) for p in PRESETS for target in p.targets if target in M.codes]
 PAIRS = f"""{o.PANEL}, xp AS (SELECT *, 0.0::DOUBLE AS FLAT FROM panel),
@@ -102,7 +112,13 @@ ORACLE = {
     "x3_deltas": f"""{PAIRS} SELECT preset, target, entity, period, {o.r6('y AS baseline_value', '(slope * r.amount) AS estimated_delta', 'r_squared',
         'x AS baseline_driver_value', '(x + r.amount) AS shocked_driver_value')}, n_obs FROM pairs p JOIN reg r USING (preset, target)""",
     "x5_scenarios": f"""{SHOCK} SELECT entity, period, preset, {o.r6('baseline_score', 'scenario_score', 'delta', 'baseline_driver_value', 'shocked_driver_value')},
-        baseline_band, scenario_band, information, out_of_sample, estimation_window FROM res""",
+        baseline_band, scenario_band, information, out_of_sample, estimation_window,
+        CASE WHEN baseline_score IS NULL THEN 'no baseline score' ELSE 'ok' END AS status FROM res""",
+    "x7_status": f"""{o.SC}, st7 AS (
+          SELECT entity, period, '{PRESETS[0].key}' AS preset, CASE WHEN s.period = 1996 OR risk_score IS NULL THEN 'no baseline score' ELSE 'ok' END AS status,
+            CASE WHEN s.period <> 1996 THEN p.{PRESETS[0].driver} + {PRESETS[0].amount} END AS shocked FROM scores s JOIN panel p USING (entity, period)
+          UNION ALL SELECT entity, period, '{MISSING.key}', 'driver not in the panel', NULL FROM scores)
+        SELECT entity, period, preset, status, {o.r6('shocked AS shocked_driver_value')} FROM st7""",
     "x8_narrative": f"""{SHOCK}, {NAMES} SELECT entity, period, preset, CASE WHEN baseline_score IS NOT NULL THEN
           head || entity || '''s risk score from ' || printf('%.1f', baseline_score) || ' (' || baseline_band || ') to ' || printf('%.1f', scenario_score)
           || ' (' || scenario_band || ') — a ' || printf('%.1f', abs(delta)) || '-point move indicating '

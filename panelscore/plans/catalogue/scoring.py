@@ -130,6 +130,6 @@ ORACLE = {
         SELECT entity, period, side, position::INT AS position, indicator, label, {o.r6('weighted_contribution', 'abs(weighted_contribution) / greatest(top, 1e-11) AS bar_share')}
         FROM r WHERE position <= CASE side WHEN 'up' THEN 3 ELSE 2 END""",
     "z17_pillar_order": f"""{o.SC} SELECT entity, period, coalesce(pillars, '') AS pillars FROM scores LEFT JOIN (
-          SELECT entity, period, string_agg(pillar, ',' ORDER BY pillar_score DESC, pillar DESC) AS pillars FROM pil GROUP BY 1, 2)
+          SELECT entity, period, string_agg(pillar, ',' ORDER BY round(pillar_score, 9) DESC, pillar DESC) AS pillars FROM pil GROUP BY 1, 2)
         USING (entity, period)""",
 }

@@ -40,7 +40,7 @@ BAND = (
     "CASE WHEN {0} IS NULL THEN NULL WHEN {0} < 20 THEN 'Low' WHEN {0} < 40 THEN 'Moderate' "
     "WHEN {0} < 60 THEN 'Elevated' WHEN {0} < 80 THEN 'High' ELSE 'Severe' END"
 )
-ZSCORE = "CASE WHEN {n} < {m} THEN NULL WHEN {s} = 0 THEN 0.0 ELSE ({v} - {mean}) / {s} END"
+ZSCORE = "CASE WHEN {n} < {m} THEN NULL WHEN {s} <= 1e-12 * abs({mean}) THEN 0.0 ELSE ({v} - {mean}) / {s} END"
 
 
 def band(x: str) -> str:
@@ -58,8 +58,8 @@ bo AS (
          count(*) FILTER (o_orderpriority = '1-URGENT') / count(*) AS URGENT_SHARE
   FROM orders JOIN customer ON o_custkey = c_custkey JOIN dim ON c_nationkey = n_nationkey GROUP BY 1, 2),
 bl AS (
-  SELECT entity, year(l_shipdate)::INT AS period, sum(round(l_discount * 100)::BIGINT) / (100 * count(*)) AS AVG_DISCOUNT,
-         sum(round(l_tax * 100)::BIGINT) / (100 * count(*)) AS AVG_TAX, count(*) FILTER (l_returnflag = 'R') / count(*) AS RETURN_SHARE,
+  SELECT entity, year(l_shipdate)::INT AS period, avg(l_discount) AS AVG_DISCOUNT,
+         avg(l_tax) AS AVG_TAX, count(*) FILTER (l_returnflag = 'R') / count(*) AS RETURN_SHARE,
          count(*)::DOUBLE AS LINE_COUNT
   FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN dim ON s_nationkey = n_nationkey GROUP BY 1, 2),
 base AS (

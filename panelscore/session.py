@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,16 +41,50 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_local: list[tempfile.TemporaryDirectory] = []
+_scopes: list[str] = []
+
+
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a temporary one only in local mode."""
+    """The shared folder named by ``spark.checkpoint.dir``, as it stands: whether a path is shared cannot be told from its
+    scheme. Unset, a temporary folder that ends with the process serves in local mode; a cluster must name one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
         raise RuntimeError("Set spark.checkpoint.dir to a folder that every executor can reach.")
-    folder = tempfile.mkdtemp(prefix="panelscore-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    _local.append(tempfile.TemporaryDirectory(prefix="panelscore-", ignore_cleanup_errors=True))
+    spark.conf.set("spark.checkpoint.dir", _local[-1].name)
+    return _local[-1].name
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """A run's own folder for what ``pin`` writes inside the block; gone with all its tables when the block ends.
+
+    For runs whose results are written elsewhere. What is pinned outside of any block stays for the application and is
+    found under its id, to be removed with ``release``.
+    """
+    _scopes.append(f"{checkpoint_folder(spark)}/panelscore/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}")
+    try:
+        yield _scopes[-1]
+    finally:
+        remove(spark, _scopes.pop())
+
+
+def release(spark: SparkSession) -> None:
+    """Remove everything this application has pinned."""
+    remove(spark, f"{checkpoint_folder(spark)}/panelscore/{spark.sparkContext.applicationId}")
 
 
 def pin(df: DataFrame) -> DataFrame:
@@ -59,6 +95,14 @@ def pin(df: DataFrame) -> DataFrame:
     on shared storage, and its real size lets Catalyst decide about broadcasts.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_folder(spark)}/panelscore/{uuid.uuid4().hex}"
+    folder = _scopes[-1] if _scopes else f"{checkpoint_folder(spark)}/panelscore/{spark.sparkContext.applicationId}"
+    path = f"{folder}/{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.pinned_at = path
+    return table
+
+
+def unpin(table: DataFrame) -> None:
+    """Delete a pinned table that nothing reads any more, as a loop does with the round before last."""
+    remove(table.sparkSession, table.pinned_at)

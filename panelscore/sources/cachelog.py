@@ -18,9 +18,10 @@ def cache_key(source: Column, url: Column, params: Column | None = None) -> Colu
 
 
 def newest_per_key(log: DataFrame, keys: Sequence[str] = ("cache_key",), at: str = "retrieved_at", tie: str | None = None) -> DataFrame:
-    """What an upsert would have left. Combined before the shuffle, so a hot key is no problem."""
+    """What an upsert would have left. Combined before the shuffle, so a hot key is no problem; each task sorts its rows
+    by key for that. Entries without a time are oldest; ties fall to ``tie``, or else to the greatest rest of the row."""
     rest = [c for c in log.columns if c not in keys]
-    order = F.struct(at, tie) if tie else F.col(at)
+    order = F.struct(F.col(at).isNotNull(), at, *([tie] if tie else [c for c in rest if c != at]))
     newest = log.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("_n"))
     return newest.select(*keys, "_n.*").select(*log.columns)
 
@@ -44,9 +45,9 @@ def last_known_good(log: DataFrame, as_of: Column, ttl: int = DEFAULT_TTL_SECOND
 
 
 def statistics(log: DataFrame, at: str = "retrieved_at") -> DataFrame:
-    """Entries, oldest and newest per source; the null source is the total."""
+    """Entries, oldest and newest per source and in total; ``is_total`` tells the total from entries without a source."""
     stats = [F.count(F.lit(1)).alias("entries"), F.min(at).alias("oldest"), F.max(at).alias("newest")]
-    return log.rollup("source").agg(*stats)
+    return log.rollup("source").agg((F.grouping("source") == 1).alias("is_total"), *stats)
 
 
 def freshness(

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from panelscore.functions.scalar import nan_to_null
 from panelscore.schema import ENTITY, INDICATOR, LONG_COLUMNS, PERIOD, VALUE, require
+from panelscore.session import remove
 
 
 def read_wide_csv(
@@ -60,19 +61,29 @@ def ratings_rows(config: Mapping, agencies: Sequence[str] = ("S&P", "Moody's", "
     ]
 
 
-def write_table(df: DataFrame, path: str, partition_by: str | None = PERIOD, fmt: str = "parquet") -> None:
+def write_table(
+    df: DataFrame, path: str, partition_by: str | None = PERIOD, fmt: str = "parquet", replace: Sequence[int] | None = None
+) -> None:
     """An idempotent load.
 
-    Rows are gathered per partition value before the write (one set of files each, split further by
-    the rows-per-file limit), and only the partitions present in ``df`` are replaced.
+    Without ``replace`` a full reload: afterwards the table holds ``df`` and nothing else. With it, those partition values
+    are replaced, also by nothing where ``df`` has no row of them, and all others stay. Rows are gathered by partition value
+    before the write, and a value with a large share of the rows is split.
     """
-    writer = df.write.mode("overwrite").option("maxRecordsPerFile", 5_000_000)
+    spark = df.sparkSession
+    if replace is not None:
+        if partition_by is None:
+            raise ValueError("only partitions can be replaced")
+        df = df.where(F.col(partition_by).isin([int(v) for v in replace]))
+        for value in replace:
+            remove(spark, f"{path.rstrip('/')}/{partition_by}={int(value)}")
     if partition_by is not None:
-        # Rebalance splits a partition value that holds a large share of the rows.
         df = df.hint("rebalance", F.col(partition_by))
-        writer = df.write.mode("overwrite").option("maxRecordsPerFile", 5_000_000)
-        writer = writer.partitionBy(partition_by).option("partitionOverwriteMode", "dynamic")
-    writer.format(fmt).option("header", True).save(path) if fmt == "csv" else writer.format(fmt).save(path)
+    # Said at the writer, so that no session setting turns a full reload into a partial one.
+    writer = df.write.mode("overwrite" if replace is None else "append").option("partitionOverwriteMode", "static").option("maxRecordsPerFile", 5_000_000)
+    if partition_by is not None:
+        writer = writer.partitionBy(partition_by)
+    (writer.option("header", True) if fmt == "csv" else writer).format(fmt).save(path)
 
 
 def route_sources(parts: Mapping[str, DataFrame | None]) -> DataFrame:

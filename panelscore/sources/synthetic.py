@@ -1,69 +1,48 @@
-"""Deterministic synthetic panel for tests and scale runs, generated by the executors."""
+"""Deterministic panels for tests and scale runs, generated by the executors."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelscore.functions.scalar import half_even
+from panelscore.defaults import DEFAULT_DERIVATIONS, DEFAULT_MODEL
+from panelscore.model import Model
+from panelscore.operators.derive import Derivation, derive_columns
 from panelscore.schema import ENTITY, PEER_GROUP, PERIOD
 
-# Each series is base + a*profile + b*cycle + c*elapsed + d*signal.
-SERIES = {
-    "FP.CPI.TOTL.ZG": (3.0, 0.35, 0.18, 0.0, 0.0),
-    "NY.GDP.MKTP.KD.ZG": (4.0, -0.28, -0.12, 0.0, 0.0),
-    "SL.UEM.TOTL.ZS": (6.0, 0.7, 0.2, 0.0, 0.0),
-    "GC.DOD.TOTL.GD.ZS": (52.0, 9.0, 0.0, 0.45, 0.0),
-    "BN.CAB.XOKA.GD.ZS": (1.5, -0.6, 0.15, 0.0, 0.10),
-    "FI.RES.TOTL.MO": (4.5, -0.22, 0.08, 0.0, 0.0),
-    "DT.DOD.DECT.GN.ZS": (38.0, 7.0, 0.0, 0.25, 0.0),
-    "FB.AST.NPER.ZS": (2.8, 0.35, 0.1, 0.0, 0.0),
-    "FX_YOY_DEPRECIATION_PCT": (2.0, 1.1, 0.25, 0.0, -0.05),
-    "FX_LEVEL_USD_LCU": (2.5, 0.6, 0.05, 0.06, 0.0),
-    "POLICY_RATE_YOY_CHANGE_BPS": (35.0, 7.0, 4.0, 0.0, 0.0),
-    "GC.NLD.TOTL.GD.ZS": (-2.0, 0.5, -0.1, 0.0, 0.0),
-    "NE.RSB.GNFS.ZS": (1.0, -0.4, 0.2, 0.0, 0.0),
-    "COMMODITY_PRICE_INDEX_PCT": (0.0, 0.0, 0.0, 0.0, 1.0),
-    "FI.RES.XGLD.CD": (2.6e12, 4.0e11, -1.2e11, 2.0e9, 0.0),
-    "DT.DOD.DSTC.CD": (1.7e12, -2.5e11, 9.0e10, 1.5e9, 0.0),
-}
-
 
 def synthetic_panel(
-    spark: SparkSession, entities: int = 23, start: int = 1990, end: int = 2025, groups: int = 2, partitions: int | None = None
+    spark: SparkSession,
+    entities: int = 23,
+    start: int = 1990,
+    end: int = 2025,
+    groups: int = 2,
+    partitions: int | None = None,
+    model: Model = DEFAULT_MODEL,
+    rules: Sequence[Derivation] = DEFAULT_DERIVATIONS,
+    seed: int = 11,
 ) -> DataFrame:
-    """Wide panel of ``entities`` x (start..end), 17 base and 4 derived series, peer group by number."""
-    elapsed, profile = F.col("elapsed"), F.col("profile")
-    years = F.sequence(F.lit(0), F.lit(int(end) - int(start)))
-    e = spark.range(int(entities)) if partitions is None else spark.range(0, int(entities), 1, partitions)
-    grid = e.select(
-        F.col("id"), (F.col("id") % 7 - 3).cast("double").alias("profile"), F.explode(years).alias("elapsed")
-    )
-    grid = grid.withColumn("cycle", ((elapsed + F.col("id")) % 5 - 2).cast("double")).withColumn(
-        "signal", F.lit(-18.0) + 9.0 * F.sin(elapsed * 0.9) + 7.0 * F.cos(elapsed * 0.45)
-    )
-    series = [
-        half_even(
-            F.lit(c0) + profile * c1 + F.col("cycle") * c2 + elapsed * c3 + F.col("signal") * c4, 3
-        ).alias(code)
-        for code, (c0, c1, c2, c3, c4) in SERIES.items()
-    ]
-    gap = half_even(F.lit(2.0) - profile * 1.4 + F.col("cycle") * 2.2 - (elapsed % 3) * 1.5, 3).alias("BIS_CREDIT_GAP")
-    base = grid.select(
+    """Wide panel of ``entities`` x (start..end) with the series of ``model`` and whatever ``rules`` need and derive.
+
+    Every base series is a level of its entity plus a yearly move, both read off a hash of seed, series, entity and year, so
+    a cell is the same whatever else is generated. All values are positive.
+    """
+    derived = {r.code for r in rules}
+    base = sorted(({*model.codes} | {r.base for r in rules} | {r.other for r in rules if r.other}) - derived)
+    ids = spark.range(int(entities)) if partitions is None else spark.range(0, int(entities), 1, partitions)
+    grid = ids.select("id", F.explode(F.sequence(F.lit(int(start)), F.lit(int(end)))).alias(PERIOD))
+
+    def draw(code: str, *parts: str):
+        """A number from 0 to 1."""
+        return F.pmod(F.xxhash64(F.lit(seed), F.lit(code), *parts), F.lit(10_007)) / 10_006.0
+
+    series = [F.round(10.0 + 80.0 * draw(c, "id") + 9.0 * draw(c, "id", PERIOD), 3).alias(c) for c in base]
+    panel = grid.select(
         F.format_string("E%07d", F.col("id")).alias(ENTITY),
         F.concat(F.lit("G"), (F.col("id") % groups).cast("string")).alias(PEER_GROUP),
-        (elapsed + int(start)).cast("int").alias(PERIOD),
+        F.col(PERIOD).cast("int").alias(PERIOD),
         *series,
-        gap,
-    )
-    w = Window.partitionBy(ENTITY).orderBy(PERIOD)
-    growth, debt, level = (F.col(f"`{c}`") for c in ("NY.GDP.MKTP.KD.ZG", "GC.DOD.TOTL.GD.ZS", "FX_LEVEL_USD_LCU"))
-    last3, around = w.rowsBetween(-2, 0), w.rowsBetween(-2, 2)
-    trend = F.when(F.count(level).over(around) >= 3, F.avg(level).over(around))
-    return base.select(
-        "*",
-        half_even(F.when(F.count(growth).over(last3) >= 2, growth - F.avg(growth).over(last3)), 3).alias("OUTPUT_GAP_PROXY_PCT"),
-        half_even(debt - F.lag(debt, 3).over(w), 3).alias("PUBLIC_DEBT_TRAJECTORY_PCT"),
-        half_even(F.try_divide(F.col("`FI.RES.XGLD.CD`"), F.col("`DT.DOD.DSTC.CD`")), 3).alias("RESERVES_TO_SHORT_TERM_DEBT_RATIO"),
-        half_even(F.when(trend > 0, (level - trend) / trend * 100.0), 3).alias("FX_TREND_DEVIATION_PCT"),
     )
+    return derive_columns(panel, rules)

@@ -1,12 +1,14 @@
 import math
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
 from test_score import SCHEMA, SMALL, brute, small_data
 
 from panelscore.defaults import DEFAULT_MODEL, DEFAULT_PRESETS, preset
-from panelscore.model import Preset
+from panelscore.model import Indicator, Model, Preset
 from panelscore.operators import scenario
+from panelscore.operators import score as scoring
 from panelscore.sources.synthetic import synthetic_panel
 
 SHOCKS = (Preset("one", "One", "A", 1.5, ("B", "C", "missing")), Preset("two", "Two", "D", -2.0, ("A",)))
@@ -61,11 +63,27 @@ def test_named_presets_on_the_default_model(spark):
     with pytest.raises(ValueError):
         preset("meteor")
     panel = synthetic_panel(spark, 10, 2005, 2014)
-    (r,) = scenario.run_shock(panel, DEFAULT_MODEL, preset("fx_devaluation"), "e0000003", 2012).collect()
+    far = replace(preset("fx_devaluation"), amount=200.0)
+    (r,) = scenario.run_shock(panel, DEFAULT_MODEL, far, "e0000003", 2012).collect()
     assert r["status"] == "ok" and r["estimation_window"] == "2005–2014" and r["out_of_sample"]
-    assert r["narrative"].startswith("FX shock (20% devaluation) shock: a 20 pp change in the currency-depreciation")
+    assert r["narrative"].startswith("FX shock (20% devaluation) shock: a 200 pp change in the currency-depreciation")
     assert r["narrative"].endswith("is an extrapolation.")
     with pytest.raises(ValueError):
         scenario.run_shock(panel, DEFAULT_MODEL, preset("fx_devaluation"), "nobody", 2012)
+    absent = scenario.shock_scores(panel.drop("BIS_CREDIT_GAP"), DEFAULT_MODEL, [preset("banking_stress")])
+    assert {(r["status"], r["scenario_score"], r["information"]) for r in absent.collect()} == {("driver not in the panel", None, scenario.NONE)}
     with pytest.raises(ValueError):
-        scenario.shock_scores(panel.drop("BIS_CREDIT_GAP"), DEFAULT_MODEL, [preset("banking_stress")])
+        scenario.run_shock(panel.drop("BIS_CREDIT_GAP"), DEFAULT_MODEL, preset("banking_stress"), "e0000003", 2012)
+
+
+def test_a_constant_target_does_not_move(spark):
+    model = Model((Indicator("A", "P", 0.5), Indicator("B", "P", 0.5)), {"P": 1.0})
+    shock = Preset("s", "S", "D", 3.0, ("A", "B"))
+    cells = [(f"e{n}", "G", 2000 + p, 0.1, 0.1 * n + 0.7, float((n * 7 + p * 3) % 11)) for n in range(4) for p in range(12)]
+    panel = spark.createDataFrame(cells, "entity string, peer_group string, period int, A double, B double, D double")
+    out = scenario.shock_scores(panel, model, [replace(shock, targets=("A",))]).collect()
+    assert len(out) == 48 and all(r["scenario_score"] == r["baseline_score"] for r in out)
+    # B is constant for each entity: no spread in its history, moved or not up to rounding.
+    z = scoring.z_frame(panel, model)
+    assert {r[0] for r in z.where("zt0 IS NOT NULL").select("zt0").distinct().collect()} == {0.0}
+    assert {r[0] for r in z.where("zt1 IS NOT NULL").select("zt1").distinct().collect()} == {0.0}

@@ -90,7 +90,7 @@ def test_wide_csv_and_idempotent_load(spark, tmp_path):
     target = str(tmp_path / "out")
     for _ in range(2):
         files.write_table(df, target)
-    files.write_table(df.where("period = 2021").withColumn("CPI", F.lit(9.0)), target)
+    files.write_table(df.where("period = 2021").withColumn("CPI", F.lit(9.0)), target, replace=[2021])
     assert rows(spark.read.parquet(target), "entity", "CPI", "period") == [("TUR", 1.5, 2020), ("USA", 9.0, 2021)]
 
 
