@@ -100,7 +100,8 @@ def repeated_lines(docs: DataFrame, rare: int = RARE, block_chars: int = BLOCK_C
         ).dropDuplicates(list(KEY))
     )
     postings = held.select(*KEY, F.explode(F.array_distinct("hashes")).alias("line")).where("line <> 0")
-    first = postings.groupBy("line").agg(F.min(F.struct(*KEY)).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    # Written, so that the join below has an exchange on either side and a line of very many documents can be split there.
+    first = pin(postings.groupBy("line").agg(F.min(F.struct(*KEY)).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"))
     pairs = (
         postings.join(first, "line")
         .where("doc_id <> first.doc_id or rid <> first.rid")
@@ -149,7 +150,7 @@ def drop_repeated_lines(docs: DataFrame, rare: int = RARE, block_chars: int = BL
     joined = joined.toDF(*[f"c{i}" for i in range(len(names))], "removed")
 
     def rewrite(batches):
-        for b in batches:
+        for b in c.text_batches(batches, text=at):
             out = []
             for text, removed in zip(b.column(at).to_pylist(), b.column(len(names)).to_pylist(), strict=True):
                 left, n = _left(text, removed)
@@ -168,7 +169,7 @@ def count_repeated_lines(docs: DataFrame, rare: int = RARE, block_chars: int = B
     joined = _cut(docs.select("doc_id", "text"), repeated_lines(docs, rare, block_chars)).select("own_id", "row.text", "removed")
 
     def count(batches):
-        for b in batches:
+        for b in c.text_batches(batches):
             found = [(*_left(t, r), t) for t, r in zip(b["text"].to_pylist(), b["removed"].to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [
