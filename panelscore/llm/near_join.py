@@ -150,7 +150,7 @@ def near_join(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS,
         sketches.agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("class_id"), F.first("n_words").alias("n_words"), F.first("bands").alias("bands"))
     )
     banded = classes.select("tid", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.min("tid").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = pin(banded.groupBy("band").agg(F.min("tid").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1"))
     near = components(banded.join(shared, "band").where("tid <> least").select(F.col("tid").alias("a"), F.col("least").alias("b")))
     facts = classes.select("tid", "copies", "class_id", "n_words")
     members = pin(near.select(F.col("node").alias("tid"), F.col("label").alias("cluster")).join(facts, "tid"))
