@@ -5,7 +5,7 @@ from collections import Counter
 from itertools import combinations
 
 import numpy as np
-from conftest import SCHEMA, document, prose
+from text_fixtures import SCHEMA, corpus, docs, document, empty, mixed, prose  # noqa: F401
 
 from panelscore.llm import graph, line_dedup, near_join
 

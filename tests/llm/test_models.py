@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-from conftest import SCHEMA, document
+from text_fixtures import SCHEMA, corpus, docs, document, empty, mixed  # noqa: F401
 
 import __spark_entry__ as entry
 from panelscore.llm import common, knn, language, packing, toxicity, url_filter

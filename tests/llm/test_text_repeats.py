@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import pytest
+from text_fixtures import corpus, docs, empty, mixed  # noqa: F401
 
 from panelscore.llm import repeats, winnowing
 

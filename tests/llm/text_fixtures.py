@@ -1,3 +1,5 @@
+"""Frames for the tests of the text operators; a conftest of this folder would hide the one above."""
+
 import os
 import random
 import sys
