@@ -25,6 +25,8 @@ from panelscore.llm import common as c
 PER_LABEL, ENTRIES, EVIDENCE, ODDS = 1500, 500, 25.0, 3.0
 TOXIC = 0.7
 REMEMBERED = 200_000
+#: Signs that are decoded at once.
+PIECE = 64
 #: What a sign may stand for. A star hides a vowel.
 SIGNS = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g",
@@ -34,6 +36,7 @@ _EDGES = ".,;:!?\"'()[]{}«»“”‘’…-–—*_"
 _OPENING = "\"'([{«“‘¿¡"
 _SPELT = re.compile(r"(?:[^\W_]|[0-9@$!|+€*])(?:[.\-_*·/]+(?:[^\W_]|[0-9@$!|+€*])){2,}")
 _LONG = re.compile(r"([^\W\d_])\1\1")
+_RUN = re.compile(r"(.)\1{3,}", re.DOTALL)
 _SIGN = re.compile(r"[0-9@$!|+€£(<*#&]")
 
 
@@ -140,8 +143,13 @@ class Restorer:
         token = token.lstrip(_OPENING).rstrip(_EDGES).lower()
         if token.isalpha() and token.isascii() and not _LONG.search(token):
             return token
-        if len(token) > 64 or not needs_decoding(token):
+        if not needs_decoding(token):
             return token
+        if len(token) > PIECE:
+            # No word, so the cost stays in proportion when its pieces are decoded one by one.
+            token = _RUN.sub(r"\1\1\1", token)
+            if len(token) > PIECE:
+                return "".join(self.word(token[i : i + PIECE]) for i in range(0, len(token), PIECE))
         if token not in self.known:
             if len(self.known) >= REMEMBERED:
                 self.known.clear()
@@ -181,9 +189,10 @@ def _words(texts: list[str | None], restorer: Restorer):
         if high - low >= 3:
             at = int(low)
             for stop in [*first[np.searchsorted(first, low, side="right") : np.searchsorted(first, high)], high]:
-                if stop - at >= 3:
-                    spelt = "".join(tokens[k].strip(".,;:?") for k in code[at:stop][:64]).lower()
-                    extra.append((int(np.searchsorted(first, at, side="right")) - 1, restorer.letters.decode(lattice(spelt))))
+                for piece in range(at, int(stop), PIECE):
+                    spelt = "".join(tokens[k].strip(".,;:?") for k in code[piece : min(stop, piece + PIECE)]).lower()
+                    if len(spelt) >= 3:
+                        extra.append((int(np.searchsorted(first, at, side="right")) - 1, restorer.letters.decode(lattice(spelt))))
                 at = int(stop)
     return words, code, first, extra
 

@@ -90,7 +90,7 @@ def test_restored_words():
     text = "moron stupid idiot loser trash clown pathetic words of a language " * 20
     counts = np.bincount(toxicity.trigrams(text), minlength=27**3).astype(float)
     word = toxicity.Restorer(toxicity.Letters(counts)).word
-    pairs = {"m0r0n": "moron", "l0$er": "loser", "tr@sh!": "trash", "moooron": "moron", "s.t.u.p.i.d": "stupid", "cl*wn": "clown", "Words,": "words", "2024": "2024"}
+    pairs = {"m0r0n": "moron", "l0$er": "loser", "tr@sh!": "trash", "moooron": "moron", "s.t.u.p.i.d": "stupid", "cl*wn": "clown", "Words,": "words", "2024": "2024", "m" + "o" * 300 + "r0n": "moron"}
     assert {k: word(k) for k in pairs} == pairs
 
 
