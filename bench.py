@@ -1,5 +1,7 @@
 """Time the headline queries; prints one JSON line.
 
+``python bench.py --growth N`` instead times scores, ranks and one scenario on a generated panel of N entities by 36 periods.
+
 BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8), BENCH_RUNS warm runs per query
 (default 2, after one cold run). Every run reads the raw tables; the result goes to the noop sink.
 """
@@ -22,6 +24,29 @@ HEADLINE = (
 )
 
 
+def growth(spark, entities: int) -> dict[str, float]:
+    from panelscore.defaults import DEFAULT_MODEL, preset
+    from panelscore.operators import rank, scenario
+    from panelscore.operators import score as scoring
+    from panelscore.session import pin, scratch
+    from panelscore.sources.synthetic import synthetic_panel
+
+    with scratch(spark):
+        panel = pin(synthetic_panel(spark, entities, 1990, 2025, groups=50, partitions=64))
+        scores = pin(scoring.score_panel(panel, DEFAULT_MODEL).select("entity", "period", "peer_group", "risk_score"))
+        steps = {
+            "scores": lambda: scoring.score_panel(panel, DEFAULT_MODEL),
+            "peer_standing": lambda: rank.peer_standing(scores),
+            "scenario": lambda: scenario.shock_scores(panel, DEFAULT_MODEL, [preset("growth_slowdown")]),
+        }
+        taken = {}
+        for name, step in steps.items():
+            start = time.perf_counter()
+            step().write.format("noop").mode("overwrite").save()
+            taken[name] = round(time.perf_counter() - start, 1)
+    return taken
+
+
 def main() -> None:
     from panelscore.plans import catalogue
     from panelscore.session import build_session
@@ -40,6 +65,9 @@ def main() -> None:
         },
     )
     spark.sparkContext.setLogLevel("ERROR")
+    if sys.argv[1:2] == ["--growth"]:
+        print(json.dumps({"entities": int(sys.argv[2]), "periods": 36, "seconds": growth(spark, int(sys.argv[2]))}))
+        return spark.stop()
     registered = catalogue.queries()
     wanted = sys.argv[1:] or HEADLINE
     seconds, cold = {}, {}
