@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelscore.session import pin
+
 #: Fixed values of the registered query.
 RULES = (
     ("net", "/", "block"),
@@ -94,7 +96,8 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: s
 
 def judge_pages(pages: DataFrame, rules: DataFrame, page_id: str = "page_id", url: str = "url") -> DataFrame:
     """One row per row of ``pages``: page_id, host, path, rule, verdict. Rows keep null and repeated ids."""
-    judged = filter_urls(pages, rules, url).withColumnRenamed("url", "judged_url")
+    # Written, so that a url of very many rows can be split where it is joined.
+    judged = pin(filter_urls(pages, rules, url)).withColumnRenamed("url", "judged_url")
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("page_url"))
     host, path = url_parts("page_url")
     return rows.join(judged.select("judged_url", "rule", "verdict"), F.col("page_url").eqNullSafe(F.col("judged_url")), "left").select(
