@@ -22,7 +22,7 @@ from panelscore.session import pin
 
 CAPACITY, GRAIN, END = 2048, 8, 1
 #: Words whose ids a worker remembers; beyond it forgets them all and starts again.
-REMEMBERED = 1_000_000
+REMEMBERED = 400_000
 _MARKS = ".,;:!?"
 _encoders: dict[str, Encoder] = {}
 
