@@ -26,6 +26,8 @@ BANDS, ROWS, STEP = 32, 4, 16
 TOLERANCE = 1e-9
 #: Classes, and words, of a block.
 BLOCK, BLOCK_WORDS = 256, 1_000_000
+#: Keys of at most so many texts are sent to all tasks, to leave other texts where they are; more are joined by a shuffle.
+SENT_KEYS = 500_000
 _RNG = np.random.default_rng(5150)
 _A = (_RNG.integers(0, 2**31, BANDS * ROWS, dtype=np.int64) * 2 + 1).astype(np.uint32)
 _B = _RNG.integers(0, 2**32, BANDS * ROWS, dtype=np.int64).astype(np.uint32)
@@ -157,7 +159,7 @@ def near_join(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS,
     blocks = members.groupBy("cluster").agg(
         F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("n_words") / BLOCK_WORDS)).cast("long").alias("blocks")
     )
-    total = members.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]
+    total, count = members.agg(F.coalesce(F.sum("n_words"), F.lit(0)), F.count(F.lit(1))).first()
     cells = max(c.parallelism(docs.sparkSession), -(-total // BLOCK_WORDS))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     placed = (
@@ -168,6 +170,9 @@ def near_join(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS,
         .withColumn("cell", F.pmod(F.xxhash64("cluster", "i", "j"), F.lit(cells)))
     )
     texts = rows.select("tid", _key("doc_id").alias("key"), "text")
+    if count <= SENT_KEYS:
+        # Then only texts of clusters are shuffled.
+        texts = texts.join(F.broadcast(members.select("tid", _key("class_id").alias("key"))), ["tid", "key"], "left_semi")
 
     def solve(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         tiles: dict[tuple, dict] = {}
@@ -220,11 +225,15 @@ def keep_first(docs: DataFrame, **options) -> DataFrame:
     Of rows that share the smallest id and text one stays, that of the least hash. In a group without any id one row of the
     text with the least hash stays. Null texts count as empty texts, empty texts as copies.
     """
-    found = near_join(docs, **options)
-    kept = found.where("tid = first_tid").select("tid", _key("class_id").alias("key"))
+    found = pin(near_join(docs, **options))
+    # Texts that have no copy and no text like them stay where they are; the others are looked at by row.
+    grouped = found.where("copies > 1 or texts > 0").select("tid", _key("class_id").alias("key"), (F.col("tid") == F.col("first_tid")).alias("first"))
+    sent = F.broadcast if grouped.count() <= SENT_KEYS else (lambda table: table)
     named = docs.select(F.struct("*").alias("row"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("tid"), _key("doc_id").cast("long").alias("key"))
     first = Window.partitionBy("tid", "key").orderBy(F.xxhash64("row"))
-    return named.join(kept, ["tid", "key"]).withColumn("n", F.row_number().over(first)).where("n = 1").select("row.*")
+    alone = named.join(sent(grouped.select("tid")), "tid", "left_anti").select("row.*")
+    rows = named.join(sent(grouped.where("first").select("tid", "key")), ["tid", "key"])
+    return alone.union(rows.withColumn("n", F.row_number().over(first)).where("n = 1").select("row.*"))
 
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ from collections import Counter
 from itertools import combinations
 
 import numpy as np
+import pytest
 from text_fixtures import SCHEMA, corpus, docs, document, empty, mixed, prose  # noqa: F401
 
 from panelscore.llm import graph, line_dedup, near_join
@@ -53,7 +54,9 @@ def test_join_query(spark, corpus):
     assert Counter(map(tuple, near_join.op3_ngram_jaccard_join(spark, folder).collect())) == joined(rows)
 
 
-def test_one_of_each_group_stays(docs, mixed):
+@pytest.mark.parametrize("sent", [near_join.SENT_KEYS, 0])
+def test_one_of_each_group_stays(docs, mixed, monkeypatch, sent):
+    monkeypatch.setattr(near_join, "SENT_KEYS", sent)
     kept = near_join.keep_first(docs)
     assert kept.columns == docs.columns
     assert sorted(r.doc_id for r in kept.collect()) == joined([(r[0], r[1]) for r in mixed], first=True)
@@ -84,8 +87,11 @@ def test_both_ways_to_count_agree():
 
 def test_components_of_chain_and_star(spark):
     links = [(i, i + 1) for i in range(1, 40)] + [(100, i) for i in range(101, 140)] + [(7, 7), (100, 101)]
-    found = {r.node: r.label for r in graph.components(spark.createDataFrame(links, "a long, b long")).collect()}
-    assert found == {**dict.fromkeys(range(1, 41), 1), **dict.fromkeys(range(100, 140), 100)}
+    table = spark.createDataFrame(links, "a long, b long")
+    for split in (graph.SPLIT_LINKS, 10):
+        found = {r.node: r.label for r in graph.components(table, split_links=split).collect()}
+        assert found == {**dict.fromkeys(range(1, 41), 1), **dict.fromkeys(range(100, 140), 100)}
+    assert graph.components(table.where("false")).count() == 0
 
 
 def test_patience():
