@@ -17,26 +17,31 @@ from panelscore.session import checkpoint_folder
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; learned from the labelled ones outside the held-out fold."""
+    common.small_batches(spark)
     return language.keep_identified(docs, language.train(docs, common.crc_fold() != 1))
 
 
 def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the blocks of lines that an earlier document has; emptied documents go."""
+    common.small_batches(spark)
     return line_dedup.drop_repeated_lines(docs)
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of copies and similar documents."""
+    common.small_batches(spark)
     return near_join.keep_first(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no passage of the benchmark."""
+    common.small_batches(spark)
     return winnowing.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents' token ids, laid out in sequences."""
+    common.small_batches(spark)
     return packing.pack_documents(docs, packing.tokenizer_path())
 
 

@@ -19,7 +19,19 @@ _BASE = U64(0x9E3779B97F4A7C15)
 _STEP = U64(0xC2B2AE3D27D4EB4F)
 
 
+#: Rows that go to a Python worker at once; the default of ten thousand whole texts takes tens of MB on either side.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to BATCH_ROWS; a smaller setting stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -58,8 +70,25 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-def word_hashes(texts: list[bytes], word: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of every word of all texts, and where each text's words begin (one more entry than texts)."""
+def word_hashes(texts: list[bytes], word: np.ndarray, lower: bool = False, limit: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of every word of all texts, and where each text's words begin (one more entry than texts).
+
+    Works through slices of ``limit`` bytes, or of one text: the arrays per byte are many times as large as the text.
+    """
+    parts, begins, done = [], [np.zeros(1, np.int64)], 0
+    start, held = 0, 0
+    for i in range(len(texts) + 1):
+        if i == len(texts) or (i > start and held + len(texts[i]) > limit):
+            hashes, offsets = _word_hashes(texts[start:i], word, lower)
+            parts.append(hashes)
+            begins.append(offsets[1:] + done)
+            done += len(hashes)
+            start, held = i, 0
+        held += len(texts[i]) if i < len(texts) else 0
+    return np.concatenate(parts), np.concatenate(begins)
+
+
+def _word_hashes(texts: list[bytes], word: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray]:
     joined = np.frombuffer(b"\n".join(texts), np.uint8)
     if lower:
         joined = ASCII_LOWER[joined]
