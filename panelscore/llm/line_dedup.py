@@ -1,9 +1,8 @@
 """Line deduplication by pairwise alignment.
 
-Documents overlap if they share a rare line. Every later holder of a line is paired with the line's first holder, never with
-all others, so copies by the thousand give as many pairs as lines. Lines of many documents do not count as rare; two of them
-with the same first holder make a pair as well, which is the way for large groups of near copies, whose every line is
-frequent. Each pair is aligned by a patience diff of its line hashes, and aligned blocks leave the later document.
+Every later holder of a line is paired with the line's first holder, never with all others, so copies by the thousand give
+as many pairs as lines, and a line of very many documents one pair for each of them. Each pair is aligned by a patience diff of
+its line hashes, and aligned blocks leave the later document; a line long enough to be a block goes with or without alignment.
 """
 
 from __future__ import annotations
@@ -16,8 +15,8 @@ from pyspark.sql import functions as F
 from panelscore.llm import common as c
 from panelscore.session import pin
 
-#: Documents that hold a rare line at most; characters of an aligned block at least.
-RARE, BLOCK_CHARS = 8, 40
+#: Documents that a line may be in to make pairs: any number. Characters of an aligned block at least.
+RARE, BLOCK_CHARS = float("inf"), 40
 KEY = ("doc_id", "rid")
 
 
@@ -74,8 +73,13 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
 
 
 def common_lines(later: list[int], earlier: list[int], chars: list[int], least: int) -> list[int]:
-    """Lines of the later document in aligned blocks of at least so many characters."""
-    out: list[int] = []
+    """Lines of the later document in aligned blocks of at least so many characters.
+
+    A line of that length is a block by itself, and goes wherever it stands: the diff would leave it where it is repeated or
+    comes in another order.
+    """
+    known = set(earlier)
+    out = [i for i, x in enumerate(later) if chars[i] >= max(least, 1) and x in known]
     block: list[int] = []
     last = (-2, -2)
     for i, j in [*patience(later, earlier), (-9, -9)]:
@@ -88,7 +92,7 @@ def common_lines(later: list[int], earlier: list[int], chars: list[int], least:
     return out
 
 
-def repeated_lines(docs: DataFrame, rare: int = RARE, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def repeated_lines(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(doc_id, rid, removed): positions of the lines to delete, one row per document that loses any."""
     lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("rid"), lines.alias("lines"))
@@ -101,13 +105,12 @@ def repeated_lines(docs: DataFrame, rare: int = RARE, block_chars: int = BLOCK_C
     )
     postings = held.select(*KEY, F.explode(F.array_distinct("hashes")).alias("line")).where("line <> 0")
     # Written, so that the join below has an exchange on either side and a line of very many documents can be split there.
-    first = pin(postings.groupBy("line").agg(F.min(F.struct(*KEY)).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"))
+    first = pin(postings.groupBy("line").agg(F.min(F.struct(*KEY)).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
     pairs = (
         postings.join(first, "line")
         .where("doc_id <> first.doc_id or rid <> first.rid")
-        .groupBy(*KEY, F.col("first.doc_id").alias("first_id"), F.col("first.rid").alias("first_rid"))
-        .agg(F.count(F.lit(1)).alias("shared"), F.min("n").alias("rarest"))
-        .where((F.col("rarest") <= rare) | (F.col("shared") > 1))
+        .select(*KEY, F.col("first.doc_id").alias("first_id"), F.col("first.rid").alias("first_rid"))
+        .distinct()
     )
     earlier = held.select(F.col("doc_id").alias("first_id"), F.col("rid").alias("first_rid"), F.col("hashes").alias("first_hashes"))
     both = pairs.join(held, list(KEY)).join(earlier, ["first_id", "first_rid"]).select(*KEY, "hashes", "chars", "first_hashes")
@@ -137,7 +140,7 @@ def _left(text: str | None, removed: list[int] | None) -> tuple[list[str], int]:
     return [x for x, k in zip(lines, keep.tolist(), strict=True) if k], len(removed)
 
 
-def drop_repeated_lines(docs: DataFrame, rare: int = RARE, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """``docs`` with repeated blocks of lines deleted from the later document, all columns kept.
 
     Documents come in the order of (id, hash of text); rows that share both are one document and get the same text. Rows with
@@ -146,7 +149,7 @@ def drop_repeated_lines(docs: DataFrame, rare: int = RARE, block_chars: int = BL
     """
     names = docs.columns
     at = names.index("text")
-    joined = _cut(docs, repeated_lines(docs, rare, block_chars)).select("row.*", "removed")
+    joined = _cut(docs, repeated_lines(docs, block_chars)).select("row.*", "removed")
     joined = joined.toDF(*[f"c{i}" for i in range(len(names))], "removed")
 
     def rewrite(batches):
@@ -164,9 +167,9 @@ def drop_repeated_lines(docs: DataFrame, rare: int = RARE, block_chars: int = BL
     return joined.mapInArrow(rewrite, schema).toDF(*names)
 
 
-def count_repeated_lines(docs: DataFrame, rare: int = RARE, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def count_repeated_lines(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(doc_id, n_lines, n_removed, kept_sha256) for each row; a null text has no lines."""
-    joined = _cut(docs.select("doc_id", "text"), repeated_lines(docs, rare, block_chars)).select("own_id", "row.text", "removed")
+    joined = _cut(docs.select("doc_id", "text"), repeated_lines(docs, block_chars)).select("own_id", "row.text", "removed")
 
     def count(batches):
         for b in c.text_batches(batches):

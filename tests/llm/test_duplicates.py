@@ -165,5 +165,16 @@ def test_line_dedup_query(spark, corpus):
     assert found == {r[0]: (len(r[1].split("\n")), len(r[1].split("\n")) - len(x)) for r, x in plain.items()}
 
 
+def test_one_common_line_leaves_every_later_document(spark):
+    passage = "one passage of more than forty characters on a line"
+    rows = [(i, f"{prose(9, 700 + i)}\n{passage}\n{prose(9, 800 + i)}") for i in range(30)]
+    rows += [(40, f"{passage}\n{prose(9, 740)}\n{passage}\n{prose(9, 741)}")]  # twice, so never unique in a diff
+    rows += [(50 + i, prose(9, 99)) for i in range(12)]  # one-line documents
+    rows += [(70, f"{prose(9, 99)}\n{prose(9, 750)}\n{passage}"), (71, f"{passage}\n{prose(9, 751)}\n{prose(9, 99)}")]
+    kept = line_dedup.drop_repeated_lines(spark.createDataFrame([document(i, t) for i, t in rows], SCHEMA))
+    expected = {i: t if i in (0, 50) else "\n".join(x for x in t.split("\n") if x not in (passage, prose(9, 99))) for i, t in rows}
+    assert {r.doc_id: r.text for r in kept.collect()} == {i: t for i, t in expected.items() if t}
+
+
 def test_line_dedup_of_nothing(empty):
     assert line_dedup.drop_repeated_lines(empty).count() == 0 and line_dedup.count_repeated_lines(empty).count() == 0
