@@ -24,8 +24,9 @@ WORDS, THRESHOLD = 5, 0.8
 #: 32 bands of 4 values miss a pair of similarity 0.8 with a probability of 5e-8; the pruning with less than 1e-9 a step.
 BANDS, ROWS, STEP = 32, 4, 16
 TOLERANCE = 1e-9
-#: Classes, and words, of a block.
-BLOCK, BLOCK_WORDS = 256, 1_000_000
+#: Classes, and words, of a block. Above BLOCK * SPREAD classes blocks grow up to LARGE classes, so that a text goes to at most
+#: SPREAD tiles as long as that will do.
+BLOCK, BLOCK_WORDS, SPREAD, LARGE = 256, 1_000_000, 32, 4096
 #: Keys of at most so many texts are sent to all tasks, to leave other texts where they are; more are joined by a shuffle.
 SENT_KEYS = 500_000
 _RNG = np.random.default_rng(5150)
@@ -105,6 +106,13 @@ def _common(used: np.ndarray, grams: list[np.ndarray]) -> np.ndarray:
     return out.astype(np.int64)
 
 
+def _parts(left: np.ndarray, right: np.ndarray, same: bool, size: int):
+    """Two blocks in parts of at most ``size`` classes, so that pairs and their intersections take bounded memory."""
+    for x in range(0, len(left), size):
+        for y in range(x if same else 0, len(right), size):
+            yield left[x : x + size], right[y : y + size], same and x == y
+
+
 def _stars(n: int, i: np.ndarray, j: np.ndarray, names: np.ndarray) -> np.ndarray:
     """For n local items, the smallest name of the component of each."""
     label = names.copy()
@@ -156,18 +164,22 @@ def near_join(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS,
     near = components(banded.join(shared, "band").where("tid <> least").select(F.col("tid").alias("a"), F.col("least").alias("b")))
     facts = classes.select("tid", "copies", "class_id", "n_words")
     members = pin(near.select(F.col("node").alias("tid"), F.col("label").alias("cluster")).join(facts, "tid"))
+    size = F.count(F.lit(1))
+    classes_each = F.least(F.greatest(F.lit(block), F.ceil(size / SPREAD)), F.lit(max(block, LARGE)))
     blocks = members.groupBy("cluster").agg(
-        F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("n_words") / BLOCK_WORDS)).cast("long").alias("blocks")
+        F.greatest(F.ceil(size / classes_each), F.ceil(F.sum("n_words") / BLOCK_WORDS)).cast("long").alias("blocks")
     )
     total, count = members.agg(F.coalesce(F.sum("n_words"), F.lit(0)), F.count(F.lit(1))).first()
     cells = max(c.parallelism(docs.sparkSession), -(-total // BLOCK_WORDS))
+    # A cell, which is held in memory, is a tile of a cluster of several blocks, or some clusters of one block.
+    tile = F.when(F.col("blocks") > 1, F.xxhash64("cluster", "i", "j")).otherwise(F.pmod(F.xxhash64("cluster"), F.lit(cells)))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     placed = (
         members.join(blocks, "cluster")
         .withColumn("own", F.pmod(F.xxhash64("tid"), "blocks"))
-        .select("tid", "class_id", "cluster", "copies", "own", other.alias("other"))
-        .select("tid", "cluster", "copies", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), _key("class_id").alias("key"))
-        .withColumn("cell", F.pmod(F.xxhash64("cluster", "i", "j"), F.lit(cells)))
+        .select("tid", "class_id", "cluster", "copies", "blocks", "own", other.alias("other"))
+        .withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
+        .select("tid", "cluster", "copies", "own", "i", "j", _key("class_id").alias("key"), tile.alias("cell"))
     )
     texts = rows.select("tid", _key("doc_id").alias("key"), "text")
     if count <= SENT_KEYS:
@@ -188,13 +200,20 @@ def near_join(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS,
             grams = [shingles(hashes[offsets[k] : offsets[k + 1]], words) for k in range(len(tids))]
             sigs = np.stack([signature(g) for g in grams])
             own = np.array([members[t][0] for t in tids.tolist()])
-            a, b = similar_pairs(sigs, grams, np.flatnonzero(own == i), np.flatnonzero(own == j), i == j, threshold, tolerance)
-            if not len(a):
-                continue
             copies = np.array([members[t][1] for t in tids.tolist()])
-            links = np.bincount(a, copies[b], len(tids)) + np.bincount(b, copies[a], len(tids))
-            texts = np.bincount(a, minlength=len(tids)) + np.bincount(b, minlength=len(tids))
-            label = _stars(len(tids), a, b, tids)
+            links, texts = np.zeros(len(tids)), np.zeros(len(tids), np.int64)
+            stars = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+            for left, right, same in _parts(np.flatnonzero(own == i), np.flatnonzero(own == j), i == j, block):
+                a, b = similar_pairs(sigs, grams, left, right, same, threshold, tolerance)
+                if not len(a):
+                    continue
+                links += np.bincount(a, copies[b], len(tids)) + np.bincount(b, copies[a], len(tids))
+                texts += np.bincount(a, minlength=len(tids)) + np.bincount(b, minlength=len(tids))
+                # Of a part's pairs only links that span the same components are kept.
+                linked = np.unique(np.concatenate((a, b)))
+                least = _stars(len(linked), np.searchsorted(linked, a), np.searchsorted(linked, b), linked)
+                stars.append((linked, least))
+            label = _stars(len(tids), *map(np.concatenate, zip(*stars, strict=True)), tids)
             out += [(t, int(x), int(n), int(m)) for t, x, n, m in zip(tids.tolist(), label.tolist(), links.tolist(), texts.tolist(), strict=True) if m]
         columns = list(zip(*out, strict=True)) if out else [[]] * 4
         return pa.table([pa.array(x, pa.int64()) for x in columns], names=["tid", "least", "links", "texts"])

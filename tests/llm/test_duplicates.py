@@ -6,6 +6,8 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import GroupedData
+from pyspark.sql import functions as F
 from text_fixtures import SCHEMA, corpus, docs, document, empty, mixed, prose  # noqa: F401
 
 from panelscore.llm import graph, line_dedup, near_join
@@ -62,6 +64,32 @@ def test_one_of_each_group_stays(docs, mixed, monkeypatch, sent):
     assert sorted(r.doc_id for r in kept.collect()) == joined([(r[0], r[1]) for r in mixed], first=True)
 
 
+@pytest.mark.parametrize("limits", [{"BLOCK_WORDS": 500}, {"BLOCK": 8, "SPREAD": 4, "LARGE": 20}, {"BLOCK": 8, "SPREAD": 3, "LARGE": 9}])
+def test_tasks_of_a_large_group_stay_small(spark, monkeypatch, limits):
+    """One group of near copies in many blocks: what a task holds is a tile, not the whole group."""
+    for name, value in limits.items():
+        monkeypatch.setattr(near_join, name, value, raising=False)
+    base = prose(60, 900).split()
+    rows = []
+    for i in range(70):
+        words = [*base, prose(3, 901 + i)]
+        words[i % 60] = words[i % 60] if i % 2 else "other"
+        rows.append((i, " ".join(words)))
+    held, run = [], GroupedData.applyInArrow
+
+    def spy(self, *args):
+        sizes = self._df.withColumn("n", F.size(F.split("text", " "))).groupBy("cell").agg(F.sum("n").alias("n"), F.count_distinct("cluster", "i", "j").alias("tiles"))
+        held.extend(sizes.collect())
+        return run(self, *args)
+
+    monkeypatch.setattr(GroupedData, "applyInArrow", spy)
+    options = {"block": limits["BLOCK"]} if "BLOCK" in limits else {}
+    found = near_join.linked_documents(spark.createDataFrame([document(i, t) for i, t in rows], SCHEMA), **options)
+    assert Counter(map(tuple, found.collect())) == joined(rows)
+    assert len(held) > 1 and max(r.tiles for r in held) == 1
+    assert "BLOCK_WORDS" not in limits or max(r.n for r in held) < 4 * limits["BLOCK_WORDS"] < 70 * 63 / 2
+
+
 def test_join_of_nothing(empty):
     assert near_join.linked_documents(empty).count() == 0 and near_join.keep_first(empty).count() == 0
 
