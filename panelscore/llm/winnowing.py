@@ -108,10 +108,10 @@ def _spans(flags: np.ndarray) -> list[int]:
 
 
 def _indexes(items: DataFrame, window: int, gram: int, block_bytes: int):
-    """An index of each block of items, sent to the executors; at least one."""
+    """An index of each block of items, sent to the executors; at least one. Repeated rows count once: all would fall into one block."""
     if not 1 <= gram < window:
         raise ValueError("gram must be shorter than window")
-    known = items.select(F.col("item_id").cast("string").alias("item_id"), "text").where("item_id is not null and text is not null")
+    known = items.select(F.col("item_id").cast("string").alias("item_id"), "text").where("item_id is not null and text is not null").distinct()
     blocks = max(1, -(-c.text_bytes(known) // block_bytes))
     known = known.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
     for block in range(blocks):

@@ -5,7 +5,7 @@ import re
 from collections import Counter
 
 import pytest
-from text_fixtures import corpus, docs, empty, mixed  # noqa: F401
+from text_fixtures import corpus, docs, empty, mixed, prose  # noqa: F401
 
 from panelscore.llm import repeats, winnowing
 
@@ -109,3 +109,11 @@ def test_winnowing_of_nothing(spark, docs, empty):
     assert winnowing.decontaminate(empty, none).count() == 0
     with pytest.raises(ValueError):
         winnowing.decontaminate(docs, none, window=5, gram=5).count()
+
+
+def test_repeated_items_fill_no_block(spark):
+    rows = [(1, prose(20, 1))] * 60 + [(i, prose(20, i)) for i in range(2, 42)]
+    bench = spark.createDataFrame(rows, "item_id long, text string").repartition(4)
+    held = [index.value.ids for index in winnowing._indexes(bench, 10, 5, 8 * len(rows[0][1]))]
+    assert sorted(i for ids in held for i in ids) == sorted(str(i) for i in range(1, 42))
+    assert len(held) <= 8 and max(map(len, held)) <= 16
