@@ -1,7 +1,8 @@
 """Line deduplication by pairwise alignment.
 
 Every later holder of a line is paired with the line's first holder, never with all others, so copies by the thousand give
-as many pairs as lines, and a line of very many documents one pair for each of them. Each pair is aligned by a patience diff of
+as many pairs as lines, and a line of very many documents one pair for each of them. The same holds for the shortest runs of
+short lines that make a block, so that a block is compared with a document that has it as a whole. Each pair is aligned by a patience diff of
 its line hashes, and aligned blocks leave the later document; a line long enough to be a block goes with or without alignment.
 """
 
@@ -20,6 +21,26 @@ RARE, BLOCK_CHARS = float("inf"), 40
 KEY = ("doc_id", "rid")
 
 
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+_BACK = np.uint64(pow(int(_STEP), -1, 2**64))
+
+
+def block_keys(hashes: np.ndarray, chars: np.ndarray, least: int) -> np.ndarray:
+    """Distinct hashes of the lines, and of the shortest run of two lines or more from each line that has so many characters.
+
+    Blank lines (hash 0) are no key and begin no run. Each block of at least so many characters holds such a run or line.
+    """
+    n = len(hashes)
+    total = np.concatenate(([0], np.cumsum(chars)))
+    start = np.flatnonzero((hashes != 0) & (chars < least))
+    end = np.searchsorted(total, total[start] + least)
+    start, end = start[end <= n], end[end <= n]
+    up, down = (np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full(n, x, np.uint64)))) for x in (_STEP, _BACK))
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(c.mix(hashes.view(np.uint64)) * up[:n], dtype=np.uint64)))
+    runs = c.mix((sums[end] - sums[start]) * down[start]).view(np.int64)
+    return np.unique(np.concatenate((hashes[hashes != 0], runs)))
+
+
 def _unique(lines: list[int], low: int, high: int) -> dict[int, int]:
     place: dict[int, int] = {}
     for i in range(low, high):
@@ -103,7 +124,15 @@ def repeated_lines(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame
             F.transform("lines", lambda x: F.length(F.trim(x))).alias("chars"),
         ).dropDuplicates(list(KEY))
     )
-    postings = held.select(*KEY, F.explode(F.array_distinct("hashes")).alias("line")).where("line <> 0")
+
+    def keys(batches):
+        for b in batches:
+            found = [block_keys(np.array(h, np.int64), np.array(n, np.int64), block_chars) for h, n in zip(b["hashes"].to_pylist(), b["chars"].to_pylist(), strict=True)]
+            ends = np.cumsum([0, *map(len, found)])
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *found]), pa.int64()))
+            yield pa.RecordBatch.from_arrays([b["doc_id"], b["rid"], lists], names=["doc_id", "rid", "lines"])
+
+    postings = held.select(*KEY, "hashes", "chars").mapInArrow(keys, "doc_id long, rid long, lines array<long>").select(*KEY, F.explode("lines").alias("line"))
     # Written, so that the join below has an exchange on either side and a line of very many documents can be split there.
     first = pin(postings.groupBy("line").agg(F.min(F.struct(*KEY)).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
     pairs = (

@@ -204,5 +204,25 @@ def test_one_common_line_leaves_every_later_document(spark):
     assert {r.doc_id: r.text for r in kept.collect()} == {i: t for i, t in expected.items() if t}
 
 
+def test_a_block_of_short_lines_meets_a_document_that_has_it_whole(spark):
+    a, b, x = "a line of 15 ch", "another line 15", "third line (15)"
+    # Each line, and each pair of neighbours, is first held by a document without the block.
+    texts = {1: f"{a}\n{b}", 2: f"{b}\n{x}", 4: f"{a}\n{b}\n{x}\n{prose(9, 1)}", 5: f"{prose(9, 2)}\n{a}\n{b}\n{x}", 6: f"{a}\n\n{x}"}
+    kept = line_dedup.drop_repeated_lines(spark.createDataFrame([document(i, t) for i, t in texts.items()], SCHEMA))
+    assert {r.doc_id: r.text for r in kept.collect()} == {**texts, 5: prose(9, 2)}
+
+
+def test_block_keys():
+    rng = np.random.default_rng(7)
+    for _ in range(50):
+        hashes = rng.integers(0, 5, 12)
+        chars = np.where(hashes == 0, 0, hashes * 7)
+        runs = set()
+        for i in np.flatnonzero(hashes):
+            run = next((tuple(hashes[i:k].tolist()) for k in range(i + 1, 13) if chars[i:k].sum() >= 20), ())
+            runs |= {run} if len(run) > 1 else set()
+        assert len(line_dedup.block_keys(hashes, chars, 20)) == len(runs) + len(set(hashes.tolist()) - {0})
+
+
 def test_line_dedup_of_nothing(empty):
     assert line_dedup.drop_repeated_lines(empty).count() == 0 and line_dedup.count_repeated_lines(empty).count() == 0
