@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from panelscore.llm import knn, language, line_dedup, near_join, packing, repeats, toxicity, url_filter, winnowing
+from panelscore.llm import knn, language, line_dedup, near_join, packing, periodic, repeats, toxicity, url_filter, winnowing
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_decontamination": winnowing.op8_decontamination,
         "op9_suffix_array_dedup": repeats.op9_suffix_array_dedup,
         "op10_topk_search": knn.op10_topk_search,
+        "op12_periodic_runs": periodic.op12_periodic_runs,
     }
 
 
