@@ -248,6 +248,38 @@ def repeat_tail(doc_id: int | None, words: list[bytes]) -> list[bytes]:
     return words[:a] + (words[a : a + p] * (-(-(n - a) // p)))[: n - a]
 
 
+#: crc32 of the decimal id, bit by bit; equal words at most a quarter of the text apart, by stretches of one distance.
+ORACLE = r"""
+WITH doc AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS words,
+    xor(4294967295, list_reduce([CAST(4294967295 AS BIGINT)] || flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''),
+      lambda d: list_transform(range(8), lambda k: CAST((ascii(d) >> k) & 1 AS BIGINT)))),
+      lambda c, b: CASE WHEN (c & 1) <> b THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS h
+  FROM documents),
+tail AS (SELECT *, len(words) AS n, coalesce(h % 10 = 0, false) AND len(words) > 0 AS again, (h // 10) % greatest(len(words), 1) AS a FROM doc),
+part AS (SELECT *, 1 + (n - a) // (3 + (h // 10) % 8) AS p FROM tail),
+word AS (
+  SELECT r, n, i, CASE WHEN again AND i >= a THEN words[a + (i - a) % p + 1] ELSE words[i + 1] END AS word
+  FROM (SELECT *, unnest(range(n)) AS i FROM part)),
+same AS (SELECT x.r, x.i, y.i - x.i AS q FROM word x JOIN word y ON x.r = y.r AND x.word = y.word AND y.i > x.i AND y.i - x.i <= x.n // 4),
+stretch AS (
+  SELECT r, q, min(i) AS start, count(*) + q AS length
+  FROM (SELECT *, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS g FROM same) GROUP BY r, q, g
+  HAVING count(*) + q >= greatest(6, 4 * q)),
+run AS (SELECT r, start, length, min(q) AS period FROM stretch GROUP BY ALL),
+kept AS (
+  SELECT r, string_agg(word, ' ' ORDER BY i) AS text FROM word
+  WHERE NOT EXISTS (SELECT 1 FROM run WHERE run.r = word.r AND i >= start + period AND i < start + length) GROUP BY r),
+best AS (
+  SELECT r, count(*) AS n_runs, min(struct_pack(n := -length, s := start, p := period)) AS b,
+    sha256(string_agg(concat(start, ',', length, ',', period, chr(10)), '' ORDER BY start, period)) AS runs_sha256
+  FROM run GROUP BY r)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, b.s AS start, -b.n AS length, b.p AS period, (-1000 * b.n) // b.p AS exponent_milli,
+  coalesce(runs_sha256, sha256('')) AS runs_sha256, sha256(coalesce(text, '')) AS collapsed_sha256
+FROM doc LEFT JOIN best USING (r) LEFT JOIN kept USING (r)
+"""
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of all ``documents`` as digests: the count, the longest run, all runs and the collapsed text.
 
