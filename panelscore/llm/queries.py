@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from panelscore.llm import knn, language, lexical, line_dedup, near_join, packing, periodic, repeats, toxicity, url_filter, winnowing
+from panelscore.llm import circulant, knn, language, lexical, line_dedup, near_join, packing, periodic, repeats, toxicity, url_filter, winnowing
 
 
 def queries() -> dict:
@@ -19,8 +19,14 @@ def queries() -> dict:
         "op10_topk_search": knn.op10_topk_search,
         "op11_ranked_lexical_search": lexical.op11_ranked_lexical_search,
         "op12_periodic_runs": periodic.op12_periodic_runs,
+        "op13_minhash_near_dedup": circulant.op13_minhash_near_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_url_filter": url_filter.ORACLE, "op11_ranked_lexical_search": lexical.ORACLE, "op12_periodic_runs": periodic.ORACLE}
+    return {
+        "op4_url_filter": url_filter.ORACLE,
+        "op11_ranked_lexical_search": lexical.ORACLE,
+        "op12_periodic_runs": periodic.ORACLE,
+        "op13_minhash_near_dedup": circulant.ORACLE,
+    }
