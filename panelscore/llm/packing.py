@@ -11,9 +11,11 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -21,7 +23,7 @@ from panelscore.llm import common as c
 from panelscore.session import pin
 
 CAPACITY, GRAIN, END = 2048, 8, 1
-#: Words whose ids a worker remembers; beyond it forgets them all and starts again.
+#: Tokens whose ids a worker remembers; beyond it only those of its last texts stay.
 REMEMBERED = 400_000
 _MARKS = ".,;:!?"
 _encoders: dict[str, Encoder] = {}
@@ -41,13 +43,27 @@ class Encoder:
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self._forget()
+        self.tokens: dict[str, int] = {}
+        self.flat, self.first, self.made_of = np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros((0, 2), np.int64)
+        self.parts: dict[str, int] = {"": 0}
+        self.part_flat, self.part_first = np.zeros(0, np.uint32), np.zeros(2, np.int64)
+        self.last: list[str] = []
 
     def _forget(self) -> None:
-        self.slots: dict[str, int] = {"": 0}
-        self.flat, self.first = np.zeros(0, np.uint32), np.zeros(2, np.int64)
+        """Keep the tokens of the last texts only, and their parts."""
+        slots = np.fromiter(map(self.tokens.__getitem__, self.last), np.int64, len(self.last))
+        used, made_of = np.unique(self.made_of[slots], return_inverse=True)
+        used, made_of = (used, made_of) if len(used) and used[0] == 0 else (np.concatenate(([0], used)), made_of + 1)
+        names = list(self.parts)
+        self.parts = {names[k]: n for n, k in enumerate(used.tolist())}
+        self.tokens = dict(zip(self.last, range(len(slots)), strict=True))
+        self.made_of = made_of.reshape(-1, 2)
+        self.flat, sizes = _gather(self.flat, self.first, slots)
+        self.part_flat, part_sizes = _gather(self.part_flat, self.part_first, used)
+        self.first, self.part_first = (np.concatenate(([0], np.cumsum(x))) for x in (sizes, part_sizes))
 
     def _learn(self, words: list[str]) -> None:
+        """Remember new parts of tokens by their ids."""
         plain = [w for w in words if w.isalpha()]
         odd = [w for w in words if not w.isalpha()]
         ids, sizes, order = [], [], []
@@ -61,40 +77,67 @@ class Encoder:
             ids.append(got)
             sizes.append(np.diff(stops, prepend=0))
             order += part
-        for e in self.tokenizer.encode_batch_fast(odd, add_special_tokens=False):
-            ids.append(np.array(e.ids, np.uint32))
-            sizes.append(np.array([len(e.ids)]))
-        self.slots.update(zip(order + odd, range(len(self.first) - 1, len(self.first) - 1 + len(words)), strict=True))
-        self.flat = np.concatenate([self.flat, *ids])
-        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(np.concatenate(sizes))])
+        lists = [e.ids for e in self.tokenizer.encode_batch_fast(odd, add_special_tokens=False)]
+        ids.append(np.fromiter(chain.from_iterable(lists), np.uint32))
+        sizes.append(np.fromiter(map(len, lists), np.int64, len(lists)))
+        self.parts.update(zip(order + odd, range(len(self.part_first) - 1, len(self.part_first) - 1 + len(words)), strict=True))
+        self.part_flat = np.concatenate([self.part_flat, *ids])
+        self.part_first = np.concatenate([self.part_first, self.part_first[-1] + np.cumsum(np.concatenate(sizes))])
+
+    def _meet(self, tokens: pa.Array) -> None:
+        """Remember new tokens: the ids of the word, then those of the run of marks that ends it."""
+        cores = pc.utf8_rtrim(tokens, _MARKS)
+        last = pc.utf8_slice_codeunits(cores, -1).dictionary_encode()
+        closed = np.array([bool(x) and _closes(x) for x in last.dictionary.to_pylist()], bool)[last.indices.to_numpy()]
+        extra = pc.binary_length(tokens).to_numpy() - pc.binary_length(cores).to_numpy()
+        marked = closed & (extra > 0)
+        cores = pc.if_else(pa.array(marked), cores, tokens)
+        cores = pc.if_else(pc.string_is_ascii(cores), pc.ascii_lower(cores), cores)
+        n = len(tokens)
+        # Marks are single bytes, and most runs a single mark.
+        tails = pc.if_else(pa.array(marked), pc.utf8_slice_codeunits(tokens, -1), pa.scalar("", tokens.type))
+        longer = marked & (extra > 1)
+        if longer.any():
+            tails = pc.replace_with_mask(tails, pa.array(longer), pa.array([t[-n:] for t, n in zip(tokens.filter(pa.array(longer)).to_pylist(), extra[longer].tolist(), strict=True)], tokens.type))
+        parts = pa.concat_arrays([cores, tails]).dictionary_encode()
+        names = _strings(parts.dictionary)
+        if new := [w for w in names if w not in self.parts]:
+            self._learn(new)
+        slots = np.fromiter(map(self.parts.__getitem__, names), np.int64, len(names))[parts.indices.to_numpy()]
+        pairs = np.stack((slots[:n], slots[n:]), axis=1)
+        ids, sizes = _gather(self.part_flat, self.part_first, pairs.ravel())
+        self.made_of = np.concatenate((self.made_of, pairs))
+        self.tokens.update(zip(_strings(tokens), range(len(self.first) - 1, len(self.first) - 1 + n), strict=True))
+        self.flat = np.concatenate([self.flat, ids])
+        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(sizes[0::2] + sizes[1::2])])
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each closed by END, and where each begins."""
-        lists = pa.compute.ascii_split_whitespace(pa.array([t or "" for t in texts], pa.large_string()))
+        lists = pc.ascii_split_whitespace(pa.array([t or "" for t in texts], pa.large_string()))
         words = lists.flatten().dictionary_encode()
-        if len(self.slots) > REMEMBERED:
+        if len(self.tokens) > REMEMBERED:
             self._forget()
-        cores, tails = [], []
-        for w in words.dictionary.to_pylist():
-            core = w.rstrip(_MARKS)
-            if not core or core == w or not _closes(core[-1]):
-                core, tail = w, ""
-            else:
-                tail = w[len(core) :]
-            cores.append(core.lower() if core.isascii() else core)
-            tails.append(tail)
-        new = [w for w in dict.fromkeys(cores + tails) if w not in self.slots]
-        if new:
-            self._learn(new)
-        known = self.slots
-        pairs = np.array([[known[a], known[b]] for a, b in zip(cores, tails, strict=True)], np.int64).reshape(-1, 2)
-        slots = pairs[words.indices.to_numpy(zero_copy_only=False)].ravel()
-        sizes = self.first[slots + 1] - self.first[slots]
-        ends = np.cumsum(sizes)
-        ids = self.flat[np.repeat(self.first[slots] - ends + sizes, sizes) + np.arange(int(sizes.sum()))]
-        stops = np.concatenate(([0], ends))[2 * lists.offsets.to_numpy()]
+        self.last = names = _strings(words.dictionary)
+        slots = np.fromiter(map(self.tokens.get, names, repeat(-1)), np.int64, len(names))
+        new = np.flatnonzero(slots < 0)
+        if len(new):
+            slots[new] = len(self.first) - 1 + np.arange(len(new))
+            self._meet(words.dictionary.take(pa.array(new)))
+        ids, sizes = _gather(self.flat, self.first, slots[words.indices.to_numpy()])
+        stops = np.concatenate(([0], np.cumsum(sizes)))[lists.offsets.to_numpy()]
         ids = np.insert(ids, stops[1:], END)
-        return ids.astype("<u4"), stops + np.arange(len(stops))
+        return ids.astype("<u4", copy=False), stops + np.arange(len(stops))
+
+
+def _strings(column: pa.Array) -> list[str]:
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
+def _gather(flat: np.ndarray, first: np.ndarray, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The slices flat[first[s] : first[s + 1]] one after the other, and their sizes."""
+    sizes = first[slots + 1] - first[slots]
+    ends = np.cumsum(sizes)
+    return flat[np.repeat(first[slots] - ends + sizes, sizes) + np.arange(int(ends[-1]) if len(ends) else 0)], sizes
 
 
 def _closes(char: str) -> bool:
