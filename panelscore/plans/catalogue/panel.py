@@ -12,7 +12,7 @@ from panelscore.plans import bindings as b
 from panelscore.plans import oracle as o
 from panelscore.plans.catalogue.common import tidy
 from panelscore.session import checkpoint_folder
-from panelscore.sources import cachelog, files, payloads
+from panelscore.sources import cachelog, files, payloads, versions
 
 AS_OF = "2024-01-20 00:00:00"
 TTL = 3 * 24 * 3600
@@ -287,7 +287,8 @@ def q10(spark, sf):
 
 
 def _folder(spark):
-    return f"{checkpoint_folder(spark)}/panelscore/tables/{uuid.uuid4().hex}"
+    """Where ``release`` finds it."""
+    return f"{checkpoint_folder(spark)}/panelscore/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
 
 
 def s6(spark, sf):
@@ -307,12 +308,29 @@ def s8(spark, sf):
 
 
 def s9(spark, sf):
-    """Two periods replaced: one by other values, one by nothing; the rest stays."""
-    path, long = _folder(spark), b.nation_long(spark, sf)
-    files.write_table(long, path)
-    changed = long.where("period <> 1995").withColumn("value", F.col("value") + 1)
-    files.write_table(changed, path, replace=[1995, 1997])
-    return tidy(files.read_long(spark, path).select("entity", "indicator", "period", "value"))
+    """Two periods of a versioned table replaced, one by nothing, one from its own rows, after a write that failed."""
+    path = _folder(spark)
+    versions.commit(b.nation_long(spark, sf), path)
+    own = versions.read_version(spark, path)
+    broken = F.when(F.col("value").isNotNull(), F.raise_error(F.lit("a write that fails"))).otherwise(F.col("value"))
+    try:
+        versions.commit(own.withColumn("value", broken.cast("double")), path, replace=[1996])
+    except Exception as error:
+        if "a write that fails" not in str(error):
+            raise
+    versions.commit(own.where("period <> 1995").withColumn("value", F.col("value") + 1), path, replace=[1995, 1997])
+    return tidy(versions.read_version(spark, path).select("entity", "indicator", "period", "value"))
+
+
+def s9_versions(spark, sf):
+    """What each of three versions holds by period: a full load, a replacement from its own rows, a shrinking reload."""
+    path = _folder(spark)
+    versions.commit(b.nation_long(spark, sf), path)
+    versions.commit(versions.read_version(spark, path).withColumn("value", F.col("value") * 2), path, replace=[1996, 1998])
+    versions.commit(versions.read_version(spark, path).where("period < 1997"), path)
+    each = [versions.read_version(spark, path, n).withColumn("version", F.lit(n)) for n in (1, 2, 3)]
+    whole = each[0].unionByName(each[1]).unionByName(each[2])
+    return tidy(whole.groupBy("version", "period").agg(F.count(F.lit(1)).alias("rows"), F.sum("value").alias("total")))
 
 
 QUERIES = {
@@ -332,6 +350,7 @@ QUERIES = {
     "s6_wide_csv": s6,
     "s8_sink": s8,
     "s9_reload": s9,
+    "s9_versions": s9_versions,
     "s10_upsert": s10,
     "s11_ttl_lookup": s11,
     "s12_last_known_good": s12,
@@ -396,6 +415,11 @@ ORACLE = {
     "s6_wide_csv": f"""{o.LONG} SELECT entity, period, {o.r6(*b.NATION_BASE)} FROM base""",
     "s8_sink": f"""{o.LONG} SELECT entity, indicator, period, {o.r6('value')} FROM obs WHERE period >= 1996 AND period <> 1998""",
     "s9_reload": f"""{o.LONG} SELECT entity, indicator, period, {o.r6('(CASE WHEN period = 1997 THEN value + 1 ELSE value END) AS value')} FROM obs WHERE period <> 1995""",
+    "s9_versions": f"""{o.LONG}, v AS (
+        SELECT 1 AS version, period, value FROM obs UNION ALL
+        SELECT 2, period, CASE WHEN period IN (1996, 1998) THEN 2 * value ELSE value END FROM obs UNION ALL
+        SELECT 3, period, CASE WHEN period = 1996 THEN 2 * value ELSE value END FROM obs WHERE period < 1997)
+        SELECT version::INT AS version, period, count(*) AS rows, {o.r6('sum(value) AS total')} FROM v GROUP BY version, period""",
     "s13_cache_stats": f"""{LOG}, known AS (SELECT CASE WHEN entry % 11 <> 0 THEN source END AS source, retrieved_at FROM log)
         SELECT CASE WHEN grouping(source) = 1 THEN '(total)' ELSE coalesce(source, '(none)') END AS source, count(*) AS entries,
         epoch_us(min(retrieved_at)) AS oldest_us, epoch_us(max(retrieved_at)) AS newest_us FROM known GROUP BY ROLLUP (source)""",

@@ -68,6 +68,12 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def rename(spark: SparkSession, path: str, to: str) -> None:
+    source, target = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (path, to))
+    if not source.getFileSystem(spark._jsc.hadoopConfiguration()).rename(source, target):
+        raise OSError(f"{path} could not be renamed to {to}")
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[str]:
     """A run's own folder for what ``pin`` writes inside the block; gone with all its tables when the block ends.

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import types as T
 
 from panelscore.functions.scalar import nan_to_null
 from panelscore.schema import ENTITY, INDICATOR, LONG_COLUMNS, PERIOD, VALUE, require
-from panelscore.session import remove
+from panelscore.session import exists, remove, rename
 
 
 def read_wide_csv(
@@ -69,21 +70,31 @@ def write_table(
     Without ``replace`` a full reload: afterwards the table holds ``df`` and nothing else. With it, those partition values
     are replaced, also by nothing where ``df`` has no row of them, and all others stay. Rows are gathered by partition value
     before the write, and a value with a large share of the rows is split.
+
+    Replacements are written aside as a whole before any partition is touched, so ``df`` may read the table and a write that
+    fails changes nothing; the partitions are then swapped one after the other. ``versions.commit`` swaps them in one step.
     """
     spark = df.sparkSession
     if replace is not None:
         if partition_by is None:
             raise ValueError("only partitions can be replaced")
         df = df.where(F.col(partition_by).isin([int(v) for v in replace]))
-        for value in replace:
-            remove(spark, f"{path.rstrip('/')}/{partition_by}={int(value)}")
+    root = path.rstrip("/")
+    target = f"{root}/_aside-{uuid.uuid4().hex}" if replace is not None else path
     if partition_by is not None:
         df = df.hint("rebalance", F.col(partition_by))
     # Said at the writer, so that no session setting turns a full reload into a partial one.
-    writer = df.write.mode("overwrite" if replace is None else "append").option("partitionOverwriteMode", "static").option("maxRecordsPerFile", 5_000_000)
+    writer = df.write.mode("overwrite").option("partitionOverwriteMode", "static").option("maxRecordsPerFile", 5_000_000)
     if partition_by is not None:
         writer = writer.partitionBy(partition_by)
-    (writer.option("header", True) if fmt == "csv" else writer).format(fmt).save(path)
+    (writer.option("header", True) if fmt == "csv" else writer).format(fmt).save(target)
+    for value in replace or ():
+        part = f"{partition_by}={int(value)}"
+        remove(spark, f"{root}/{part}")
+        if exists(spark, f"{target}/{part}"):
+            rename(spark, f"{target}/{part}", f"{root}/{part}")
+    if replace is not None:
+        remove(spark, target)
 
 
 def route_sources(parts: Mapping[str, DataFrame | None]) -> DataFrame:
