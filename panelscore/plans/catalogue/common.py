@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelscore.operators import score
 from panelscore.plans import bindings as b
+from panelscore.session import checkpoint_folder
+
+
+def work_folder(spark: SparkSession) -> str:
+    """A new folder for a query's own tables, where ``release`` finds it."""
+    return f"{checkpoint_folder(spark)}/panelscore/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
 
 
 def tidy(df: DataFrame, digits: int = 6) -> DataFrame:

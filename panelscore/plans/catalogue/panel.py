@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from panelscore.functions.scalar import micros
 from panelscore.operators import clean, quality
 from panelscore.plans import bindings as b
 from panelscore.plans import oracle as o
-from panelscore.plans.catalogue.common import tidy
-from panelscore.session import checkpoint_folder
+from panelscore.plans.catalogue.common import tidy, work_folder
 from panelscore.sources import cachelog, files, payloads, versions
 
 AS_OF = "2024-01-20 00:00:00"
@@ -286,14 +283,9 @@ def q10(spark, sf):
     return quality.compare_fingerprints(recorded, current)
 
 
-def _folder(spark):
-    """Where ``release`` finds it."""
-    return f"{checkpoint_folder(spark)}/panelscore/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-
-
 def s6(spark, sf):
     """The wide panel landed as CSV with ids as people type them, read back by header."""
-    path = _folder(spark)
+    path = work_folder(spark)
     wide = b.nation_base(spark, sf).withColumn("entity", F.concat(F.lit("  "), F.lower("entity")))
     files.write_table(wide, path, partition_by=None, fmt="csv")
     return tidy(files.read_wide_csv(spark, path, [*b.NATION_BASE, "NOT_DELIVERED"]))
@@ -301,7 +293,7 @@ def s6(spark, sf):
 
 def s8(spark, sf):
     """Written by period, then again as a full reload without some of its periods."""
-    path, long = _folder(spark), b.nation_long(spark, sf)
+    path, long = work_folder(spark), b.nation_long(spark, sf)
     files.write_table(long, path)
     files.write_table(long.where("period >= 1996 and period <> 1998"), path)
     return tidy(files.read_long(spark, path).select("entity", "indicator", "period", "value"))
@@ -309,7 +301,7 @@ def s8(spark, sf):
 
 def s9(spark, sf):
     """Two periods of a versioned table replaced, one by nothing, one from its own rows, after a write that failed."""
-    path = _folder(spark)
+    path = work_folder(spark)
     versions.commit(b.nation_long(spark, sf), path)
     own = versions.read_version(spark, path)
     broken = F.when(F.col("value").isNotNull(), F.raise_error(F.lit("a write that fails"))).otherwise(F.col("value"))
@@ -324,7 +316,7 @@ def s9(spark, sf):
 
 def s9_versions(spark, sf):
     """What each of three versions holds by period: a full load, a replacement from its own rows, a shrinking reload."""
-    path = _folder(spark)
+    path = work_folder(spark)
     versions.commit(b.nation_long(spark, sf), path)
     versions.commit(versions.read_version(spark, path).withColumn("value", F.col("value") * 2), path, replace=[1996, 1998])
     versions.commit(versions.read_version(spark, path).where("period < 1997"), path)

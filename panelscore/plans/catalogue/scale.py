@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from panelscore.operators import backtest, network, rank
+from panelscore.operators import backtest, history, network, rank
 from panelscore.operators import score as scoring
 from panelscore.plans import bindings as b
 from panelscore.plans import oracle as o
-from panelscore.plans.catalogue.common import tidy
+from panelscore.plans.catalogue.common import tidy, work_folder
 from panelscore.session import pin
 
 S, U = b.SUPPLIER_MODEL, b.EVENT_MODEL
@@ -47,7 +47,19 @@ def scale_n2(spark, sf):
     return tidy(network.pair_table(found))
 
 
+def z1_incremental(spark, sf):
+    """Suppliers scored in four loads, the last of them repeated, each from the state that the one before left."""
+    path, panel = work_folder(spark), b.supplier_month(spark, sf)
+    cuts = (1993 * 12, 1994 * 12 + 6, 1997 * 12, 1997 * 12, 10**6)
+    parts = [history.advance(spark, path, panel.where(F.col("period") < cut), S) for cut in cuts]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return tidy(out.select("entity", "period", "data_completeness", "risk_score", "trend_1y_delta", "trend_2y_delta", "trend_direction"))
+
+
 QUERIES = {
+    "z1_incremental": z1_incremental,
     "scale_z": scale_z,
     "scale_users": scale_users,
     "scale_standing": scale_standing,
@@ -93,6 +105,10 @@ USERS = scored(
 
 ORACLE = {
     "scale_z": f"{SUPPLIERS} SELECT entity, period, {o.r6('data_completeness::DOUBLE AS data_completeness', 'risk_score', 'trend_1y_delta')} FROM ss",
+    "z1_incremental": f"""{SUPPLIERS}, d AS (SELECT *, risk_score - lag(risk_score, 2) OVER (PARTITION BY entity ORDER BY period) AS trend_2y_delta FROM ss)
+        SELECT entity, period, {o.r6('data_completeness::DOUBLE AS data_completeness', 'risk_score', 'trend_1y_delta', 'trend_2y_delta')},
+          CASE WHEN trend_1y_delta IS NULL THEN NULL WHEN abs(trend_1y_delta) <= {S.params.trend_threshold_points} THEN 'Stable'
+            WHEN trend_1y_delta > 0 THEN 'Deteriorating' ELSE 'Improving' END AS trend_direction FROM d""",
     "scale_users": f"""{USERS} SELECT entity, period, {o.r6('data_completeness::DOUBLE AS data_completeness', 'risk_score')}, {o.band('risk_score')} AS risk_band FROM ss""",
     "scale_standing": f"""{USERS}, rs AS (SELECT entity, period, grp, round(risk_score, 6) AS r FROM ss WHERE risk_score IS NOT NULL),
         k AS (SELECT *, count(*) OVER (PARTITION BY period, grp) - 1 AS n, rank() OVER (PARTITION BY period, grp ORDER BY r DESC) AS rank FROM rs)
