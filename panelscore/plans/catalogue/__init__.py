@@ -6,7 +6,7 @@ from importlib import import_module
 
 from panelscore.session import tune
 
-FAMILIES = ("panel", "series", "scoring", "ranking", "quality", "replay", "network", "benchmark", "scenario", "explain", "scale")
+FAMILIES = ("panel", "series", "scoring", "ranking", "quality", "replay", "network", "benchmark", "scenario", "explain", "scale", "stream")
 
 
 def _merged(attribute: str) -> dict:
