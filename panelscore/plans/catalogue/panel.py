@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panelscore.functions.scalar import micros
-from panelscore.operators import clean, quality
+from panelscore.operators import clean, hashtree, quality
 from panelscore.plans import bindings as b
 from panelscore.plans import oracle as o
 from panelscore.plans.catalogue.common import tidy, work_folder
@@ -283,6 +283,25 @@ def q10(spark, sf):
     return quality.compare_fingerprints(recorded, current)
 
 
+def q10_rows(spark, sf):
+    """Events by day and a copy with changed, lost and added rows: the trees lead to the events that differ."""
+    folder = work_folder(spark)
+    e = b.read(spark, sf, "events").withColumn("day", F.to_date("ts").cast("string"))
+    n = F.col("event_id")
+    changed = e.withColumn("value", F.when((n % 97 == 0) & F.col("value").isNotNull(), F.col("value") + 1).otherwise(F.col("value")))
+    added = e.where((n % 101 == 0) & (F.col("day") == "2024-01-12")).withColumn("event_id", n + 10**12)
+    frames = []
+    for name, frame in (("old", e), ("new", changed.where((n % 89 != 0) | (F.col("day") != "2024-01-09")).unionByName(added))):
+        frame.write.partitionBy("day").parquet(f"{folder}/{name}")
+        frames.append(spark.read.schema(e.schema).parquet(f"{folder}/{name}"))
+    trees = []
+    for name, frame in zip(("old", "new"), frames):
+        hashtree.tree(hashtree.leaves(frame, ["event_id"], F.col("day"))).write.partitionBy("level").parquet(f"{folder}/{name}_tree")
+        trees.append(spark.read.parquet(f"{folder}/{name}_tree"))
+    found = hashtree.differences(*trees)
+    return hashtree.drifted_rows(*frames, found, ["event_id"], F.col("day"))
+
+
 def s6(spark, sf):
     """The wide panel landed as CSV with ids as people type them, read back by header."""
     path = work_folder(spark)
@@ -350,6 +369,7 @@ QUERIES = {
     "s15_routing": s15,
     "q1_coverage": q1,
     "q10_fingerprint": q10,
+    "q10_drifted_rows": q10_rows,
     "q11_freshness": q11,
     "q12_bookkeeping": q12,
 }
@@ -430,6 +450,10 @@ ORACLE = {
         SELECT 'events' AS "table", p AS "partition", old.n AS old_rows, new.n AS new_rows,
           CASE WHEN new.h IS NULL THEN 'missing' WHEN old.h IS NULL THEN 'new' WHEN old.h = new.h AND old.n = new.n THEN 'ok' ELSE 'drifted' END AS status
         FROM old FULL JOIN new USING (p)""",
+    "q10_drifted_rows": """WITH e AS (SELECT *, strftime(ts, '%Y-%m-%d') AS day FROM events)
+        SELECT day AS "partition", event_id, CASE WHEN event_id % 89 = 0 AND day = '2024-01-09' THEN 'missing' ELSE 'changed' END AS status
+        FROM e WHERE (event_id % 89 = 0 AND day = '2024-01-09') OR (event_id % 97 = 0 AND value IS NOT NULL)
+        UNION ALL SELECT day, event_id + 1000000000000, 'new' FROM e WHERE event_id % 101 = 0 AND day = '2024-01-12'""",
     "q11_freshness": f"""WITH log AS (
           SELECT event_type AS source, ts, event_id % 7 <> 0 AS good FROM events WHERE ts <= TIMESTAMP '{AS_OF}'),
         g AS (SELECT source, max(ts) AS attempt, max(ts) FILTER (good) AS newest FROM log GROUP BY 1),
