@@ -40,6 +40,16 @@ def crc_fold(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3, F.lit(0))
 
 
+def drawn(draw: Column, bound: Column | int) -> Column:
+    """Whether a 64-bit hash falls within a share of all hashes, given as ``hash_bound``."""
+    return draw.bitwiseAND(F.lit(2**62 - 1)) < bound
+
+
+def hash_bound(wanted: int, count: int) -> int:
+    """The bound for about ``wanted`` of ``count`` rows, in whole numbers of 2^-62: it does not vanish for any count."""
+    return 2**62 if wanted >= count else 2**62 * wanted // count
+
+
 def byte_class(*spans: tuple[int, int]) -> np.ndarray:
     """256 flags: True for bytes of a word, False for those inside one of the separator spans."""
     flags = np.ones(256, bool)

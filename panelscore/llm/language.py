@@ -135,10 +135,10 @@ def sample(docs: DataFrame, usable, per_language: int = PER_LANGUAGE) -> list[tu
     sizes = docs.where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull()).groupBy("lang").count().collect()
     if not sizes:
         return []
-    share = spark.createDataFrame([(r["lang"], int(min(1.0, per_language / r["count"]) * 1_000_000)) for r in sizes], "lang string, share long")
+    share = spark.createDataFrame([(r["lang"], c.hash_bound(per_language, r["count"])) for r in sizes], "lang string, share long")
     if len(sizes) <= 10_000:
         share = F.broadcast(share)
-    picked = rows.join(share, "lang").where(F.pmod("draw", F.lit(1_000_000)) < F.col("share")).select("lang", "text", "draw")
+    picked = rows.join(share, "lang").where(c.drawn(F.col("draw"), F.col("share"))).select("lang", "text", "draw")
 
     def count(batches):
         for b in batches:

@@ -174,10 +174,11 @@ def drop_repeated_lines(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> Data
 
     Documents come in the order of (id, hash of text); rows that share both are one document and get the same text. Rows with
     a null id cannot be ordered: they stay whole and are no reference. Null and empty texts stay as they are; blank lines
-    never pair documents. A document of which nothing but blank lines is left is dropped. Judged on the input throughout.
+    never pair documents. A document of which nothing but blank lines is left is dropped. Judged on the input throughout. A column
+    ``n_chars`` follows the text where it changes.
     """
     names = docs.columns
-    at = names.index("text")
+    at, counted = names.index("text"), names.index("n_chars") if "n_chars" in names else None
     joined = _cut(docs, repeated_lines(docs, block_chars)).select("row.*", "removed")
     joined = joined.toDF(*[f"c{i}" for i in range(len(names))], "removed")
 
@@ -190,6 +191,9 @@ def drop_repeated_lines(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> Data
             keep = pa.array([not r or bool(t.strip()) for t, r in zip(out, b.column(len(names)).to_pylist(), strict=True)], pa.bool_())
             columns = b.columns[:-1]
             columns[at] = pa.array(out, b.schema.field(at).type)
+            if counted is not None:
+                sizes = zip(b.column(counted).to_pylist(), b.column(at).to_pylist(), out, strict=True)
+                columns[counted] = pa.array([n if new == old else len(new) for n, old, new in sizes], b.schema.field(counted).type)
             yield pa.RecordBatch.from_arrays(columns, names=b.schema.names[:-1]).filter(keep)
 
     schema = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(docs.schema.fields))

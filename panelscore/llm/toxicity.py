@@ -224,19 +224,18 @@ class Model:
 def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Model:
     """Letter counts of all ``docs``; lexicon and weights from about ``per_label`` labelled documents of each label.
 
-    ``labels`` holds doc_id and toxic, null ones are ignored; a document labelled both ways counts as toxic. With one label
+    ``labels`` holds doc_id and toxic, null ones are ignored and all but 0 counts as toxic; a document labelled both ways counts as toxic. With one label
     or none the lexicon is empty and every score is the same.
     """
     spark = docs.sparkSession
     model = Model(Restorer(Letters(count_letters(docs))), {})
-    known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max((F.col("toxic") != 0).cast("int")).alias("toxic"))
     sizes = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     if len(sizes) < 2:
         model.bias = 4.0 if 1 in sizes else -4.0
         return model
-    drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
-    cut = F.when(F.col("toxic") == 1, F.lit(int(min(1, per_label / sizes[1]) * 1_000_000))).otherwise(F.lit(int(min(1, per_label / sizes[0]) * 1_000_000)))
-    ids = spark.createDataFrame(known.where(drawn < cut).collect(), "doc_id long, toxic int")
+    bound = F.when(F.col("toxic") == 1, F.lit(c.hash_bound(per_label, sizes[1]))).otherwise(F.lit(c.hash_bound(per_label, sizes[0])))
+    ids = spark.createDataFrame(known.where(c.drawn(F.xxhash64("doc_id"), bound)).collect(), "doc_id long, toxic int")
     rows = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id")
     restorer = spark.sparkContext.broadcast(model.restorer)
 

@@ -226,3 +226,11 @@ def test_block_keys():
 
 def test_line_dedup_of_nothing(empty):
     assert line_dedup.drop_repeated_lines(empty).count() == 0 and line_dedup.count_repeated_lines(empty).count() == 0
+
+
+def test_n_chars_follows_the_text(spark):
+    passage = "\n".join(prose(12, k) for k in range(4))
+    rows = [document(1, passage), document(2, "own words of this one\n" + passage), document(3, None), document(4, "short")]
+    found = {r.doc_id: r for r in line_dedup.drop_repeated_lines(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert found[2].text == "own words of this one"
+    assert {d: r.n_chars for d, r in found.items()} == {1: len(passage), 2: 21, 3: None, 4: 5}

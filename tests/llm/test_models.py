@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from text_fixtures import SCHEMA, corpus, docs, document, empty, mixed  # noqa: F401
 
 import __spark_entry__ as entry
@@ -242,4 +243,14 @@ def test_pipeline(spark, corpus):
 
 def test_registered():
     names = entry.queries()
-    assert {f"op{n}" for n in range(1, 11)} == {x.split("_")[0] for x in names if x.startswith("op")} and "pipeline" in names
+    assert {f"op{n}" for n in range(1, 14)} == {x.split("_")[0] for x in names if x.startswith("op")} and "pipeline" in names
+
+
+def test_shares_of_any_table_draw_rows(spark):
+    """Half a millionth of a table, and far less, still draws about the rows that are asked for."""
+    rows = spark.range(1_000_000).withColumn("h", F.xxhash64("id"))
+    assert rows.where(common.drawn(F.col("h"), common.hash_bound(10, 10))).count() == 1_000_000
+    assert 400 < rows.where(common.drawn(F.col("h"), common.hash_bound(500, 1_000_000))).count() < 600
+    # In whole millionths all of these would be none.
+    for count in (10**9, 5 * 10**10, 10**15):
+        assert common.hash_bound(500, count) * count == pytest.approx(500 * 2**62, rel=1e-3)
