@@ -212,11 +212,20 @@ def ordinary_windows(
 
     The look-ahead is one range frame per entity; the exclusion is an anti-join with a short list.
     """
-    ahead = Window.partitionBy(*by, ENTITY).orderBy(PERIOD).rangeBetween(0, int(window))
-    rises = _known(scores, by).select(*by, ENTITY, PERIOD, (F.max(SCORE).over(ahead) - F.col(SCORE)).alias("_rise"))
+    rises = window_rises(scores, window, by)
     if episodes:
         known = local_table(scores.sparkSession, _excluded(episodes), "entity string, period int")
         rises = rises.join(known, [ENTITY, PERIOD], "left_anti")
+    return tally_windows(rises, threshold, by)
+
+
+def window_rises(scores: DataFrame, window: int, by: Sequence[str] = ()) -> DataFrame:
+    """The rise from every scored row to the peak of its window."""
+    ahead = Window.partitionBy(*by, ENTITY).orderBy(PERIOD).rangeBetween(0, int(window))
+    return _known(scores, by).select(*by, ENTITY, PERIOD, (F.max(SCORE).over(ahead) - F.col(SCORE)).alias("_rise"))
+
+
+def tally_windows(rises: DataFrame, threshold: float, by: Sequence[str] = ()) -> DataFrame:
     alarmed = F.count_if(F.col("_rise") >= float(threshold))
     out = rises.groupBy(*by).agg(alarmed.alias("alarmed"), (F.count(F.lit(1)) - alarmed).alias("quiet"))
     return out.where(F.col("alarmed") + F.col("quiet") > 0)

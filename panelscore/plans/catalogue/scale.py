@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from panelscore.operators import backtest, history, network, rank
+from panelscore.operators import backtest, episodes, history, network, rank
 from panelscore.operators import score as scoring
 from panelscore.plans import bindings as b
 from panelscore.plans import oracle as o
@@ -40,6 +40,28 @@ def scale_b9(spark, sf):
     return tidy(backtest.false_alarm_rate(tally))
 
 
+def order_episodes(spark, sf):
+    """An episode from every order: a supplier by its number, the month ordered as baseline, windows and thresholds in turn."""
+    k, month = F.col("o_orderkey"), F.year("o_orderdate") * 12 + F.month("o_orderdate")
+    return b.read(spark, sf, "orders").select(
+        k.alias("episode"), F.concat(F.lit("s"), (k % 997 % 103 + 1).cast("string")).alias("entity"), month.alias("baseline"),
+        (month + 1 + k % 6).cast("int").alias("event"), (k % 3).cast("int").alias("window"), (F.lit(2.0) + k % 4).alias("threshold"),
+    )
+
+
+def scale_episodes(spark, sf):
+    scores = pin(supplier_scores(spark, sf).select("entity", "period", "risk_score"))
+    found = pin(episodes.replay(scores, order_episodes(spark, sf)))
+    drift = episodes.peer_drift(scores, found)
+    return tidy(found.join(drift, "episode", "left").select("episode", "verdict", "peak_period", "peak_delta", "delta", "lead_time", "risen", "compared", "peer_drift"))
+
+
+def scale_ordinary(spark, sf):
+    """Ordinary windows of the suppliers without what an episode of every 20th order excludes."""
+    few = order_episodes(spark, sf).where("episode % 20 = 0")
+    return episodes.ordinary_windows(supplier_scores(spark, sf), few, window=2, threshold=4.0)
+
+
 def scale_n2(spark, sf):
     """Edges among all suppliers, in several blocks."""
     vectors = pin(network.delta_vectors(supplier_scores(spark, sf)))
@@ -64,6 +86,8 @@ QUERIES = {
     "scale_users": scale_users,
     "scale_standing": scale_standing,
     "scale_b9": scale_b9,
+    "scale_episodes": scale_episodes,
+    "scale_ordinary": scale_ordinary,
     "scale_n2": scale_n2,
 }
 
@@ -103,7 +127,28 @@ USERS = scored(
     U,
 )
 
+ORDER_EPISODES = """ep AS (SELECT o_orderkey AS episode, 'S' || (o_orderkey % 997 % 103 + 1) AS entity, m AS baseline, (m + 1 + o_orderkey % 6)::INT AS event,
+  (o_orderkey % 3)::INT AS win, 2.0 + o_orderkey % 4 AS threshold FROM (SELECT *, (year(o_orderdate) * 12 + month(o_orderdate))::INT AS m FROM orders))"""
+REPLAYED = f"""{SUPPLIERS}, r AS MATERIALIZED (SELECT entity, period, risk_score AS s FROM ss WHERE risk_score IS NOT NULL), {ORDER_EPISODES},
+pk AS (SELECT episode, max(s) AS peak_score, arg_max(period, (s, -period)) AS peak_period FROM ep JOIN r ON r.entity = ep.entity AND period BETWEEN event AND event + win GROUP BY 1),
+j AS (SELECT ep.*, x.s AS bs, y.s AS es, peak_score, peak_period, round_even(peak_score - x.s, 1)::DOUBLE + 0.0 AS rise FROM ep LEFT JOIN pk USING (episode)
+  LEFT JOIN r x ON x.entity = ep.entity AND x.period = baseline LEFT JOIN r y ON y.entity = ep.entity AND y.period = event),
+fi AS (SELECT episode, min(period) AS first FROM j JOIN r ON r.entity = j.entity AND period BETWEEN baseline AND event AND peak_score - s >= threshold WHERE rise >= threshold GROUP BY 1),
+wi AS (SELECT DISTINCT baseline, event, win FROM ep), th AS (SELECT DISTINCT baseline, event, win, threshold FROM ep),
+pe AS (SELECT w.*, b.entity, max(p.s) - any_value(b.s) AS rise FROM wi w JOIN r b ON b.period = w.baseline JOIN r p ON p.entity = b.entity AND p.period BETWEEN event AND event + win GROUP BY ALL),
+co AS (SELECT baseline, event, win, threshold, count(*) FILTER (rise >= threshold) AS risen, count(*) AS compared FROM pe JOIN th USING (baseline, event, win) GROUP BY ALL),
+dr AS (SELECT episode, risen - coalesce(peak_score - bs >= threshold, false)::INT AS risen, compared - (bs IS NOT NULL AND peak_score IS NOT NULL)::INT AS compared
+  FROM j JOIN co USING (baseline, event, win, threshold))"""
+
 ORACLE = {
+    "scale_episodes": f"""{REPLAYED} SELECT episode, CASE WHEN rise IS NULL THEN 'inconclusive' WHEN rise >= threshold THEN 'flagged' ELSE 'missed' END AS verdict,
+        CASE WHEN rise IS NOT NULL THEN peak_period END AS peak_period, rise AS peak_delta, CASE WHEN rise IS NOT NULL THEN round_even(es - bs, 1)::DOUBLE + 0.0 END AS delta,
+        event - first AS lead_time, d.risen::BIGINT AS risen, d.compared::BIGINT AS compared, round_even(d.risen / d.compared, 3)::DOUBLE AS peer_drift
+        FROM j LEFT JOIN fi USING (episode) LEFT JOIN (SELECT * FROM dr WHERE compared > 0) d USING (episode)""",
+    "scale_ordinary": f"""{SUPPLIERS}, {ORDER_EPISODES}, ex AS (SELECT entity, unnest([baseline] || range(event - win, event + win + 1)) AS period FROM ep WHERE episode % 20 = 0),
+        r AS (SELECT a.entity, a.period, max(y.risk_score) - any_value(a.risk_score) AS rise FROM ss a
+          JOIN ss y ON y.entity = a.entity AND y.period BETWEEN a.period AND a.period + 2 WHERE a.risk_score IS NOT NULL GROUP BY 1, 2)
+        SELECT count(*) FILTER (rise >= 4) AS alarmed, count(*) FILTER (rise < 4) AS quiet FROM r WHERE NOT EXISTS (SELECT 1 FROM ex WHERE ex.entity = r.entity AND ex.period = r.period)""",
     "scale_z": f"{SUPPLIERS} SELECT entity, period, {o.r6('data_completeness::DOUBLE AS data_completeness', 'risk_score', 'trend_1y_delta')} FROM ss",
     "z1_incremental": f"""{SUPPLIERS}, d AS (SELECT *, risk_score - lag(risk_score, 2) OVER (PARTITION BY entity ORDER BY period) AS trend_2y_delta FROM ss)
         SELECT entity, period, {o.r6('data_completeness::DOUBLE AS data_completeness', 'risk_score', 'trend_1y_delta', 'trend_2y_delta')},
