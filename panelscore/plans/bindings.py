@@ -194,11 +194,12 @@ SUPPLIER_MODEL = Model(
 )
 
 
-def supplier_month(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scale panel: supplier x month, peer group = nation."""
+def supplier_month(spark: SparkSession, sf_dir: str, lines: str = "true") -> DataFrame:
+    """Scale panel: supplier x month, peer group = nation; of the order lines that a condition picks."""
     month = (F.year("l_shipdate") * 12 + F.month("l_shipdate")).cast("int")
     facts = (
         read(spark, sf_dir, "lineitem")
+        .where(lines)
         .groupBy("l_suppkey", month.alias(PERIOD))
         .agg(
             F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("REVENUE"),

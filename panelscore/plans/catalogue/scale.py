@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from panelscore.operators import backtest, episodes, history, network, rank
+from panelscore.operators import asof, backtest, episodes, history, network, rank
 from panelscore.operators import score as scoring
 from panelscore.plans import bindings as b
 from panelscore.plans import oracle as o
@@ -62,6 +62,37 @@ def scale_ordinary(spark, sf):
     return episodes.ordinary_windows(supplier_scores(spark, sf), few, window=2, threshold=4.0)
 
 
+def score_vintages(spark, sf):
+    """Supplier scores twice: from the first two lines of each order, known half a month after the period, and from all, known two months later."""
+    out = None
+    for vintage, lines, days in ((1, "l_linenumber <= 2", 15), (2, "true", 75)):
+        scores = scoring.score_panel(b.supplier_month(spark, sf, lines), S).where("risk_score IS NOT NULL")
+        ended = F.make_date(F.floor(F.col("period") / 12).cast("int"), F.lit(1), F.lit(1))
+        known = F.date_add(F.add_months(ended, F.col("period") % 12), days)
+        part = scores.select("entity", "period", known.alias("known_at"), F.lit(vintage).alias("vintage"), "risk_score")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def point_in_time(spark, sf):
+    """For every order, what was known of a supplier on its day: the newest period, in its newest vintage."""
+    k = F.col("o_orderkey")
+    questions = b.read(spark, sf, "orders").select(
+        k.alias("question"), F.concat(F.lit("s"), (k % 997 % 103 + 1).cast("string")).alias("entity"), F.col("o_orderdate").cast("date").alias("asked_at")
+    )
+    return tidy(asof.known_scores(score_vintages(spark, sf), questions, by_period=False))
+
+
+def point_in_time_period(spark, sf):
+    """The same questions about the period two months before the day."""
+    k, day = F.col("o_orderkey"), F.col("o_orderdate").cast("date")
+    questions = b.read(spark, sf, "orders").select(
+        k.alias("question"), F.concat(F.lit("s"), (k % 997 % 103 + 1).cast("string")).alias("entity"), day.alias("asked_at"),
+        (F.year(day) * 12 + F.month(day) - 2).alias("period"),
+    )
+    return tidy(asof.known_scores(score_vintages(spark, sf), questions))
+
+
 def scale_n2(spark, sf):
     """Edges among all suppliers, in several blocks."""
     vectors = pin(network.delta_vectors(supplier_scores(spark, sf)))
@@ -88,6 +119,8 @@ QUERIES = {
     "scale_b9": scale_b9,
     "scale_episodes": scale_episodes,
     "scale_ordinary": scale_ordinary,
+    "p9_point_in_time": point_in_time,
+    "s12_vintage_of_period": point_in_time_period,
     "scale_n2": scale_n2,
 }
 
@@ -115,18 +148,22 @@ ss AS (
   LEFT JOIN (SELECT entity, period, sum(ps * pillar_weight) / sum(pillar_weight) AS risk_score FROM pl JOIN pw USING (pillar) GROUP BY ALL) USING (entity, period))"""
 
 
-SUPPLIERS = scored(
-    """pan AS (SELECT 'S' || l_suppkey AS entity, n_name AS peer_group, (year(l_shipdate) * 12 + month(l_shipdate))::INT AS period,
+SUPPLIER_PANEL = """pan AS (SELECT 'S' || l_suppkey AS entity, n_name AS peer_group, (year(l_shipdate) * 12 + month(l_shipdate))::INT AS period,
       sum(l_extendedprice * (1 - l_discount)) AS REVENUE, avg(l_discount) AS DISCOUNT, count(*) FILTER (l_returnflag = 'R') / count(*) AS RETURN_SHARE
-      FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY ALL)""",
-    S,
-)
+      FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey WHERE {lines} GROUP BY ALL)"""
+SUPPLIERS = scored(SUPPLIER_PANEL.format(lines="true"), S)
 USERS = scored(
     f"""pan AS (SELECT 'U' || user_id AS entity, 'G' || (user_id % 5) AS peer_group, date_diff('day', DATE '2024-01-01', ts::DATE)::INT AS period,
       {", ".join(f"avg(value) FILTER (event_type = '{t}') AS {t}" for t in b.EVENT_TYPES)} FROM events GROUP BY ALL)""",
     U,
 )
 
+KNOWN = "CAST(make_date((period // 12)::INT, 1, 1) + to_months((period % 12)::INT) + to_days({days}) AS DATE)"
+VINTAGES = "WITH vi AS (" + " UNION ALL ".join(
+    f"SELECT entity, period, {KNOWN.format(days=days)} AS asked_at, {vintage}::INT AS vintage, risk_score FROM ({scored(SUPPLIER_PANEL.format(lines=lines), S)} SELECT * FROM ss WHERE risk_score IS NOT NULL)"
+    for vintage, lines, days in ((1, "l_linenumber <= 2", 15), (2, "true", 75))
+) + """), one AS (SELECT * FROM vi QUALIFY row_number() OVER (PARTITION BY entity, asked_at ORDER BY period DESC, vintage DESC) = 1),
+qu AS (SELECT o_orderkey AS question, 'S' || (o_orderkey % 997 % 103 + 1) AS entity, o_orderdate::DATE AS asked_at, (year(o_orderdate) * 12 + month(o_orderdate) - 2)::INT AS period FROM orders)"""
 ORDER_EPISODES = """ep AS (SELECT o_orderkey AS episode, 'S' || (o_orderkey % 997 % 103 + 1) AS entity, m AS baseline, (m + 1 + o_orderkey % 6)::INT AS event,
   (o_orderkey % 3)::INT AS win, 2.0 + o_orderkey % 4 AS threshold FROM (SELECT *, (year(o_orderdate) * 12 + month(o_orderdate))::INT AS m FROM orders))"""
 REPLAYED = f"""{SUPPLIERS}, r AS MATERIALIZED (SELECT entity, period, risk_score AS s FROM ss WHERE risk_score IS NOT NULL), {ORDER_EPISODES},
@@ -145,6 +182,10 @@ ORACLE = {
         CASE WHEN rise IS NOT NULL THEN peak_period END AS peak_period, rise AS peak_delta, CASE WHEN rise IS NOT NULL THEN round_even(es - bs, 1)::DOUBLE + 0.0 END AS delta,
         event - first AS lead_time, d.risen::BIGINT AS risen, d.compared::BIGINT AS compared, round_even(d.risen / d.compared, 3)::DOUBLE AS peer_drift
         FROM j LEFT JOIN fi USING (episode) LEFT JOIN (SELECT * FROM dr WHERE compared > 0) d USING (episode)""",
+    "p9_point_in_time": f"""{VINTAGES} SELECT question, qu.entity AS entity, qu.asked_at AS asked_at, one.asked_at AS matched_at, one.period AS period, vintage, {o.r6('risk_score')}
+        FROM qu ASOF LEFT JOIN one ON qu.entity = one.entity AND qu.asked_at >= one.asked_at""",
+    "s12_vintage_of_period": f"""{VINTAGES} SELECT question, qu.entity AS entity, qu.asked_at AS asked_at, qu.period AS period, vi.asked_at AS matched_at, vintage, {o.r6('risk_score')}
+        FROM qu ASOF LEFT JOIN vi ON qu.entity = vi.entity AND qu.period = vi.period AND qu.asked_at >= vi.asked_at""",
     "scale_ordinary": f"""{SUPPLIERS}, {ORDER_EPISODES}, ex AS (SELECT entity, unnest([baseline] || range(event - win, event + win + 1)) AS period FROM ep WHERE episode % 20 = 0),
         r AS (SELECT a.entity, a.period, max(y.risk_score) - any_value(a.risk_score) AS rise FROM ss a
           JOIN ss y ON y.entity = a.entity AND y.period BETWEEN a.period AND a.period + 2 WHERE a.risk_score IS NOT NULL GROUP BY 1, 2)
