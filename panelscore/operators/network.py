@@ -54,7 +54,7 @@ def delta_vectors(scores: DataFrame) -> DataFrame:
     return entities.join(packed, ENTITY, "left")
 
 
-def _block_kernel(least: int, threshold: float):
+def block_kernel(least: int, threshold: float):
     """The task function. Everything it calls is local, so it travels by value and the workers need
     only numpy and pandas."""
 
@@ -148,7 +148,7 @@ def correlations(
         F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"), "_own", ENTITY, "steps", "deltas"
     )
 
-    return sent.groupBy("_i", "_j").applyInPandas(_block_kernel(least, float(threshold)), PAIR_SCHEMA)
+    return sent.groupBy("_i", "_j").applyInPandas(block_kernel(least, float(threshold)), PAIR_SCHEMA)
 
 
 def pair_table(found: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from panelscore.operators import asof, backtest, episodes, history, network, rank
+from panelscore.operators import asof, backtest, episodes, history, network, pruned, rank
 from panelscore.operators import score as scoring
 from panelscore.plans import bindings as b
 from panelscore.plans import oracle as o
@@ -111,7 +111,14 @@ def z1_incremental(spark, sf):
     return tidy(out.select("entity", "period", "data_completeness", "risk_score", "trend_1y_delta", "trend_2y_delta", "trend_direction"))
 
 
+def pruned_edges(spark, sf):
+    """The same edges over blocks that the triangle inequality does not part."""
+    vectors = pin(network.delta_vectors(supplier_scores(spark, sf)))
+    return tidy(pruned.edges(vectors, min_pairs=12, threshold=0.4, block_rows=64)[0])
+
+
 QUERIES = {
+    "n4_pruned_edges": pruned_edges,
     "z1_incremental": z1_incremental,
     "scale_z": scale_z,
     "scale_users": scale_users,
@@ -177,6 +184,12 @@ co AS (SELECT baseline, event, win, threshold, count(*) FILTER (rise >= threshol
 dr AS (SELECT episode, risen - coalesce(peak_score - bs >= threshold, false)::INT AS risen, compared - (bs IS NOT NULL AND peak_score IS NOT NULL)::INT AS compared
   FROM j JOIN co USING (baseline, event, win, threshold))"""
 
+EDGES = f"""{SUPPLIERS}, yr AS (SELECT period, lag(period) OVER (ORDER BY period) AS adj FROM (SELECT DISTINCT period FROM ss WHERE risk_score IS NOT NULL)),
+    dl AS (SELECT a.entity, a.period, a.risk_score - x.risk_score AS delta FROM ss a JOIN yr USING (period) JOIN ss x ON x.entity = a.entity AND x.period = adj
+               WHERE a.risk_score IS NOT NULL AND x.risk_score IS NOT NULL),
+    cr AS (SELECT a.entity AS a, b.entity AS b, count(*) AS pairs, corr(a.delta, b.delta) AS r FROM dl a JOIN dl b ON a.period = b.period AND a.entity < b.entity GROUP BY 1, 2)
+    SELECT a, b, {o.r6('r AS correlation')}, pairs FROM cr WHERE pairs >= 12 AND abs(r) >= 0.4"""
+
 ORACLE = {
     "scale_episodes": f"""{REPLAYED} SELECT episode, CASE WHEN rise IS NULL THEN 'inconclusive' WHEN rise >= threshold THEN 'flagged' ELSE 'missed' END AS verdict,
         CASE WHEN rise IS NOT NULL THEN peak_period END AS peak_period, rise AS peak_delta, CASE WHEN rise IS NOT NULL THEN round_even(es - bs, 1)::DOUBLE + 0.0 END AS delta,
@@ -204,9 +217,6 @@ ORACLE = {
           JOIN ss y ON y.entity = a.entity AND y.period BETWEEN a.period AND a.period + 3 WHERE a.risk_score IS NOT NULL GROUP BY 1, 2),
         q AS (SELECT count(*) FILTER (rise >= 5) AS alarmed, count(*) FILTER (rise < 5) AS quiet FROM r)
         SELECT alarmed, quiet, {o.r6('(round_even(alarmed / (alarmed + quiet), 3)::DOUBLE) AS false_alarm_rate')} FROM q""",
-    "scale_n2": f"""{SUPPLIERS}, yr AS (SELECT period, lag(period) OVER (ORDER BY period) AS adj FROM (SELECT DISTINCT period FROM ss WHERE risk_score IS NOT NULL)),
-        dl AS (SELECT a.entity, a.period, a.risk_score - x.risk_score AS delta FROM ss a JOIN yr USING (period) JOIN ss x ON x.entity = a.entity AND x.period = adj
-               WHERE a.risk_score IS NOT NULL AND x.risk_score IS NOT NULL),
-        cr AS (SELECT a.entity AS a, b.entity AS b, count(*) AS pairs, corr(a.delta, b.delta) AS r FROM dl a JOIN dl b ON a.period = b.period AND a.entity < b.entity GROUP BY 1, 2)
-        SELECT a, b, {o.r6('r AS correlation')}, pairs FROM cr WHERE pairs >= 12 AND abs(r) >= 0.4""",
+    "scale_n2": EDGES,
+    "n4_pruned_edges": EDGES,
 }
