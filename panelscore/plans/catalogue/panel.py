@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panelscore.functions.scalar import micros
-from panelscore.operators import clean, hashtree, quality
+from panelscore.operators import accrue, clean, hashtree, quality
 from panelscore.plans import bindings as b
 from panelscore.plans import oracle as o
 from panelscore.plans.catalogue.common import tidy, work_folder
@@ -273,6 +273,20 @@ def q1(spark, sf):
     return tidy(quality.coverage(panel, users.unionByName(absent), b.EVENT_TYPES, days))
 
 
+def q1_bits(spark, sf):
+    """The same from bitmaps: three loads, merged one after the other into a table."""
+    path, panel = work_folder(spark), event_clean(spark, sf)
+    users = b.read(spark, sf, "events").select(F.concat(F.lit("U"), F.col("user_id").cast("string")).alias("entity"))
+    absent = b.read(spark, sf, "nation").select(F.col("n_name").alias("entity"))
+    part = F.pmod(F.xxhash64("entity", "period"), F.lit(3))
+    for k in range(3):
+        bits = accrue.coverage_bits(panel.where((part == k) | (part == 0)), b.EVENT_TYPES, 0)
+        held = accrue.merge_bits(versions.read_version(spark, path), bits) if k else bits
+        versions.commit(held, path, partition_by=None)
+    days = sorted(r[0] for r in panel.select("period").distinct().collect())
+    return tidy(accrue.coverage(versions.read_version(spark, path), users.unionByName(absent), b.EVENT_TYPES, days, 0))
+
+
 def q10(spark, sf):
     """Fingerprints of events by day against a copy with one day changed and one day lost."""
     e = b.read(spark, sf, "events")
@@ -368,6 +382,7 @@ QUERIES = {
     "s13_cache_stats": s13,
     "s15_routing": s15,
     "q1_coverage": q1,
+    "q1_bitmaps": q1_bits,
     "q10_fingerprint": q10,
     "q10_drifted_rows": q10_rows,
     "q11_freshness": q11,
@@ -394,6 +409,12 @@ WITH ud AS (
 """
 NATION_ORDERS = "orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey"
 
+COVERAGE = f"""{o.EVENT_OBS}, ents AS (SELECT DISTINCT 'U' || user_id AS entity FROM events UNION SELECT n_name FROM nation)
+        , grid AS (SELECT {len(b.EVENT_TYPES)} * count(DISTINCT period) AS expected FROM clean)
+        SELECT entity, any_value(expected)::BIGINT AS expected, count(indicator)::BIGINT AS observed,
+          {o.r6('count(indicator) * 100.0 / any_value(expected) AS coverage_pct')}
+        FROM ents CROSS JOIN grid LEFT JOIN (SELECT DISTINCT entity, indicator, period FROM clean) USING (entity) GROUP BY entity"""
+
 ORACLE = {
     "p1_normalize": f"{o.EVENT_OBS} SELECT entity, indicator, period, {o.r6('value')}, source, 'ok' AS flag, seq FROM raw",
     "p2_flags": f"""{o.EVENT_OBS} SELECT indicator, flag, count(*) AS rows, {o.r6('min(value) AS low', 'max(value) AS high')}
@@ -438,11 +459,8 @@ ORACLE = {
     "s15_routing": f"""{o.LONG} SELECT entity, indicator, period, {o.r6('value')},
         CASE WHEN indicator = 'AVG_DISCOUNT' THEN 'lineitem' ELSE 'orders' END AS source
         FROM obs WHERE indicator IN ('AVG_ORDER_VALUE', 'AVG_DISCOUNT')""",
-    "q1_coverage": f"""{o.EVENT_OBS}, ents AS (SELECT DISTINCT 'U' || user_id AS entity FROM events UNION SELECT n_name FROM nation)
-        , grid AS (SELECT {len(b.EVENT_TYPES)} * count(DISTINCT period) AS expected FROM clean)
-        SELECT entity, any_value(expected)::BIGINT AS expected, count(indicator)::BIGINT AS observed,
-          {o.r6('count(indicator) * 100.0 / any_value(expected) AS coverage_pct')}
-        FROM ents CROSS JOIN grid LEFT JOIN (SELECT DISTINCT entity, indicator, period FROM clean) USING (entity) GROUP BY entity""",
+    "q1_coverage": COVERAGE,
+    "q1_bitmaps": COVERAGE,
     "q10_fingerprint": """WITH changed AS (
           SELECT * REPLACE (CASE WHEN ts::DATE = DATE '2024-01-05' THEN value + 1 ELSE value END AS value) FROM events WHERE ts::DATE <> DATE '2024-01-09'),
         old AS (SELECT strftime(ts, '%Y-%m-%d') AS p, count(*) AS n, sum(hash(event_id, ts, user_id, event_type, value, props)::HUGEINT) AS h FROM events GROUP BY 1),

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from panelscore.operators import asof, backtest, episodes, history, network, pruned, rank
+from panelscore.functions import ranks
+from panelscore.operators import accrue, asof, backtest, episodes, history, network, pruned, rank
 from panelscore.operators import score as scoring
 from panelscore.plans import bindings as b
 from panelscore.plans import oracle as o
@@ -93,6 +94,21 @@ def point_in_time_period(spark, sf):
     return tidy(asof.known_scores(score_vintages(spark, sf), questions))
 
 
+def sketched_medians(spark, sf):
+    """Median scores by day from the merged sketches of three loads: are they within three times the stated rank error?"""
+    scores = pin(user_scores(spark, sf).select("entity", "period", "risk_score"))
+    part = F.pmod(F.xxhash64("entity"), F.lit(3))
+    sketches = accrue.quantile_sketches(scores.where(part == 0), ["period"], "risk_score")
+    for k in (1, 2):
+        sketches = accrue.merge_sketches(sketches, accrue.quantile_sketches(scores.where(part == k), ["period"], "risk_score"), ["period"])
+    found = pin(accrue.quantiles(sketches, ["period"], {"median": 0.5}))
+    table = ranks.rank_table(scores, ["period"], "risk_score").withColumnRenamed("period", "_period")
+    here = (F.col("period") == F.col("_period")) & (F.col("median") == F.col("risk_score"))
+    slack = 3 * accrue.rank_error() * F.col("n_total") + 1
+    within = (F.col("n_less") - slack <= F.col("n_total") / 2) & (F.col("n_total") / 2 <= F.col("n_less") + F.col("n_equal") + slack)
+    return found.join(table, here, "left").select("period", F.col("n").cast("long").alias("n"), F.coalesce(within, F.lit(False)).alias("within"))
+
+
 def scale_n2(spark, sf):
     """Edges among all suppliers, in several blocks."""
     vectors = pin(network.delta_vectors(supplier_scores(spark, sf)))
@@ -126,6 +142,7 @@ QUERIES = {
     "scale_b9": scale_b9,
     "scale_episodes": scale_episodes,
     "scale_ordinary": scale_ordinary,
+    "r7_sketched_medians": sketched_medians,
     "p9_point_in_time": point_in_time,
     "s12_vintage_of_period": point_in_time_period,
     "scale_n2": scale_n2,
@@ -195,6 +212,7 @@ ORACLE = {
         CASE WHEN rise IS NOT NULL THEN peak_period END AS peak_period, rise AS peak_delta, CASE WHEN rise IS NOT NULL THEN round_even(es - bs, 1)::DOUBLE + 0.0 END AS delta,
         event - first AS lead_time, d.risen::BIGINT AS risen, d.compared::BIGINT AS compared, round_even(d.risen / d.compared, 3)::DOUBLE AS peer_drift
         FROM j LEFT JOIN fi USING (episode) LEFT JOIN (SELECT * FROM dr WHERE compared > 0) d USING (episode)""",
+    "r7_sketched_medians": f"{USERS} SELECT period, count(risk_score) AS n, true AS within FROM ss WHERE risk_score IS NOT NULL GROUP BY period",
     "p9_point_in_time": f"""{VINTAGES} SELECT question, qu.entity AS entity, qu.asked_at AS asked_at, one.asked_at AS matched_at, one.period AS period, vintage, {o.r6('risk_score')}
         FROM qu ASOF LEFT JOIN one ON qu.entity = one.entity AND qu.asked_at >= one.asked_at""",
     "s12_vintage_of_period": f"""{VINTAGES} SELECT question, qu.entity AS entity, qu.asked_at AS asked_at, qu.period AS period, vi.asked_at AS matched_at, vintage, {o.r6('risk_score')}
