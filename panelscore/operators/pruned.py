@@ -52,12 +52,14 @@ def _aligned(vectors: DataFrame) -> tuple[DataFrame, int]:
 
 
 def _angles(whole: DataFrame, pivots: np.ndarray) -> DataFrame:
-    """(entity, pivot, angles): the nearest pivot and the angle to each of them."""
+    """(entity, pivot, angles): the nearest pivot and the angle to each of them. The task function travels by value."""
 
     def measure(batches):
         for b in batches:
             rows = np.array(b["deltas"].to_pylist(), np.float64).reshape(b.num_rows, -1)
-            angles = np.arccos(np.clip(np.abs(_unit(rows) @ pivots.T), 0.0, 1.0))
+            rows -= rows.mean(axis=1, keepdims=True)
+            rows /= np.linalg.norm(rows, axis=1, keepdims=True)
+            angles = np.arccos(np.clip(np.abs(rows @ pivots.T), 0.0, 1.0))
             yield pa.RecordBatch.from_arrays(
                 [b[ENTITY], pa.array(angles.argmin(1), pa.int32()), pa.array(list(angles), pa.list_(pa.float64()))], names=[ENTITY, "pivot", "angles"]
             )

@@ -9,7 +9,7 @@ from panelscore.operators import accrue, clean, hashtree, quality
 from panelscore.plans import bindings as b
 from panelscore.plans import oracle as o
 from panelscore.plans.catalogue.common import tidy, work_folder
-from panelscore.sources import cachelog, files, payloads, versions
+from panelscore.sources import cachelog, files, landed, payloads, versions
 
 AS_OF = "2024-01-20 00:00:00"
 TTL = 3 * 24 * 3600
@@ -138,7 +138,7 @@ def _year():
     return F.year("o_orderdate").cast("int").alias("period")
 
 
-def s1(spark, sf):
+def _record_documents(spark, sf):
     cells = _order_groups(spark, sf, _year())
     item = F.struct(
         F.lower("entity").alias("countryiso3code"),
@@ -150,10 +150,41 @@ def s1(spark, sf):
         F.concat(F.lit('[{"page":1},'), F.to_json(F.collect_list(item)), F.lit("]")).alias("payload")
     )
     broken = documents.select("n_nationkey", F.lit('[{"message":"no data"}]').alias("payload"))
-    rows = payloads.records_to_long(documents.unionByName(broken))
+    return documents.unionByName(broken)
+
+
+def s1(spark, sf):
+    rows = payloads.records_to_long(_record_documents(spark, sf))
     return rows.select("entity", "period", F.round("value", 4).alias("value"), "source", "flag")
 
 
+def _land(spark, documents, key):
+    """One file for each document, and one that is cut off; the name has the key."""
+    folder = work_folder(spark)
+    named = documents.select(F.col(key).cast("string").alias("key"), "payload")
+    torn = named.limit(1).select(F.lit("torn").alias("key"), F.expr("left(payload, length(payload) - 3)").alias("payload"))
+    named.withColumn("key", F.concat("key", F.lit("-"), F.pmod(F.xxhash64("payload"), F.lit(10**9)).cast("string"))).union(torn).repartition("key").write.partitionBy("key").text(folder)
+    return folder
+
+
+def s1_source(spark, sf):
+    rows = landed.read(spark, _land(spark, _record_documents(spark, sf), "n_nationkey"), "records", suffix=".txt", partitionBytes="2000")
+    return landed.records_to_long(rows).select("entity", "period", F.round("value", 4).alias("value"), "source", "flag")
+
+
+def s1_rejects(spark, sf):
+    """The documents that a provider answered with a message, and the one that is cut off."""
+    rows = landed.read(spark, _land(spark, _record_documents(spark, sf), "n_nationkey"), "records", rejects=True, suffix=".txt")
+    return rows.select(F.regexp_extract("origin", "key=([^/-]+)", 1).alias("key"), F.substring_index("reason", ":", 1).alias("reason"))
+
+
+def s3_source(spark, sf):
+    """As s3, from files: the entity is in the file's name."""
+    rows = landed.read(spark, _land(spark, _quarter_documents(spark, sf), "entity"), "observations", suffix=".txt")
+    rows = rows.withColumn("entity", F.url_decode(F.regexp_extract("origin", "key=(.+)-[^/-]+/", 1)))
+    return landed.quarterly_to_annual(rows, ["entity"], digits=None).select("entity", "period", F.round("value", 4).alias("value"))
+
+
 def s2(spark, sf):
     e = b.read(spark, sf, "events")
     line = F.concat_ws(
@@ -173,8 +204,8 @@ def _sdmx_groups(spark, sf):
     )
 
 
-def s3(spark, sf):
-    """Quarterly largest order as one SDMX document per nation, read back to year-end values."""
+def _quarter_documents(spark, sf):
+    """Quarterly largest order as one SDMX document per nation."""
     times = F.transform("o", lambda x: F.struct(x["label"].alias("id")))
     observed = F.map_from_entries(
         F.transform("o", lambda x, i: F.struct(i.cast("string").alias("key"), F.array(x["v"]).alias("value")))
@@ -187,7 +218,12 @@ def s3(spark, sf):
             )
         ).alias("structure"),
     )
-    docs = _sdmx_groups(spark, sf).select("entity", F.to_json(F.struct(document.alias("data"))).alias("payload"))
+    return _sdmx_groups(spark, sf).select("entity", F.to_json(F.struct(document.alias("data"))).alias("payload"))
+
+
+def s3(spark, sf):
+    """Read back to year-end values."""
+    docs = _quarter_documents(spark, sf)
     return payloads.quarterly_to_annual(docs, digits=None).select("entity", "period", F.round("value", 4).alias("value"))
 
 
@@ -197,8 +233,8 @@ def _aliases(spark, sf):
     return n.select(F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("code"), F.col("n_name").alias("entity"))
 
 
-def s4(spark, sf):
-    """Annual order counts, one document per region with one series per nation, read back to rows."""
+def _series_documents(spark, sf):
+    """Annual order counts, one document per region with one series per nation."""
     names = b.nation_dimension(spark, sf).select("n_nationkey", "region")
     code = F.when(F.col("n_nationkey") < 20, F.concat(F.lit("N"), F.col("n_nationkey").cast("string"))).otherwise(F.col("entity"))
     cells = _order_groups(spark, sf, _year()).join(names, "n_nationkey")
@@ -241,9 +277,22 @@ def s4(spark, sf):
             ).alias("dimensions")
         ).alias("structure"),
     )
-    docs = packed.select(F.to_json(document).alias("payload"))
-    wanted = b.read(spark, sf, "nation").where(F.col("n_nationkey") != 3).select(F.col("n_name").alias("entity"))
-    return payloads.series_to_long(docs, wanted, _aliases(spark, sf))
+    return packed.select("region", F.to_json(document).alias("payload"))
+
+
+def _panel_nations(spark, sf):
+    return b.read(spark, sf, "nation").where(F.col("n_nationkey") != 3).select(F.col("n_name").alias("entity"))
+
+
+def s4(spark, sf):
+    """Read back to rows."""
+    docs = _series_documents(spark, sf).drop("region")
+    return payloads.series_to_long(docs, _panel_nations(spark, sf), _aliases(spark, sf))
+
+
+def s4_source(spark, sf):
+    rows = landed.read(spark, _land(spark, _series_documents(spark, sf), "region"), "observations", suffix=".txt")
+    return landed.series_to_long(rows, _panel_nations(spark, sf), _aliases(spark, sf)).drop("origin")
 
 
 def s5(spark, sf):
@@ -371,6 +420,10 @@ QUERIES = {
     "s2_annual_csv": s2,
     "s3_quarterly_sdmx": s3,
     "s4_series_sdmx": s4,
+    "s1_data_source": s1_source,
+    "s1_rejects": s1_rejects,
+    "s3_data_source": s3_source,
+    "s4_data_source": s4_source,
     "s5_code_mapping": s5,
     "s6_wide_csv": s6,
     "s8_sink": s8,
@@ -481,3 +534,6 @@ ORACLE = {
     "q12_bookkeeping": f"""{LOG} SELECT source, count(*) FILTER (age <= {TTL}) AS fresh, count(*) FILTER (age > {TTL}) AS cached,
         epoch_us(max(retrieved_at) FILTER (age > {TTL})) AS cache_date_us FROM newest GROUP BY 1""",
 }
+ORACLE |= {f"{k}_data_source": ORACLE[name] for k, name in (("s1", "s1_records_json"), ("s3", "s3_quarterly_sdmx"), ("s4", "s4_series_sdmx"))}
+ORACLE["s1_rejects"] = f"""SELECT DISTINCT n_nationkey::VARCHAR AS key, 'ValueError' AS reason FROM {NATION_ORDERS}
+    UNION ALL SELECT 'torn', 'JSONDecodeError'"""
