@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelscore.llm import common as c
+from panelscore.session import pin, unpin
 
 #: Bytes of item text that go to each executor at once; a larger benchmark is a query set that runs in blocks of this size.
 BLOCK_BYTES = 32 << 20
@@ -36,8 +37,8 @@ def winnow(grams: np.ndarray, valid: np.ndarray, span: int) -> np.ndarray:
 class Index:
     """One block of items: kept k-grams, hashes of whole windows with their items, and short items by length."""
 
-    def __init__(self, items: list[tuple[str, str]], window: int, gram: int):
-        self.window, self.gram = window, gram
+    def __init__(self, items: list[tuple[str, str]], window: int, gram: int, blocks: int = 1):
+        self.window, self.gram, self.blocks = window, gram, blocks
         texts = [t.encode() for _, t in items]
         words, offsets = c.word_hashes(texts, c.ALNUM, lower=True)
         counts = np.diff(offsets)
@@ -108,7 +109,7 @@ def _spans(flags: np.ndarray) -> list[int]:
 
 
 def _indexes(items: DataFrame, window: int, gram: int, block_bytes: int):
-    """An index of each block of items, sent to the executors; at least one. Repeated rows count once: all would fall into one block."""
+    """An index of each block of items, sent to the executors when it is asked for; at least one. Repeated rows count once: all would fall into one block."""
     if not 1 <= gram < window:
         raise ValueError("gram must be shorter than window")
     known = items.select(F.col("item_id").cast("string").alias("item_id"), "text").where("item_id is not null and text is not null").distinct()
@@ -116,7 +117,7 @@ def _indexes(items: DataFrame, window: int, gram: int, block_bytes: int):
     known = known.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
     for block in range(blocks):
         held = [(r.item_id, r.text) for r in known.where(F.col("block") == block).collect()]
-        yield items.sparkSession.sparkContext.broadcast(Index(held, window, gram))
+        yield items.sparkSession.sparkContext.broadcast(Index(held, window, gram, blocks))
 
 
 def decontaminate(
@@ -147,9 +148,12 @@ def decontaminate(
                     names=["rid", "doc_id", "n_words", "n_hit", "items", "spans"],
                 )
 
-        parts.append(rows.mapInArrow(scan, SCHEMA))
-    if len(parts) == 1:
-        return parts[0]
+        found = rows.mapInArrow(scan, SCHEMA)
+        if index.value.blocks == 1:
+            return found
+        # What a block finds is written before the next one is sent out: one block is held at a time.
+        parts.append(pin(found if not parts else found.where("n_hit > 0")))
+        index.unpersist(blocking=True)
     return _merged(parts)
 
 
@@ -184,7 +188,11 @@ def _merged(parts: list[DataFrame]) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram: int = GRAM, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of ``docs`` in which no window of any item occurs, with all their columns."""
+    """The rows of ``docs`` in which no window of any item occurs, with all their columns.
+
+    With several blocks of items what is left after each is written before the next one is sent out, and the table before it
+    is dropped.
+    """
     at = docs.columns.index("text")
     for index in _indexes(items, window, gram, block_bytes):
 
@@ -193,7 +201,13 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, g
                 clean = [not hit.any() for _, hit, _ in index.value.scan(c.as_bytes(b.column(at)))]
                 yield b.filter(pa.array(clean, pa.bool_()))
 
-        docs = docs.mapInArrow(keep, docs.schema)
+        left = docs.mapInArrow(keep, docs.schema)
+        if index.value.blocks == 1:
+            return left
+        before, docs = docs, pin(left)
+        index.unpersist(blocking=True)
+        if hasattr(before, "pinned_at"):
+            unpin(before)
     return docs
 
 

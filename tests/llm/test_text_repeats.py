@@ -117,3 +117,27 @@ def test_repeated_items_fill_no_block(spark):
     held = [index.value.ids for index in winnowing._indexes(bench, 10, 5, 8 * len(rows[0][1]))]
     assert sorted(i for ids in held for i in ids) == sorted(str(i) for i in range(1, 42))
     assert len(held) <= 8 and max(map(len, held)) <= 16
+
+
+def test_one_block_of_many_is_sent_at_a_time(spark, docs, mixed, monkeypatch):
+    from pyspark.core.broadcast import Broadcast
+
+    bench = [(i, prose(20, i)) for i in range(2, 22)] + [(1, " ".join(mixed[0][1].split()[10:40]))]
+    items = spark.createDataFrame(bench, "item_id long, text string")
+    sent, live, most = winnowing._indexes, set(), []
+
+    def watched(*args):
+        for index in sent(*args):
+            live.add(id(index))
+            most.append(len(live))
+            yield index
+
+    held = Broadcast.unpersist
+    monkeypatch.setattr(winnowing, "_indexes", watched)
+    monkeypatch.setattr(Broadcast, "unpersist", lambda self, blocking=False: (live.discard(id(self)), held(self, blocking))[1])
+    found = winnowing.digest(winnowing.decontaminate(docs, items, block_bytes=160))
+    expected = contaminated([(r[0], r[1]) for r in mixed], bench)
+    assert Counter(map(tuple, found.collect())) == expected
+    assert len(most) >= 10 and max(most) == 1
+    clean = winnowing.drop_contaminated(docs, items, block_bytes=160)
+    assert max(most) == 1 and clean.count() == sum(n for r, n in expected.items() if not r[5])
