@@ -1,8 +1,9 @@
 """Toxicity scores of deobfuscated text.
 
-Noisy channel: a token with digits or signs among its letters, with letters repeated three times or more, or spelt out letter
-by letter becomes a lattice of what each sign may stand for. Viterbi decoding under a character trigram model, counted over
-all documents, picks the likeliest letters. The restored words and their beginnings are matched with a lexicon
+Noisy channel: a token with digits or signs among its letters, with letters repeated three times or more or all of them twice,
+or a text spelt out letter by letter becomes a lattice of what each sign may stand for, with a gap between words or none.
+Viterbi decoding under a character trigram model, counted over all documents, picks the likeliest words. Signs without width
+are left out. The restored words and their beginnings are matched with a lexicon
 learned from a bounded sample of labelled documents and weighted by logistic regression.
 """
 
@@ -25,8 +26,8 @@ from panelscore.llm import common as c
 PER_LABEL, ENTRIES, EVIDENCE, ODDS = 1500, 500, 25.0, 3.0
 TOXIC = 0.7
 REMEMBERED = 200_000
-#: Signs that are decoded at once.
-PIECE = 64
+#: Between two words of a decoded string; and the length from which on a token is not remembered.
+GAP, WORD = "`", 64
 #: What a sign may stand for. A star hides a vowel.
 SIGNS = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g",
@@ -35,8 +36,10 @@ SIGNS = {
 _EDGES = ".,;:!?\"'()[]{}«»“”‘’…-–—*_"
 _OPENING = "\"'([{«“‘¿¡"
 _SPELT = re.compile(r"(?:[^\W_]|[0-9@$!|+€*])(?:[.\-_*·/]+(?:[^\W_]|[0-9@$!|+€*])){2,}")
-_LONG = re.compile(r"([^\W\d_])\1\1")
-_RUN = re.compile(r"(.)\1{3,}", re.DOTALL)
+_LONG = re.compile(r"([^\W\d_])\1\1|^(?:([^\W\d_])\2){3,}$")
+_DOUBLED = re.compile(r"(?:([^\W\d_])\1){3,}")
+#: Soft hyphens, joiners and other signs without width.
+_HIDDEN = r"[\x{00AD}\x{200B}-\x{200F}\x{2060}-\x{2064}\x{FEFF}]"
 _SIGN = re.compile(r"[0-9@$!|+€£(<*#&]")
 
 
@@ -94,26 +97,35 @@ class Letters:
         p3 = (n + 10 * p2) / (n.sum(2, keepdims=True) + 10)
         self.cost = (-np.log(p3)).tolist()
 
-    def decode(self, lattice: list[list[tuple[str, float]]]) -> str:
-        """The cheapest string through a lattice; each step offers strings with the cost of the channel."""
-        states = {(0, 0): (0.0, "")}
-        for options in [*lattice, [("`", 0.0)]]:
-            best: dict[tuple[int, int], tuple[float, str]] = {}
-            for (a, b), (cost, text) in states.items():
+    def decode(self, lattice: list[list[tuple[str, float]]]) -> list[str]:
+        """The words of the cheapest string through a lattice; each step offers strings with the cost of the channel, and GAP
+        stands between two words. A state is the last two letters, so the work grows with the steps alone."""
+        states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
+        for options in [*lattice, [(GAP, 0.0)]]:
+            best: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+            for (a, b), (cost, path) in states.items():
                 for letters, channel in options:
                     x, y, total = a, b, cost + channel
                     for ch in letters:
                         z = ord(ch) - 96
                         total += self.cost[x][y][z]
                         x, y = y, z
-                    if (x, y) not in best or (total, text + letters) < best[x, y]:
-                        best[x, y] = (total, text + letters)
+                    if (x, y) not in best or total < best[x, y][0]:
+                        best[x, y] = (total, (path, letters) if letters else path)
             states = best
-        return min(states.values())[1][:-1]
+        path, out = min(states.values(), key=lambda s: s[0])[1], []
+        while path:
+            path, letters = path
+            out.append(letters)
+        return [w for w in "".join(reversed(out)).split(GAP) if w]
 
 
-def lattice(token: str) -> list[list[tuple[str, float]]]:
-    """What each run of equal signs of a token may stand for; a separator between single signs stands for nothing."""
+def lattice(token: str, doubled: bool = False) -> list[list[tuple[str, float]]]:
+    """What each run of equal signs of a token may stand for; a separator between single signs stands for nothing.
+
+    Three equal letters or more are one or two; of two the second may be too much, and is so rather where all are ``doubled``.
+    Three equal signs or more are three.
+    """
     out: list[list[tuple[str, float]]] = []
     for m in re.finditer(r"(.)\1*", token, re.DOTALL):
         char, n = m[1], len(m[0])
@@ -121,14 +133,25 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
         if letter:
             if n >= 3:
                 out.append([(letter, 0.7), (letter * 2, 0.7)])
+            elif n == 2:
+                out.append([(letter, 0.0), (letter * 2, 0.7)] if doubled else [(letter * 2, 0.0), (letter, 3.0)])
             else:
-                out += [[(letter, 0.0)]] * n
+                out.append([(letter, 0.0)])
         elif char in SIGNS:
             for _ in range(min(n, 3)):
                 out.append([(x, 1.0) for x in SIGNS[char]] + [("", 9.0)])
     return out
 
 
+def spelt_lattice(signs: list[str]) -> list[list[tuple[str, float]]]:
+    """Of single signs one after the other: between two of them there is nothing, or a gap between words."""
+    out: list[list[tuple[str, float]]] = []
+    for k, sign in enumerate(signs):
+        out += [[("", 0.0), (GAP, 0.5)]] if k else []
+        out += lattice(sign)
+    return out
+
+
 def needs_decoding(token: str) -> bool:
     return any(map(str.isalpha, token)) and bool(_SIGN.search(token) or _LONG.search(token)) or bool(_SPELT.fullmatch(token))
 
@@ -145,20 +168,27 @@ class Restorer:
             return token
         if not needs_decoding(token):
             return token
-        if len(token) > PIECE:
-            # No word, so the cost stays in proportion when its pieces are decoded one by one.
-            token = _RUN.sub(r"\1\1\1", token)
-            if len(token) > PIECE:
-                return "".join(self.word(token[i : i + PIECE]) for i in range(0, len(token), PIECE))
-        if token not in self.known:
+        if token in self.known:
+            return self.known[token]
+        plain = re.sub(r"[.\-_*·/]+", "", token) if _SPELT.fullmatch(token) else token
+        word = "".join(self.letters.decode(lattice(plain, bool(_DOUBLED.fullmatch(plain)))))
+        if len(token) <= WORD:
             if len(self.known) >= REMEMBERED:
                 self.known.clear()
-            if _SPELT.fullmatch(token):
-                token_ = re.sub(r"[.\-_*·/]+", "", token)
-            else:
-                token_ = token
-            self.known[token] = self.letters.decode(lattice(token_))
-        return self.known[token]
+            self.known[token] = word
+        return word
+
+    def spelt(self, signs: list[str]) -> list[str]:
+        """Words of a text that stands sign by sign: as the language model parts them, and what begins at each letter, since
+        short words before or behind one may take letters from it."""
+        parted = self.letters.decode(spelt_lattice(signs))
+        whole = "".join(parted)
+        return list(dict.fromkeys([*parted, *(whole[k : k + WORD] for k in range(len(whole) - 2))]))
+
+    def joined(self, a: str, b: str) -> bool:
+        """Whether two words are likelier one word that has been cut."""
+        steps = [lattice(x) for x in (a, b)]
+        return len(self.letters.decode([*steps[0], [("", 0.5), (GAP, 0.0)], *steps[1]])) == 1
 
 
 def entries(word: str) -> list[str]:
@@ -176,7 +206,8 @@ def document_entries(words: set[str], wanted: set[str] | None = None) -> set[str
 
 def _words(texts: list[str | None], restorer: Restorer):
     """Distinct restored words of a slice of texts, and for each text which of them it has."""
-    lists = pc.ascii_split_whitespace(pa.array([t or "" for t in texts], pa.large_string()))
+    shown = pc.replace_substring_regex(pa.array([t or "" for t in texts], pa.large_string()), _HIDDEN, "")
+    lists = pc.ascii_split_whitespace(shown)
     flat = lists.flatten().dictionary_encode()
     tokens = flat.dictionary.to_pylist()
     words = [restorer.word(t) for t in tokens]
@@ -189,10 +220,10 @@ def _words(texts: list[str | None], restorer: Restorer):
         if high - low >= 3:
             at = int(low)
             for stop in [*first[np.searchsorted(first, low, side="right") : np.searchsorted(first, high)], high]:
-                for piece in range(at, int(stop), PIECE):
-                    spelt = "".join(tokens[k].strip(".,;:?") for k in code[piece : min(stop, piece + PIECE)]).lower()
-                    if len(spelt) >= 3:
-                        extra.append((int(np.searchsorted(first, at, side="right")) - 1, restorer.letters.decode(lattice(spelt))))
+                signs = [tokens[k].strip(".,;:?").lower() for k in code[at:stop]]
+                if len(signs) >= 3:
+                    doc = int(np.searchsorted(first, at, side="right")) - 1
+                    extra += [(doc, w) for w in restorer.spelt(signs) if len(w) >= 3]
                 at = int(stop)
     return words, code, first, extra
 
@@ -212,10 +243,26 @@ class Model:
         held: list[set[str]] = [set() for _ in texts]
         for doc, k in zip((np.searchsorted(first, at, side="right") - 1).tolist(), code[at].tolist(), strict=True):
             held[doc].add(words[k])
-        for doc, word in extra:
+        for doc, word in [*extra, *self._cut_words(words, code, first, wanted)]:
             held[doc].add(word)
         return [sorted(e for e in document_entries(s, wanted) if e in self.weights) if s else [] for s in held]
 
+    def _cut_words(self, words: list[str], code: np.ndarray, first: np.ndarray, wanted: set[str]):
+        """(text, word) of entries that a space cuts behind one to three letters."""
+        heads = {e[:n] for e in wanted for n in (1, 2, 3)}
+        short = np.array([w in heads for w in words], bool)
+        at = np.flatnonzero(short[code[:-1]]) if len(code) else np.zeros(0, np.int64)
+        inside = np.searchsorted(first, at, side="right") == np.searchsorted(first, at + 1, side="right")
+        at = at[inside]
+        pairs, which = np.unique(code[at].astype(np.int64) * len(words) + code[at + 1], return_inverse=True)
+        good = {}
+        for k, pair in enumerate(pairs.tolist()):
+            a, b = words[pair // len(words)], words[pair % len(words)]
+            if any(e in wanted for e in entries(a + b)) and self.restorer.joined(a, b):
+                good[k] = a + b
+        for k in np.flatnonzero(np.isin(which, list(good))).tolist() if good else ():
+            yield int(np.searchsorted(first, at[k], side="right")) - 1, good[int(which[k])]
+
     def scores(self, texts: list[str | None]) -> list[float]:
         sums = np.array([self.bias + sum(self.weights[e] for e in found) for found in self.matches(texts)])
         return (1 / (1 + np.exp(-np.clip(sums, -50, 50)))).tolist()

@@ -254,3 +254,21 @@ def test_shares_of_any_table_draw_rows(spark):
     # In whole millionths all of these would be none.
     for count in (10**9, 5 * 10**10, 10**15):
         assert common.hash_bound(500, count) * count == pytest.approx(500 * 2**62, rel=1e-3)
+
+
+def test_spacing_doubling_and_hidden_signs():
+    """However three words are written, they score as the plain ones; so does one behind another, and none where there is none."""
+    text = "the lazy dog and a quick fox that is with an idiot of trash as a loser on the list and is at it in the trash for a loser or an idiot " * 20
+    weights = {"idiot": 3.0, "idio*": 0.5, "trash": 3.0, "trash*": 3.0, "loser": 3.0}
+    model = toxicity.Model(toxicity.Restorer(toxicity.Letters(np.bincount(toxicity.trigrams(text), minlength=27**3).astype(float))), weights, -5.0)
+    names = ["idiot", "trash", "loser"]
+    written = [
+        names, [" ".join(w) for w in names], ["".join(x * 2 for x in w) for w in names], ["​".join(w) for w in names], ["-".join(w) for w in names],
+        [w[:2] + " " + w[2:] for w in names], ["a " + " ".join(w) for w in names], ["y o u " + " ".join(w) for w in names], ["1d10t", "tr@5h", "l0s3r"],
+        ["i­diot", "t.r.a.s.h", "looooser"],
+    ]
+    scores = model.scores(["that is the " + " of the ".join(w) + " and it is" for w in written] + ["that is the lazy dog and a quick fox", "l o s t", "it is at a list"])
+    assert min(scores[: len(written)]) > 0.9 > 0.05 > max(scores[len(written) :])
+    # A word far inside a long run, and in a very long token, is not cut.
+    assert model.scores(["x " * 61 + " ".join("idiot") + " " + " ".join("trash") + " x" * 10])[0] > 0.5
+    assert model.restorer.word("l0s3r" * 40) == "loser" * 40
