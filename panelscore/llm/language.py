@@ -2,7 +2,8 @@
 
 A text is lower-cased, everything but letters becomes one space, and all its 1- to 3-grams of characters are hashed into
 ``BUCKETS`` embeddings; their mean feeds a softmax. Embeddings and softmax are trained together by stochastic gradient
-descent in numpy on a bounded sample. Part of the sample is kept for a temperature and for the rejection threshold.
+descent in numpy on a bounded sample, with one class more: text of no language, made from the sample by moving and exchanging
+letters. Part of the sample is kept for a temperature and for the threshold beyond which a text is rejected.
 """
 
 from __future__ import annotations
@@ -19,8 +20,8 @@ from panelscore.llm import common as c
 BUCKETS = 1 << 14
 #: Training rows per language. The driver holds at most this many sparse count vectors of BUCKETS entries each.
 PER_LANGUAGE = 500
-#: Share of correct calibration texts that may be rejected, and the probability above which nothing is.
-REJECTED, CERTAIN = 0.001, 0.5
+#: How much worse it is to reject a text of a learned language than to keep one of none.
+KEEPING = 20.0
 UNKNOWN = "und"
 SPACE = 32
 _MULTIPLIERS = np.array([2654435761, 2246822519, 3266489917], np.uint32)
@@ -54,10 +55,11 @@ class Model:
     """Languages and, for each bucket, what it adds to each language's logit (embedding times softmax weights)."""
 
     langs: list[str]
+    #: One column for each language and a last one for text of none.
     table: np.ndarray = field(default_factory=lambda: np.zeros((BUCKETS, 0), np.float32))
     bias: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))
     temperature: float = 1.0
-    threshold: float = 0.0
+    threshold: float = 1.0
 
     def logits(self, grams: np.ndarray) -> np.ndarray:
         if len(grams) < BUCKETS // 4:
@@ -71,8 +73,8 @@ class Model:
         if not len(grams) or not self.langs:
             return UNKNOWN, 0.0, True
         p = softmax(self.logits(grams)[None] / self.temperature)[0]
-        best = int(p.argmax())
-        return self.langs[best], float(min(p[best], 1.0)), bool(p[best] < self.threshold)
+        best = int(p[:-1].argmax())
+        return self.langs[best], float(min(p[best] / max(p[:-1].sum(), 1e-30), 1.0)), bool(p[-1] > self.threshold)
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
@@ -87,25 +89,31 @@ def _dense(rows: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     return x
 
 
-def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], dim: int = 16, epochs: int = 12, rate: float = 60.0, seed: int = 7) -> Model:
-    """Train on (language, buckets, counts) rows; every fifth row calibrates."""
-    langs = sorted({r[0] for r in rows})
+def fit(rows: list[tuple[str, bool, np.ndarray, np.ndarray]], dim: int = 16, epochs: int = 12, rate: float = 60.0, seed: int = 7) -> Model:
+    """Train on (language or UNKNOWN, whether it is a whole text, buckets, counts); one text in five, with all that was made
+    of it, is kept from training and calibrates.
+
+    Rows of one text stand one after the other, its whole first. Whole texts set the temperature; the threshold is the one that
+    loses least, with the share of whole texts that it rejects counted KEEPING times.
+    """
+    langs = sorted({r[0] for r in rows} - {UNKNOWN})
     if not langs:
         return Model([])
     rng = np.random.default_rng(seed)
-    y = np.array([langs.index(r[0]) for r in rows])
-    order = rng.permutation(len(rows))
-    held = order[::5] if len(rows) >= 50 else order
-    train = np.setdiff1d(order, held) if len(rows) >= 50 else order
+    y = np.array([langs.index(r[0]) if r[0] != UNKNOWN else len(langs) for r in rows])
+    text = np.cumsum([r[1] for r in rows]) - 1
+    kept = rng.permutation(text[-1] + 1)[: max(1, (text[-1] + 1) // 5)]
+    held = np.flatnonzero(np.isin(text, kept))
+    train = np.flatnonzero(~np.isin(text, kept)) if text[-1] else held
     embed = rng.normal(0, 0.1, (BUCKETS, dim)).astype(np.float32)
-    weight, bias = rng.normal(0, 0.3, (dim, len(langs))).astype(np.float32), np.zeros(len(langs), np.float32)
+    weight, bias = rng.normal(0, 0.3, (dim, len(langs) + 1)).astype(np.float32), np.zeros(len(langs) + 1, np.float32)
     steps = epochs * -(-len(train) // 32)
     done = 0
     for _ in range(epochs):
         train = rng.permutation(train)
         for low in range(0, len(train), 32):
             pick = train[low : low + 32]
-            x = _dense([rows[i][1:] for i in pick])
+            x = _dense([rows[i][2:] for i in pick])
             h = x @ embed
             g = softmax(h @ weight + bias)
             g[np.arange(len(pick)), y[pick]] -= 1
@@ -117,19 +125,37 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], dim: int = 16, epochs: i
             embed -= now * (x.T @ grad)
             done += 1
     model = Model(langs, (embed @ weight).astype(np.float32), bias)
-    logits = np.concatenate([_dense([rows[i][1:]]) @ model.table for i in held]) + bias
+    logits = np.concatenate([_dense([rows[i][2:]]) @ model.table for i in held]) + bias
+    whole = np.array([rows[i][1] for i in held])
     scales = np.geomspace(0.05, 20, 60)
-    losses = [-np.log(np.maximum(softmax(logits / t)[np.arange(len(held)), y[held]], 1e-12)).mean() for t in scales]
+    losses = [-np.log(np.maximum(softmax(logits[whole] / t)[np.arange(whole.sum()), y[held][whole]], 1e-12)).mean() for t in scales]
     model.temperature = float(max(scales[int(np.argmin(losses))], 0.25))
-    p = softmax(logits / model.temperature)
-    right = p.max(1)[p.argmax(1) == y[held]]
-    model.threshold = float(min(np.quantile(right, REJECTED), CERTAIN)) if len(right) else 0.0
+    none = softmax(logits / model.temperature)[:, -1]
+    clean, other = none[whole], none[y[held] == len(langs)]
+    bars = np.linspace(0.05, 0.95, 91)
+    lost = KEEPING * (clean[:, None] > bars).mean(0) + ((other[:, None] <= bars).mean(0) if len(other) else 0)
+    model.threshold = float(np.median(bars[lost <= lost.min() + 1e-9]))
     return model
 
 
-def sample(docs: DataFrame, usable, per_language: int = PER_LANGUAGE) -> list[tuple[str, np.ndarray, np.ndarray]]:
-    """Counts of the sampled rows: about ``per_language`` of each language, by a hash of the row, each once as a whole and
-    once as a short span, since short texts are to be told apart too. Counting happens on the executors."""
+def of_no_language(text: str, draw: int) -> list[str]:
+    """Texts with the look of ``text`` in no language: its letters in another order, and each letter taken for another one of
+    its own alphabet, or of a far one."""
+    rng = np.random.default_rng(draw & (2**63 - 1))
+    signs = list(text)
+    at = [k for k, ch in enumerate(signs) if ch.isalpha()]
+    shuffled = signs.copy()
+    for k, j in zip(at, rng.permutation(len(at)).tolist(), strict=True):
+        shuffled[k] = signs[at[j]]
+    own = sorted({signs[k].lower() for k in at} | set("abcdefghijklmnopqrstuvwxyz"))
+    other = dict(zip(own, [own[j] for j in rng.permutation(len(own)).tolist()], strict=True))
+    far = int(rng.choice([0x370, 0x410, 0x5D0, 0x620, 0x905, 0x4E00, 0xAC00]))
+    return ["".join(shuffled), "".join(other.get(ch.lower(), ch) for ch in signs), "".join(chr(far + own.index(ch.lower())) if ch.lower() in other else ch for ch in signs)]
+
+
+def sample(docs: DataFrame, usable, per_language: int = PER_LANGUAGE) -> list[tuple[str, bool, np.ndarray, np.ndarray]]:
+    """Counts of the sampled rows: about ``per_language`` of each language, by a hash of the row, each as a whole, as a short
+    span, since short texts are to be told apart too, and as spans made into text of no language. Counting happens on the executors."""
     spark = docs.sparkSession
     rows = docs.where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", F.xxhash64("text", "doc_id").alias("draw"))
     sizes = docs.where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull()).groupBy("lang").count().collect()
@@ -146,17 +172,22 @@ def sample(docs: DataFrame, usable, per_language: int = PER_LANGUAGE) -> list[tu
             for lang, text, draw in zip(b["lang"].to_pylist(), b["text"].to_pylist(), b["draw"].to_pylist(), strict=True):
                 words = text.split()
                 first = abs(draw) % max(1, len(words) - 12)
-                for part in (text, " ".join(words[first : first + 3 + abs(draw) % 20])):
+                short = " ".join(words[first : first + 3 + abs(draw) % 20])
+                made = of_no_language(" ".join(words[first : first + 8 + abs(draw) % 60]), draw)
+                if not len(subwords(text)):
+                    continue
+                for order, (name, part) in enumerate([(lang, text), (lang, short), *((UNKNOWN, m) for m in made)]):
                     grams = subwords(part)
                     if len(grams):
                         at, n = np.unique(grams, return_counts=True)
-                        out.append((draw, lang, at.astype(np.uint16).tobytes(), n.astype(np.float32).tobytes()))
-            d, a, x, y = zip(*out, strict=True) if out else ([], [], [], [])
-            yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(a, pa.string()), pa.array(x, pa.binary()), pa.array(y, pa.binary())], names=["draw", "lang", "at", "n"])
+                        out.append((draw, lang, order, name, at.astype(np.uint16).tobytes(), n.astype(np.float32).tobytes()))
+            kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.binary(), pa.binary()]
+            columns = zip(*out, strict=True) if out else [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], names=["draw", "lang", "order", "name", "at", "n"])
 
-    found = picked.mapInArrow(count, "draw long, lang string, at binary, n binary").collect()
-    found.sort(key=lambda r: (r.draw, r.lang, len(r.at), r.at))
-    return [(r.lang, np.frombuffer(r.at, np.uint16), np.frombuffer(r.n, np.float32)) for r in found]
+    found = picked.mapInArrow(count, "draw long, lang string, order long, name string, at binary, n binary").collect()
+    found.sort(key=lambda r: (r.draw, r.lang, r.order, r.at))
+    return [(r.name, r.order == 0, np.frombuffer(r.at, np.uint16), np.frombuffer(r.n, np.float32)) for r in found]
 
 
 def train(docs: DataFrame, usable=None, per_language: int = PER_LANGUAGE) -> Model:
@@ -167,7 +198,9 @@ def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",))
     """``keep`` columns and lang_pred, score, rejected: one row per row of ``docs``, from its whole text alone.
 
     lang_pred is ``und`` (score 0, rejected) if the text is null or has no letter, or if there was nothing to learn from.
-    A text is rejected if its calibrated probability is below the model's threshold. Repeated rows get equal results.
+    The score compares learned languages only. A text is rejected if its calibrated probability of being in none of them is above
+    the model's threshold. Ties go to the first language by name; very long texts are counted as a whole; repeated rows get equal
+    results; columns other than ``keep`` and the text are not read.
     """
     spark = docs.sparkSession
     held = spark.sparkContext.broadcast(model)
@@ -187,7 +220,7 @@ def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",))
 
 
 def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows whose language is not rejected, with all columns of ``docs``."""
+    """The rows whose language is not rejected, with all columns of ``docs``; null texts and those without letters go."""
     held = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 

@@ -1,6 +1,7 @@
 """Language, toxicity, packing, search, url filter, and the pipeline."""
 
 import math
+import os
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -272,3 +273,26 @@ def test_spacing_doubling_and_hidden_signs():
     # A word far inside a long run, and in a very long token, is not cut.
     assert model.scores(["x " * 61 + " ".join("idiot") + " " + " ".join("trash") + " x" * 10])[0] > 0.5
     assert model.restorer.word("l0s3r" * 40) == "loser" * 40
+
+
+def test_rejection_on_the_given_tables(spark):
+    """Text of no language, and of languages not learned, is rejected; documents of the learned ones stay."""
+    folder = "/root/testdata/sf0.1"
+    if not os.path.isdir(folder):
+        pytest.skip("test tables are not here")
+    docs = spark.read.parquet(f"{folder}/documents.parquet").where("lang IS NOT NULL AND text IS NOT NULL")
+    model = language.train(docs, common.crc_fold() != 1)
+    held = [(r.text, r.lang) for r in docs.where(common.crc_fold() == 1).select("text", "lang").collect()]
+    found = [model.predict(t) for t, _ in held if len(language.subwords(t))]
+    assert sum(not f[2] for f in found) >= 0.995 * len(found)
+    assert sum(f[0] == lang for f, (_, lang) in zip(found, [h for h in held if len(language.subwords(h[0]))])) >= 0.98 * len(found)
+    none = [m for k, (t, _) in enumerate(held) for m in language.of_no_language(" ".join(t.split()[:40]), k) if len(language.subwords(m)) > 60]
+    assert sum(model.predict(t)[2] for t in none) >= 0.95 * len(none)
+    probes = ["asdf jkl asdf qwer zxcv", "lorem ipsum dolor sit amet consectetur adipiscing elit", "这是一个测试文本", "Το γρήγορο καφέ αλεπού", "xkcd qwrtz bnmpl zzxv"]
+    assert sum(model.predict(t)[2] for t in probes) >= 4, [model.predict(t) for t in probes]
+    shares = {}
+    for lang in ("de", "es"):
+        fewer = language.train(docs, F.col("lang") != lang)
+        other = [t for t, own in held if own == lang and len(language.subwords(t))]
+        shares[lang] = sum(fewer.predict(t)[2] for t in other) / len(other)
+    assert min(shares.values()) >= 0.9, shares
