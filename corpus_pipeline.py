@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelscore.llm import common, language, line_dedup, near_join, packing, winnowing
-from panelscore.session import checkpoint_folder
+from panelscore.session import checkpoint_folder, remove, scratch
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,11 +58,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result is a Parquet table in the shared folder, read again by the next stage."""
-    folder = f"{checkpoint_folder(spark)}/corpus_pipeline/{uuid.uuid4().hex}"
+    """All stages over ``documents``; each result is a Parquet table in the shared folder, read again by the next stage.
+
+    A stage's own tables go when it has written its result, and that goes when the next stage has written its own. The last
+    result stays where ``session.release`` finds it.
+    """
+    folder = f"{checkpoint_folder(spark)}/panelscore/{spark.sparkContext.applicationId}/corpus-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(*(F.col(x) for x in ("doc_id", "text", "lang", "source", "n_chars")))
     for k, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{k}_{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if k:
+            remove(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs
