@@ -184,8 +184,28 @@ def as_bytes(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
     return [b"" if t is None else t.encode() for t in column.to_pylist()]
 
 
+def _trimmer():
+    import ctypes
+
+    try:
+        return ctypes.CDLL("libc.so.6").malloc_trim
+    except (OSError, AttributeError):
+        return lambda pad: 0
+
+
+_trim: list = []
+
+
+def give_back() -> None:
+    """Return memory that a worker has freed: several live beside the JVM, and what one task needed stays with it otherwise."""
+    if not _trim:
+        _trim.append(_trimmer())
+    pa.default_memory_pool().release_unused()
+    _trim[0](0)
+
+
 def text_batches(batches: Iterable[pa.RecordBatch], limit: int = 4 << 20, text: str | int = "text") -> Iterator[pa.RecordBatch]:
-    """Slices of at most ``limit`` bytes of text, or of one row."""
+    """Slices of at most ``limit`` bytes of text, or of one row; what a batch took is given back behind it."""
     for batch in batches:
         sizes = pc.binary_length(batch.column(text)).to_pylist()
         start, held = 0, 0
@@ -197,6 +217,7 @@ def text_batches(batches: Iterable[pa.RecordBatch], limit: int = 4 << 20, text:
             held += n
         if start < len(sizes):
             yield batch.slice(start)
+        give_back()
 
 
 def sha(data: bytes) -> str:

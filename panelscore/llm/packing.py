@@ -24,7 +24,7 @@ from panelscore.session import pin
 
 CAPACITY, GRAIN, END = 2048, 8, 1
 #: Tokens whose ids a worker remembers; beyond it only those of its last texts stay.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 _MARKS = ".,;:!?"
 _encoders: dict[str, Encoder] = {}
 
