@@ -205,7 +205,8 @@ def give_back() -> None:
 
 
 def text_batches(batches: Iterable[pa.RecordBatch], limit: int = 4 << 20, text: str | int = "text") -> Iterator[pa.RecordBatch]:
-    """Slices of at most ``limit`` bytes of text, or of one row; what a batch took is given back behind it."""
+    """Slices of at most ``limit`` bytes of text, or of one row; what they took is given back now and then, and at the end."""
+    passed = 0
     for batch in batches:
         sizes = pc.binary_length(batch.column(text)).to_pylist()
         start, held = 0, 0
@@ -217,7 +218,11 @@ def text_batches(batches: Iterable[pa.RecordBatch], limit: int = 4 << 20, text:
             held += n
         if start < len(sizes):
             yield batch.slice(start)
-        give_back()
+        passed += sum(n or 0 for n in sizes)
+        if passed > 8 * limit:
+            give_back()
+            passed = 0
+    give_back()
 
 
 def sha(data: bytes) -> str:
