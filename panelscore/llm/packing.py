@@ -24,7 +24,9 @@ from panelscore.session import pin
 
 CAPACITY, GRAIN, END = 2048, 8, 1
 #: Tokens whose ids a worker remembers; beyond it only those of its last texts stay.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
+#: Bytes of text that are encoded together; the arrays per byte are many times as large.
+SLICE_BYTES = 2 << 20
 _MARKS = ".,;:!?"
 _encoders: dict[str, Encoder] = {}
 
@@ -156,7 +158,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     """(doc_id, rid, start, length, ids_crc32, doc_tokens): full and half sequences, then the rest, of every row of ``docs``."""
 
     def cut(batches):
-        for b in c.text_batches(batches):
+        for b in c.text_batches(batches, SLICE_BYTES):
             ids, first = encoder(path).encode(b["text"].to_pylist())
             out = []
             for i, (d, r) in enumerate(zip(b["doc_id"].to_pylist(), b["rid"].to_pylist(), strict=True)):
