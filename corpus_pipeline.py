@@ -15,6 +15,10 @@ from panelscore.llm import common, language, line_dedup, near_join, packing, win
 from panelscore.session import checkpoint_folder, remove, scratch
 
 
+#: Fewer tokens than packing alone remembers: workers that have run the stages before hold more already.
+REMEMBERED = 300_000
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; learned from the labelled ones outside the held-out fold."""
     common.small_batches(spark)
@@ -42,7 +46,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents' token ids, laid out in sequences."""
     common.small_batches(spark)
-    return packing.pack_documents(docs, packing.tokenizer_path())
+    return packing.pack_documents(docs, packing.tokenizer_path(), remembered=REMEMBERED)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
