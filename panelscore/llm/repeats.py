@@ -1,13 +1,18 @@
 """Removal of word passages that occur earlier in the corpus.
 
 Two operators share the second half. ``fixed_blocks`` indexes the non-overlapping blocks of every document and probes them
-with every rolling window; ``sparse_suffixes`` keeps the suffixes that begin at content-selected minimisers, sorts them and
-compares neighbours. Both find anchors: k-grams that occur in two places, at least one in each long enough repeat. The anchors
-are extended left and right to the windows of ``length`` words around them; of equal windows the earliest stays, and runs of
-the others are the maximal repeats that are removed.
+with every rolling window; ``minimisers`` keeps the suffixes that begin at content-selected places. Both find anchors: k-grams
+that occur in two places, at least one in each long enough repeat. So far hashes decide, cut to as many bits as the corpus
+needs: equal words never differ in them, and what is found too much costs work only.
+
+From there on words decide. Every window of ``length`` words that may repeat belongs to one anchor, the least in it, which is
+the same wherever the window stands. The words around the anchors are brought together by the anchor, sorted, and compared
+with their neighbours, to the right from the anchor on and to the left before it: windows are equal if both common prefixes
+reach their ends. Of equal windows the earliest stays; the others, joined where they overlap, are the maximal repeats removed.
 
 Documents are dealt into batches by their id. A batch sends its distinct hashes, sorted and packed, to buckets of the hash
-range; so however often a passage occurs, a bucket gets it once from each batch. Nothing is broadcast or collected.
+range, and each distinct stretch of words once; so however often a passage occurs, a bucket gets it once from each batch.
+Nothing is broadcast or collected.
 """
 
 from __future__ import annotations
@@ -17,6 +22,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +30,9 @@ from panelscore.llm import common as c
 from panelscore.llm.winnowing import member
 
 BATCH_BYTES = 8 << 20
+#: Batches that a task works through one after the other.
+BATCHES_PER_TASK = 4
+ANCHORS, WINDOWS = 0, 1
 U64 = np.uint64
 _LISTS = "bucket long, batch long, hashes binary, extra binary"
 SPANS = "doc_id long, rid long, n_words long, n_removed long, kept_sha256 string, spans array<int>"
@@ -59,20 +68,31 @@ class Batch:
         self.words, self.offsets = c.word_hashes(self.texts, c.NOT_SPACE)
         self.length = length
 
-    def windows(self, anchors: np.ndarray | None = None, gram: int = 0) -> tuple[np.ndarray, np.ndarray]:
-        """Positions and hashes of the windows, or of those that hold one of the anchors (positions of k-grams)."""
-        total = len(self.words)
-        fits = c.inside(self.offsets, self.length, total)
-        if anchors is not None:
-            near = np.zeros(total + 1, np.int64)
-            np.add.at(near, np.maximum(anchors - (self.length - gram), 0), 1)
-            np.subtract.at(near, anchors + 1, 1)
-            fits = fits & (np.cumsum(near)[: len(fits)] > 0)
-        at = np.flatnonzero(fits)
-        return at, c.rolling(self.words, self.length)[at]
+    def repeats(self, gram: int, mask: np.uint64, anchors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First words and cut hashes of the windows that hold an anchor, and the place of the least anchor in each.
 
-    def owners(self, at: np.ndarray) -> np.ndarray:
-        return self.ids[np.searchsorted(self.offsets, at, side="right") - 1]
+        ``anchors`` are sorted. Ties go to the first place, so windows of the same words have it at the same distance.
+        """
+        total = len(self.words)
+        if total < self.length or not len(anchors):
+            return np.zeros(0, np.int64), np.zeros(0, U64), np.zeros(0, np.int64)
+        grams = c.rolling(self.words, gram) & mask
+        places = np.flatnonzero(c.inside(self.offsets, gram, total))
+        places = places[member(grams[places] | U64(1), anchors)]
+        none = np.iinfo(np.int64).max
+        held = np.full(len(grams), none, np.int64)
+        held[places] = np.unique(grams[places], return_inverse=True)[1] * (total + 1) + places
+        least = c.sliding_min(held, self.length - gram + 1)
+        at = np.flatnonzero(c.inside(self.offsets, self.length, total) & (least < none))
+        return at, c.rolling(self.words, self.length)[at] & mask | U64(1), least[at] % (total + 1)
+
+    def stretches(self, begins: np.ndarray, sizes: np.ndarray):
+        """The words of each stretch that lies in one text, in order of place, a space behind every word."""
+        known = -1
+        for i, low, n in zip((np.searchsorted(self.offsets, begins, side="right") - 1).tolist(), begins.tolist(), sizes.tolist(), strict=True):
+            if i != known:
+                known, words, base = i, self.texts[i].split(), int(self.offsets[i])
+            yield b" ".join(words[low - base : low - base + n]) + b" "
 
 
 def _slices(hashes: np.ndarray, buckets: int):
@@ -96,91 +116,181 @@ def _flags(data: bytes, n: int) -> np.ndarray:
     return np.unpackbits(np.frombuffer(data, np.uint8), count=n).astype(bool)
 
 
-def repeated_spans(docs: DataFrame, length: int, gram: int, anchors: Callable, batch_bytes: int = BATCH_BYTES) -> DataFrame:
+def _sorted_neighbours(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the rows of a matrix of word numbers, and the common prefix of each with the one before it."""
+    width = rows.shape[1]
+    if not width or len(rows) < 2:
+        return np.arange(len(rows)), np.zeros(max(len(rows) - 1, 0), np.int64)
+    order = np.argsort(np.ascontiguousarray(rows, ">u4").view(f"S{4 * width}").ravel(), kind="stable")
+    differ = rows[order[1:]] != rows[order[:-1]]
+    return order, np.where(differ.any(axis=1), differ.argmax(axis=1), width)
+
+
+def _alike(order: np.ndarray, common: np.ndarray, n: int) -> np.ndarray:
+    """A number for each row; rows with the same first n entries have the same."""
+    out = np.zeros(len(order), np.int64)
+    out[order[1:]] = np.cumsum(common < n)
+    return out
+
+
+def later_windows(text: bytes, left: np.ndarray, count: np.ndarray, ids: np.ndarray, places: np.ndarray, length: int) -> np.ndarray:
+    """Which windows of stretches of words stand earlier in another stretch.
+
+    A stretch has ``count`` windows of ``length`` words and its anchor behind ``left`` words. Earlier is by (id, place). One
+    flag for each window, stretch by stretch.
+    """
+    ends = np.flatnonzero(np.frombuffer(text, np.uint8) == 0x20) + 1
+    bounds = np.concatenate(([0], ends)).astype(np.int64)
+    words = pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(bounds), pa.py_buffer(text)])
+    numbers = words.dictionary_encode().indices.to_numpy().astype(np.uint32) + np.uint32(1)
+    sizes = length + count - 1
+    last = np.cumsum(sizes)
+    begin = last - sizes
+    anchor = begin + left
+
+    def matrix(at: np.ndarray, fits: np.ndarray) -> np.ndarray:
+        return np.where(fits, numbers[np.clip(at, 0, len(numbers) - 1)], np.uint32(0))
+
+    at = anchor[:, None] + np.arange(int((sizes - left).max()))
+    order, common = _sorted_neighbours(matrix(at, at < last[:, None]))
+    at = anchor[:, None] - 1 - np.arange(int(left.max()))
+    order_left, common_left = _sorted_neighbours(matrix(at, at >= begin[:, None]))
+    rank = np.empty(len(left), np.int64)
+    rank[np.lexsort((places, ids))] = np.arange(len(left))
+    first = np.cumsum(count) - count
+    later = np.zeros(int(count.sum()), bool)
+    for before in range(int(left.max()) + 1):
+        mine = np.flatnonzero((left >= before) & (left - count < before))
+        kind = _alike(order_left, common_left, before)[mine] * len(left) + _alike(order, common, length - before)[mine]
+        by = np.lexsort((rank[mine], kind))
+        again = np.flatnonzero(kind[by[1:]] == kind[by[:-1]]) + 1
+        who = mine[by[again]]
+        later[first[who] + left[who] - before] = True
+    return later
+
+
+def repeated_spans(docs: DataFrame, length: int, gram: int, anchors: Callable, batch_bytes: int = BATCH_BYTES, bits: int | None = None) -> DataFrame:
     """(doc_id, rid, n_words, n_removed, kept_sha256, spans) of each row with a non-null id.
 
     ``spans`` are the word positions removed (begin, end, begin, ...). Windows are judged on the input. Rows that share an id
     come in the order of their texts; rows that repeat id and text are one document and get the
-    same result. ``rid`` is a hash of id and text.
+    same result. ``rid`` is a hash of id and text. ``bits`` of a hash are exchanged to find candidates, by default 8 more
+    than number the corpus's bytes; the result does not depend on it.
     """
     spark = docs.sparkSession
     size = c.text_bytes(docs)
     batches = max(c.parallelism(spark), -(-size // batch_bytes))
     buckets = batches
+    tasks = -(-batches // BATCHES_PER_TASK)
+    bits = min(62, size.bit_length() + 8) if bits is None else bits
+    mask = U64((2**bits - 1) << (64 - bits))
     rows = docs.where("doc_id is not null").select(
         F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("rid"), "text", F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(batches)).alias("batch")
     )
 
-    def offer(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        """The batch's distinct k-gram hashes; extra: which occur twice here."""
-        batch = Batch(table, length)
-        _, hashes = anchors(batch.words, batch.offsets)
+    def spread(frame: DataFrame, key: str) -> DataFrame:
+        """As many tasks as the corpus needs, where that is more than the session's setting."""
+        return frame.repartition(tasks, key) if tasks > c.parallelism(spark) else frame
+
+    def packed(hashes: np.ndarray, batch: int) -> pa.Table:
+        """Distinct hashes, whose low bit is set if it is anywhere; extra: which occur twice here."""
         hashes = np.sort(hashes)
         keys = hashes | U64(1)
         last = np.append(keys[1:] != keys[:-1], True)[: len(keys)]
         first = np.append(True, keys[1:] != keys[:-1])[: len(keys)]
         many = ~(first & last)[last]
         kept = hashes[last]
-        return _rows([(b, key[0].as_py(), c.pack(kept[low:high]), _bits(many[low:high])) for b, low, high in _slices(kept, buckets)])
-
-    def meet(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        """Which of each batch's hashes are anchors: of an index block (or suffix), and found in two places."""
-        lists = [c.unpack(x) for x in table["hashes"].to_pylist()]
-        sizes = [len(x) for x in lists]
-        own = np.concatenate(lists)
-        many = np.concatenate([_flags(x, n) for x, n in zip(table["extra"].to_pylist(), sizes, strict=True)])
-        order = np.argsort(own | U64(1), kind="stable")
-        ordered = own[order]
-        begin = np.flatnonzero(np.append(True, (ordered[1:] | U64(1)) != (ordered[:-1] | U64(1))))
-        indexed = np.maximum.reduceat(ordered & U64(1), begin) > 0
-        count = np.diff(np.append(begin, len(ordered)))
-        good = indexed & ((count > 1) | np.maximum.reduceat(many[order], begin))
-        flags = np.empty(len(own), bool)
-        flags[order] = np.repeat(good, count)
-        out, low = [], 0
-        for batch, n, values in zip(table["batch"].to_pylist(), sizes, lists, strict=True):
-            if flags[low : low + n].any():
-                out.append((key[0].as_py(), batch, c.pack(values[flags[low : low + n]] | U64(1)), b""))
-            low += n
-        return _rows(out)
+        return _rows([(b, batch, c.pack(kept[low:high]), _bits(many[low:high])) for b, low, high in _slices(kept, buckets)])
 
-    def extend(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
-        """The distinct windows around the batch's anchors, each with the smallest id that has it here."""
+    def offer(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        batch = Batch(table, length)
+        return packed(anchors(batch.words, batch.offsets)[1] & (mask | U64(1)), key[0].as_py())
+
+    def meet(tag: int) -> Callable:
+        def met(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+            """Which of each batch's hashes have a low bit set somewhere and are found in two places."""
+            lists = [c.unpack(x) for x in table["hashes"].to_pylist()]
+            sizes = [len(x) for x in lists]
+            own = np.concatenate(lists)
+            many = np.concatenate([_flags(x, n) for x, n in zip(table["extra"].to_pylist(), sizes, strict=True)])
+            order = np.argsort(own | U64(1), kind="stable")
+            ordered = own[order]
+            begin = np.flatnonzero(np.append(True, (ordered[1:] | U64(1)) != (ordered[:-1] | U64(1))))
+            indexed = np.maximum.reduceat(ordered & U64(1), begin) > 0
+            count = np.diff(np.append(begin, len(ordered)))
+            good = indexed & ((count > 1) | np.maximum.reduceat(many[order], begin))
+            flags = np.empty(len(own), bool)
+            flags[order] = np.repeat(good, count)
+            out, low = [], 0
+            for batch, n, values in zip(table["batch"].to_pylist(), sizes, lists, strict=True):
+                if flags[low : low + n].any():
+                    out.append((tag, batch, c.pack(values[flags[low : low + n]] | U64(1)), b""))
+                low += n
+            return _rows(out)
+
+        return met
+
+    def gathered(table: pa.Table, tag: int) -> np.ndarray:
+        lists = [c.unpack(x) for t, x in zip(table["bucket"].to_pylist(), table["hashes"].to_pylist(), strict=True) if t == tag]
+        return np.sort(np.concatenate(lists)) if lists else np.zeros(0, U64)
+
+    def widen(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
+        """The windows around the batch's anchors."""
+        if not left.num_rows or not right.num_rows:
+            return _rows([])
+        return packed(Batch(left, length).repeats(gram, mask, gathered(right, ANCHORS))[1], key[0].as_py())
+
+    def send(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
+        """Stretches of words around anchors, each of them once; and the windows of those that the batch has already."""
         if not left.num_rows or not right.num_rows:
             return _rows([])
         batch = Batch(left, length)
-        at, hashes = anchors(batch.words, batch.offsets)
-        shared = np.sort(np.concatenate([c.unpack(x) for x in right["hashes"].to_pylist()]))
-        at, windows = batch.windows(at[member(hashes | U64(1), shared)], gram)
-        order = np.argsort(windows, kind="stable")
-        ordered = windows[order]
-        first = np.append(True, ordered[1:] != ordered[:-1])[: len(ordered)]
-        count = np.diff(np.append(np.flatnonzero(first), len(ordered)))
-        kept, ids = ordered[first], batch.owners(at[order[first]])
-        many = count > 1
-        return _rows(
-            [(b, key[0].as_py(), c.pack(kept[low:high]), c.pack_ids(np.concatenate((ids[low:high], many[low:high].astype(np.int64))))) for b, low, high in _slices(kept, buckets)]
-        )
-
-    def earliest(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        """Windows of each batch that occur earlier in another one; extra: those that are earliest here and repeat here."""
-        lists = [c.unpack(x) for x in table["hashes"].to_pylist()]
-        sizes = [len(x) for x in lists]
-        extra = [c.unpack_ids(x) for x in table["extra"].to_pylist()]
-        own = np.concatenate(lists)
-        ids = np.concatenate([x[:n] for x, n in zip(extra, sizes, strict=True)])
-        many = np.concatenate([x[n:] for x, n in zip(extra, sizes, strict=True)]) > 0
-        order = np.argsort(own, kind="stable")
-        begin = np.flatnonzero(np.append(True, own[order][1:] != own[order][:-1]))
-        least = np.empty(len(own), np.int64)
-        least[order] = np.repeat(np.minimum.reduceat(ids[order], begin), np.diff(np.append(begin, len(own))))
-        later = ids > least
-        out, low = [], 0
-        for batch, n, values in zip(table["batch"].to_pylist(), sizes, lists, strict=True):
-            gone, own_first = later[low : low + n], ~later[low : low + n] & many[low : low + n]
-            if gone.any() or own_first.any():
-                out.append((key[0].as_py(), batch, c.pack(values[gone]), c.pack(values[own_first])))
-            low += n
+        at, hashes, owner = batch.repeats(gram, mask, gathered(right, ANCHORS))
+        twice = member(hashes, gathered(right, WINDOWS))
+        at, owner = at[twice], owner[twice]
+        first = np.flatnonzero((np.diff(at, prepend=-2) != 1) | (np.diff(owner, prepend=-1) != 0))
+        count = np.diff(np.append(first, len(at)))
+        low, place = at[first], owner[first]
+        seen, kept, words, gone = set(), [], [], []
+        for k, text in enumerate(batch.stretches(low, length + count - 1)):
+            if text in seen:
+                gone.append(np.arange(low[k], low[k] + count[k]))
+            else:
+                seen.add(text)
+                kept.append(k)
+                words.append(text)
+        out = [(key[0].as_py(), key[0].as_py(), b"", c.pack(np.concatenate(gone).astype(U64)))] if gone else []
+        if kept:
+            kept = np.array(kept)
+            ids = batch.ids[np.searchsorted(batch.offsets, low[kept], side="right") - 1]
+            about = np.stack((place[kept] - low[kept], count[kept], ids, place[kept]))
+            lead = c.rolling(batch.words, gram)[place[kept]] & mask
+            order = np.argsort(lead, kind="stable")
+            for b, i, j in _slices(lead[order], buckets):
+                text = b"".join([words[k] for k in order[i:j].tolist()])
+                out.append((b, key[0].as_py(), c.pack_ids(about[:, order[i:j]].ravel()), zstandard.ZstdCompressor(level=1).compress(text)))
+        return _rows(out)
+
+    def compare(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        """The places of each batch's windows that stand earlier elsewhere."""
+        out, whose, about, texts = [], [], [], []
+        for batch, values, extra in zip(*(table[x].to_pylist() for x in ("batch", "hashes", "extra")), strict=True):
+            if not values:
+                out.append((key[0].as_py(), batch, b"", extra))
+                continue
+            whose.append(batch)
+            about.append(c.unpack_ids(values).reshape(4, -1))
+            texts.append(zstandard.ZstdDecompressor().decompress(extra))
+        if whose:
+            left, count, ids, places = np.concatenate(about, axis=1)
+            later = later_windows(b"".join(texts), left, count, ids, places, length)
+            windows = np.repeat(places - left - (np.cumsum(count) - count), count) + np.arange(len(later))
+            begin = 0
+            for batch, mine in zip(whose, about, strict=True):
+                end = begin + int(mine[1].sum())
+                if later[begin:end].any():
+                    out.append((key[0].as_py(), batch, b"", c.pack(np.sort(windows[begin:end][later[begin:end]]).astype(U64))))
+                begin = end
         return _rows(out)
 
     def remove(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
@@ -188,13 +298,9 @@ def repeated_spans(docs: DataFrame, length: int, gram: int, anchors: Callable, b
         total = len(batch.words)
         gone = np.zeros(total, bool)
         if right.num_rows:
-            at, windows = batch.windows()
-            marks = np.zeros(total + 1, bool)
-            marks[at[member(windows, np.sort(np.concatenate([c.unpack(x) for x in right["hashes"].to_pylist()])))]] = True
-            again = np.flatnonzero(member(windows, np.sort(np.concatenate([c.unpack(x) for x in right["extra"].to_pylist()]))))
-            again = again[np.argsort(windows[again], kind="stable")]
-            marks[at[again[1:][windows[again[1:]] == windows[again[:-1]]]]] = True
-            gone = c.covered(marks[:total], length, total)
+            marks = np.zeros(total, bool)
+            marks[np.concatenate([c.unpack(x) for x in right["extra"].to_pylist()]).astype(np.int64)] = True
+            gone = c.covered(marks, length, total)
         out = []
         for i, text in enumerate(batch.texts):
             mine = gone[batch.offsets[i] : batch.offsets[i + 1]]
@@ -207,11 +313,17 @@ def repeated_spans(docs: DataFrame, length: int, gram: int, anchors: Callable, b
         kinds = [pa.int64()] * 4 + [pa.string(), pa.list_(pa.int32())]
         return pa.table([pa.array(v, t) for v, t in zip(columns, kinds, strict=True)], names=["doc_id", "rid", "n_words", "n_removed", "kept_sha256", "spans"])
 
-    texts = rows.groupBy("batch")
-    shared = texts.applyInArrow(offer, _LISTS).groupBy("bucket").applyInArrow(meet, _LISTS)
-    windows = rows.groupBy("batch").cogroup(shared.groupBy("batch")).applyInArrow(extend, _LISTS)
-    found = windows.groupBy("bucket").applyInArrow(earliest, _LISTS)
-    return rows.groupBy("batch").cogroup(found.groupBy("batch")).applyInArrow(remove, SPANS)
+    def exchanged(lists: DataFrame, tag: int) -> DataFrame:
+        return spread(lists, "bucket").groupBy("bucket").applyInArrow(meet(tag), _LISTS)
+
+    def beside(lists: DataFrame, step: Callable, schema: str) -> DataFrame:
+        return texts.groupBy("batch").cogroup(spread(lists, "batch").groupBy("batch")).applyInArrow(step, schema)
+
+    texts = spread(rows, "batch")
+    shared = exchanged(texts.groupBy("batch").applyInArrow(offer, _LISTS), ANCHORS)
+    windows = exchanged(beside(shared, widen, _LISTS), WINDOWS)
+    stretches = spread(beside(shared.union(windows), send, _LISTS), "bucket")
+    return beside(stretches.groupBy("bucket").applyInArrow(compare, _LISTS), remove, SPANS)
 
 
 def _without_id(docs: DataFrame) -> DataFrame:
@@ -228,28 +340,30 @@ def _without_id(docs: DataFrame) -> DataFrame:
     return docs.where("doc_id is null").select("doc_id", "text").mapInArrow(whole, SPANS)
 
 
-def substring_repeats(docs: DataFrame, length: int = 20, batch_bytes: int = BATCH_BYTES) -> DataFrame:
+def substring_repeats(docs: DataFrame, length: int = 20, batch_bytes: int = BATCH_BYTES, bits: int | None = None) -> DataFrame:
     """Words covered by a window of ``length`` words that starts earlier, found by fixed-block anchors.
 
-    Blocks have half the length, so every window holds a whole block of the earlier place whatever its alignment.
+    Blocks have half the length, so every window holds a whole block of the earlier place whatever its alignment. Blocks
+    that a rolling window meets are extended on the words, to both sides, to maximal repeats.
     A null text has no words. A row without id cannot be ordered: it stays whole and is no reference. See repeated_spans
     for rows that share an id. Other columns are not read; an empty table gives an empty result.
     """
     block = (length + 1) // 2
-    found = repeated_spans(docs, length, block, lambda w, o: fixed_blocks(w, o, block), batch_bytes)
+    found = repeated_spans(docs, length, block, lambda w, o: fixed_blocks(w, o, block), batch_bytes, bits)
     return found.union(_without_id(docs))
 
 
-def suffix_repeats(docs: DataFrame, length: int = 50, batch_bytes: int = BATCH_BYTES) -> DataFrame:
+def suffix_repeats(docs: DataFrame, length: int = 50, batch_bytes: int = BATCH_BYTES, bits: int | None = None) -> DataFrame:
     """Words covered by a window of ``length`` words that starts earlier, found by a sparse suffix array.
 
     Suffixes begin at the minimisers of ``length // 2`` neighbouring k-grams, so that each window of ``length`` words holds
-    a kept suffix. They are sorted by their first k words; equal neighbours are extended in both directions.
+    a kept suffix. Those whose first k words occur twice are sorted by their words, compared with their neighbours by common
+    prefix, and extended to the left in the same way.
     The rules for nulls, repeated and empty rows are those of substring_repeats.
     """
     span = length // 2
     gram = length - span + 1
-    found = repeated_spans(docs, length, gram, lambda w, o: minimisers(w, o, gram, span), batch_bytes)
+    found = repeated_spans(docs, length, gram, lambda w, o: minimisers(w, o, gram, span), batch_bytes, bits)
     return found.union(_without_id(docs))
 
 

@@ -1,9 +1,11 @@
 """Winnowing, substring and suffix deduplication against brute force."""
 
 import hashlib
+import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from text_fixtures import corpus, docs, empty, mixed, prose  # noqa: F401
 
@@ -43,6 +45,37 @@ def test_repeats_on_edge_cases(docs, mixed, operator, length):
     assert Counter(map(tuple, found.collect())) == earlier_windows([(r[0], r[1]) for r in mixed], length)
 
 
+@pytest.mark.parametrize(("operator", "length"), [(repeats.substring_repeats, 9), (repeats.suffix_repeats, 12)])
+@pytest.mark.parametrize("bits", [1, 9])
+def test_hashes_that_collide_remove_nothing(spark, mixed, operator, length, bits):
+    """With a hash of one bit every window is a candidate, so the words alone decide."""
+    rng = random.Random(5)
+    rows = [(r[0], r[1]) for r in mixed if r[0] != 30] + [(200 + i, " ".join(rng.choice("ab") for _ in range(60 + i))) for i in range(12)]
+    rows += [(300, "x " * 80), (301, "y x x " * 30), (302, prose(8, 9)), (303, "no repeat " + prose(70, 10))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    found = operator(frame, length, batch_bytes=900, bits=bits).select(*repeats.RESULT)
+    assert Counter(map(tuple, found.collect())) == earlier_windows(rows, length)
+
+
+def test_windows_of_stretches_are_told_apart_by_their_words():
+    rng = np.random.default_rng(3)
+    texts, about = [], []
+    for n in range(60):
+        left, count = int(rng.integers(0, 4)), int(rng.integers(1, 4))
+        left = max(left, count - 1)
+        words = [chr(97 + x) for x in rng.integers(0, 2, left + 4)] if n % 2 else ["a", "b"] * 4
+        words = (words * 3)[: 4 + count - 1]
+        texts.append(words)
+        about.append((min(left, len(words) - 2), count, int(rng.integers(0, 9)), 100 * n))
+    left, count, ids, places = np.array(about, np.int64).T
+    found = repeats.later_windows("".join(w + " " for t in texts for w in t).encode(), left, count, ids, places, 4)
+    windows = [(i, p, k, a - k, tuple(t[k : k + 4])) for t, (a, n, i, p) in zip(texts, about) for k in range(n)]
+    first = {}
+    for i, p, _, before, words in windows:
+        first[before, words] = min(first.get((before, words), (i, p)), (i, p))
+    assert found.tolist() == [(i, p) != first[before, words] for i, p, _, before, words in windows]
+
+
 @pytest.mark.parametrize(("query", "length"), [(repeats.op5_substring_dedup, 20), (repeats.op9_suffix_array_dedup, 50)])
 def test_repeats_queries(spark, corpus, query, length):
     folder, rows = corpus
