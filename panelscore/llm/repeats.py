@@ -19,6 +19,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Callable
+from inspect import signature
 
 import numpy as np
 import pyarrow as pa
@@ -55,6 +56,22 @@ def minimisers(words: np.ndarray, offsets: np.ndarray, gram: int, span: int) ->
     return at, grams[at] | U64(1)
 
 
+def _giving_back(step: Callable) -> Callable:
+    """A step on one group whose worker returns what it has freed: several steps live beside each other on an executor."""
+
+    def one(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        out = step(key, table)
+        c.give_back()
+        return out
+
+    def two(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
+        out = step(key, left, right)
+        c.give_back()
+        return out
+
+    return two if len(signature(step).parameters) == 3 else one
+
+
 class Batch:
     """One batch of documents in order of (id, text), with what both passes compute from it."""
 
@@ -314,16 +331,16 @@ def repeated_spans(docs: DataFrame, length: int, gram: int, anchors: Callable, b
         return pa.table([pa.array(v, t) for v, t in zip(columns, kinds, strict=True)], names=["doc_id", "rid", "n_words", "n_removed", "kept_sha256", "spans"])
 
     def exchanged(lists: DataFrame, tag: int) -> DataFrame:
-        return spread(lists, "bucket").groupBy("bucket").applyInArrow(meet(tag), _LISTS)
+        return spread(lists, "bucket").groupBy("bucket").applyInArrow(_giving_back(meet(tag)), _LISTS)
 
     def beside(lists: DataFrame, step: Callable, schema: str) -> DataFrame:
-        return texts.groupBy("batch").cogroup(spread(lists, "batch").groupBy("batch")).applyInArrow(step, schema)
+        return texts.groupBy("batch").cogroup(spread(lists, "batch").groupBy("batch")).applyInArrow(_giving_back(step), schema)
 
     texts = spread(rows, "batch")
-    shared = exchanged(texts.groupBy("batch").applyInArrow(offer, _LISTS), ANCHORS)
+    shared = exchanged(texts.groupBy("batch").applyInArrow(_giving_back(offer), _LISTS), ANCHORS)
     windows = exchanged(beside(shared, widen, _LISTS), WINDOWS)
     stretches = spread(beside(shared.union(windows), send, _LISTS), "bucket")
-    return beside(stretches.groupBy("bucket").applyInArrow(compare, _LISTS), remove, SPANS)
+    return beside(stretches.groupBy("bucket").applyInArrow(_giving_back(compare), _LISTS), remove, SPANS)
 
 
 def _without_id(docs: DataFrame) -> DataFrame:
