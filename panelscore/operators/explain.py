@@ -294,6 +294,32 @@ def dossiers(
     return out
 
 
+def complete(dossiers: DataFrame, trajectories: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """T7 with R14: slices with their entity's trajectory, null where there is none.
+
+    ``wanted`` holds the (entity, period) pairs to show, in any case of letters; pairs without a dossier give no row and
+    repeated pairs one. By default each entity's latest slice is shown.
+    """
+    if wanted is None:
+        latest = F.max_by(F.struct(*(c for c in dossiers.columns if c != ENTITY)), PERIOD).alias("slice")
+        rows = dossiers.groupBy(ENTITY).agg(latest).select(ENTITY, "slice.*")
+    else:
+        pairs = wanted.select(F.upper(ENTITY).alias(ENTITY), PERIOD).distinct()
+        rows = dossiers.join(pairs, [ENTITY, PERIOD], "left_semi")
+    return rows.join(trajectories.select(ENTITY, "trajectory"), ENTITY, "left").select(*dossiers.columns, "trajectory")
+
+
+def lookup(dossiers: DataFrame, trajectories: DataFrame, entity: str, period: int | None = None) -> DataFrame:
+    """One slice, complete: of the period, or the entity's latest; no row where there is none.
+
+    Over written tables both filters reach the scan, so that a lookup reads the row groups of one entity only.
+    """
+    mine = dossiers.where(F.col(ENTITY) == entity.upper())
+    if period is not None:
+        mine = mine.where(F.col(PERIOD) == period)
+    return complete(mine, trajectories.where(F.col(ENTITY) == entity.upper()))
+
+
 def history(scores: DataFrame, entity: str | None = None) -> DataFrame:
     """Score history, all periods."""
     rows = rank.scored(scores)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panelscore.functions import text as t
-from panelscore.operators import explain, scenario
+from panelscore.operators import explain, rank, scenario
 from panelscore.operators import score as scoring
 from panelscore.plans import bindings as b
 from panelscore.plans import oracle as o
@@ -76,6 +76,13 @@ def t7_nested(spark, sf):
     return tidy(flat.selectExpr("entity", "period", "preset", "scenario_band", "scenario_score", "delta", "information", "out_of_sample", "CAST(pillars AS BIGINT) AS pillars", "CAST(drivers AS BIGINT) AS drivers"))
 
 
+def t7_complete(spark, sf):
+    scores = explain.story_scores(nation_z(spark, sf), M, 6)
+    shown = explain.complete(explain.dossiers(scores, M), rank.trajectories(scores))
+    points = "concat_ws(';', transform(trajectory, x -> format_string('%d:%.4f', x.period, x.risk_score))) AS trajectory"
+    return tidy(shown.selectExpr("entity", "period", "risk_score", "risk_band", "trend.direction", "peer_standing.n", points))
+
+
 def t8(spark, sf):
     return tidy(explain.history(nation_scores(spark, sf)))
 
@@ -89,6 +96,7 @@ QUERIES = {
     "t6_report": t6,
     "t7_dossier": t7,
     "t7_dossier_nested": t7_nested,
+    "t7_complete": t7_complete,
     "t8_history": t8,
 }
 
@@ -174,6 +182,12 @@ ORACLE = {
     "t7_dossier_nested": f"""{sc.SHOCK} SELECT entity, period, preset, scenario_band, {o.r6('scenario_score', 'delta')}, information, out_of_sample,
           (SELECT count(*) FROM pil p WHERE p.entity = res.entity AND p.period = res.period) AS pillars, (SELECT least(6, count(*)) FROM ind) AS drivers
         FROM res WHERE baseline_score IS NOT NULL""",
+    "t7_complete": f"""{o.SC}, lt AS (SELECT entity, max(period) AS period, string_agg(printf('%d:%.4f', period, risk_score), ';' ORDER BY period) AS trajectory
+          FROM scores WHERE risk_score IS NOT NULL GROUP BY 1)
+        SELECT entity, period, {o.r6('risk_score')}, risk_band, trend_direction AS direction, trajectory,
+          (SELECT count(*) FROM scores x WHERE x.period = a.period AND x.entity <> a.entity AND x.risk_score IS NOT NULL
+             AND (a.peer_group IS NULL OR x.peer_group = a.peer_group)) AS n
+        FROM scores a JOIN lt USING (entity, period)""",
     "t8_history": f"""{o.SC} SELECT entity, period, {o.r6('risk_score', 'data_completeness::DOUBLE AS data_completeness', 'trend_1y_delta')}, risk_band, trend_direction
         FROM scores WHERE risk_score IS NOT NULL""",
 }

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from panelscore.defaults import DEFAULT_DERIVATIONS, DEFAULT_MODEL, preset
 from panelscore.model import Episode
-from panelscore.operators import clean, explain, quality, scenario
+from panelscore.operators import clean, explain, quality, rank, scenario
 from panelscore.operators import score as scoring
 from panelscore.plans import pipeline
 from panelscore.sources.synthetic import synthetic_panel
@@ -82,3 +82,25 @@ def test_the_batch_run_writes_every_table_and_can_be_repeated(spark, tmp_path):
     assert coverage["entities"] == 6 and coverage["derivations"] and coverage["indicator_columns"]
     old, new = (spark.createDataFrame(p) for p in prints)
     assert quality.overall_status(quality.compare_fingerprints(old, new)).collect()[0]["drifted"] == 0
+
+
+def test_complete_slices_carry_the_trajectory(spark, tmp_path):
+    panel = synthetic_panel(spark, 5, 2008, 2013)
+    scores = explain.story_scores(scoring.z_frame(panel, DEFAULT_MODEL), DEFAULT_MODEL)
+    explain.dossiers(scores, DEFAULT_MODEL).write.parquet(str(tmp_path / "d"))
+    rank.trajectories(scores).write.parquet(str(tmp_path / "t"))
+    d, t = spark.read.parquet(str(tmp_path / "d")), spark.read.parquet(str(tmp_path / "t"))
+    expected = {}
+    for r in sorted(d.collect(), key=lambda r: r["period"]):
+        expected.setdefault(r["entity"], []).append((r["period"], r["risk_score"]))
+    shown = {r["entity"]: r for r in explain.complete(d, t).collect()}
+    assert set(shown) == set(expected)
+    for e, r in shown.items():
+        assert [tuple(x) for x in r["trajectory"]] == expected[e] and (r["period"], r["risk_score"]) == expected[e][-1]
+    wanted = spark.createDataFrame([("e0000001", 2009), ("E0000001", 2009), ("E0000002", 2013), ("E0000002", 1900), ("none", 2010), (None, None)], "entity string, period int")
+    some = explain.complete(d, t.where("entity <> 'E0000002'"), wanted).collect()
+    assert sorted((r["entity"], r["period"], r["trajectory"] is None) for r in some) == [("E0000001", 2009, False), ("E0000002", 2013, True)]
+    one = explain.lookup(d, t, "e0000001", 2009)
+    assert one.collect() == [r for r in some if r["entity"] == "E0000001"]
+    assert explain.lookup(d, t, "E0000001").first() == shown["E0000001"] and explain.lookup(d, t, "nobody").count() == 0
+    assert explain.complete(d.limit(0), t).count() == 0
