@@ -370,7 +370,7 @@ def substring_repeats(docs: DataFrame, length: int = 20, batch_bytes: int = BATC
     return found.union(_without_id(docs))
 
 
-def suffix_repeats(docs: DataFrame, length: int = 50, batch_bytes: int = BATCH_BYTES, bits: int | None = None) -> DataFrame:
+def suffix_repeats(docs: DataFrame, length: int = 50, batch_bytes: int = BATCH_BYTES // 2, bits: int | None = None) -> DataFrame:
     """Words covered by a window of ``length`` words that starts earlier, found by a sparse suffix array.
 
     Suffixes begin at the minimisers of ``length // 2`` neighbouring k-grams, so that each window of ``length`` words holds
