@@ -312,7 +312,7 @@ def complete(dossiers: DataFrame, trajectories: DataFrame, wanted: DataFrame | N
 def lookup(dossiers: DataFrame, trajectories: DataFrame, entity: str, period: int | None = None) -> DataFrame:
     """One slice, complete: of the period, or the entity's latest; no row where there is none.
 
-    Over written tables both filters reach the scan, so that a lookup reads the row groups of one entity only.
+    Over written tables both filters stand before the aggregate and the join; how much a scan skips depends on how they are sorted.
     """
     mine = dossiers.where(F.col(ENTITY) == entity.upper())
     if period is not None:
