@@ -10,7 +10,6 @@ all others. Blocks that meet are multiplied exactly as in ``network.correlations
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -132,13 +131,8 @@ def edges(
     numbered = pin(numbered.select(F.least("_i", "_j").alias("_i"), F.greatest("_i", "_j").alias("_j")))
     ends = numbered.select("_i", "_j", F.explode(F.array_distinct(F.array("_i", "_j"))).alias("_own"))
     sent = every.join(numbers, "block").select(ENTITY, F.col("number").alias("_own")).join(rows.select(ENTITY, "steps", "deltas"), ENTITY).join(ends, "_own")
-    kernel = network.block_kernel(max(2, int(min_pairs)), float(threshold))
-
-    def only_pairs(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        out = kernel(key, group)
-        return out[out["kind"] == "pair"]
-
-    found = sent.select("_i", "_j", "_own", ENTITY, "steps", "deltas").groupBy("_i", "_j").applyInPandas(only_pairs, network.PAIR_SCHEMA)
+    kernel = network.block_kernel(max(2, int(min_pairs)), float(threshold), sums=False)
+    found = sent.select("_i", "_j", "_own", ENTITY, "steps", "deltas").groupBy("_i", "_j").applyInArrow(kernel, network.PAIR_SCHEMA)
     blocks = F.col("blocks")
     report = numbers.agg(F.count(F.lit(1)).alias("blocks"), F.count_if(F.col("block").startswith("gaps:")).alias("with_gaps")).crossJoin(numbered.agg(F.count(F.lit(1)).alias("compared")))
     report = report.select("blocks", "with_gaps", F.floor(blocks * (blocks + 1) / 2).alias("block_pairs"), "compared")

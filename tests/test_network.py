@@ -64,6 +64,59 @@ def test_blocks_equal_brute_force(spark, block_rows):
     found.unpersist()
 
 
+VECTORS = "entity string, steps array<int>, deltas array<double>"
+
+
+def gapped(spark, count, width=12, seed=8):
+    """Vectors of changes, every third with gaps, one constant, one empty, one null; and the correlations one by one."""
+    rng = np.random.default_rng(seed)
+    some = {f"E{n:03d}": {p: float(v) for p, v in enumerate(rng.normal(size=width), 1) if n % 3 or rng.random() > 0.2} for n in range(count)}
+    some |= {"flat": dict.fromkeys(range(1, width + 1), 2.5), "none": {}}
+    expected = {}
+    for a, b in itertools.combinations(sorted(some.keys() - {"flat", "none"}), 2):
+        both = sorted(some[a].keys() & some[b].keys())
+        if len(both) >= 4:
+            expected[a, b] = (np.corrcoef([some[a][p] for p in both], [some[b][p] for p in both])[0, 1], len(both))
+    return spark.createDataFrame([*[(e, list(v), list(v.values())) for e, v in some.items()], ("null", None, None)], VECTORS), expected
+
+
+def equal(found, expected, threshold):
+    got = {(r["a"], r["b"]): (r["correlation"], r["pairs"]) for r in net.pair_table(found).collect()}
+    wanted = {k: v for k, v in expected.items() if abs(v[0]) >= threshold}
+    assert got.keys() == wanted.keys()
+    assert all(math.isclose(got[k][0], wanted[k][0], abs_tol=1e-9) and got[k][1] == wanted[k][1] for k in got)
+
+
+@pytest.mark.parametrize("tile_rows", [1, 3, 256])
+def test_tiles_equal_brute_force(spark, monkeypatch, tile_rows):
+    monkeypatch.setattr(net, "TILE_ROWS", tile_rows)
+    vectors, expected = gapped(spark, 31)
+    found = net.correlations(vectors, block_rows=20).cache()
+    equal(found, expected, 0.5)
+    sums = dict.fromkeys(r["entity"] for r in vectors.collect())
+    for e in sums:
+        of = [abs(r) for ends, (r, _) in expected.items() if e in ends]
+        sums[e] = round(sum(of) / len(of), 4) if of else None
+    assert {r["entity"]: r["integration"] for r in net.nodes(found, net.edges(found)).collect()} == pytest.approx(sums, abs=1e-4)
+    found.unpersist()
+
+
+def test_copies_of_a_row_do_not_grow_with_the_entities(spark):
+    vectors, expected = gapped(spark, 200)
+    found = net.correlations(vectors, block_rows=2).cache()
+    equal(found, expected, 0.5)
+    # One node row from every group that an entity went to.
+    assert max(r["count"] for r in found.where("kind = 'node'").groupBy("a").count().collect()) <= net.BLOCKS
+    found.unpersist()
+
+
+def test_a_block_stays_within_a_task(spark, monkeypatch):
+    vectors, _ = gapped(spark, 4)
+    assert [net.rows_per_block(vectors, n, 64) for n in (7, 2048, 3200, 32 * 10**5)] == [64, 64, 100, 10**5]
+    monkeypatch.setattr(net, "BLOCK_CELLS", 12 * 80)
+    assert [net.rows_per_block(vectors, n, 64) for n in (7, 3200, 10**6)] == [64, 80, 80]
+
+
 def test_components_of_chain_star_and_ring(spark):
     chain = [(f"c{n:02d}", f"c{n + 1:02d}") for n in range(20)]
     star = [("hub", f"s{n}") for n in range(9)]
