@@ -3,8 +3,11 @@
 The angle arccos |r| between the lines of two centred vectors is a metric. Entities that have a change in every step are
 dealt to the nearest of a few pivots and cut into blocks by their angle to it; a block knows its least and greatest angle to
 every pivot. By the triangle inequality two blocks whose angles to some pivot lie further apart than arccos(threshold) hold
-no edge between them and never meet. Entities with gaps, whose correlations are over different steps and so no metric, meet
-all others. Blocks that meet are multiplied exactly as in ``network.correlations``.
+no edge between them and are never multiplied. Entities with gaps, whose correlations are over different steps and so no
+metric, meet all others. Blocks that meet are multiplied exactly as in ``network.correlations``.
+
+Neighbouring blocks travel together, as bands: an entity goes to each band that may hold an edge with its own, and there
+the blocks are parted. The number of bands does not grow with the entities until a band fills a task, however small the blocks.
 """
 
 from __future__ import annotations
@@ -70,11 +73,32 @@ def _blocks(placed: DataFrame, block_rows: int) -> DataFrame:
     """(entity, block, angles): each pivot's entities in stretches of their angle to it, of about ``block_rows``."""
     own = F.element_at("angles", F.col("pivot") + 1)
     shares = placed.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("parts"), F.percentile_approx(own, [k / 64 for k in range(1, 64)], 1000).alias("cuts"))
-    # One row per pivot. A stretch is a run of 64ths; a pivot with more parts deals each 64th by hash.
-    dealt = placed.join(F.broadcast(shares), "pivot").withColumn("at", F.size(F.filter("cuts", lambda x: x < own)))
-    fine = F.greatest(F.lit(1), F.ceil(F.col("parts") / 64)).cast("int")
-    part = F.floor(F.col("at") * F.least("parts", F.lit(64)) / 64).cast("long") * fine + F.pmod(F.xxhash64(ENTITY), fine)
-    return dealt.select(ENTITY, "angles", F.concat_ws(":", "pivot", part.cast("string")).alias("block"))
+    # One row per pivot. A stretch is a run of 64ths; one with more rows than a block, as equal angles make, is dealt by hash.
+    stretch = F.floor(F.size(F.filter("cuts", lambda x: x < own)) * F.least("parts", F.lit(64)) / 64).cast("int")
+    dealt = placed.join(F.broadcast(shares), "pivot").select(ENTITY, "angles", "pivot", stretch.alias("at"))
+    sizes = dealt.groupBy("pivot", "at").agg(F.greatest(F.lit(1), F.round(F.count(F.lit(1)) / block_rows)).cast("int").alias("fine"))
+    # At most 64 rows per pivot.
+    dealt = dealt.join(F.broadcast(sizes), ["pivot", "at"])
+    return dealt.select(ENTITY, "angles", F.concat_ws(":", "pivot", "at", F.pmod(F.xxhash64(ENTITY), "fine")).alias("block"))
+
+
+def _bounds(angles: DataFrame, by: str) -> DataFrame:
+    """(by, low, high): the least and greatest angle to every pivot, of rows (by, low, high)."""
+    each = angles.select(by, F.posexplode(F.arrays_zip("low", "high")).alias("k", "x")).groupBy(by, "k").agg(F.min("x.low").alias("low"), F.max("x.high").alias("high"))
+    return each.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("k", "low", "high"))).alias("s")).selectExpr(by, "s.low AS low", "s.high AS high")
+
+
+def _bands(sizes: DataFrame, band_rows: int) -> DataFrame:
+    """(block, part, band, bound) of (block, rows): blocks in the order of their stretches, in bands of about ``band_rows``.
+
+    Blocks of entities with gaps have bands of their own."""
+    name = F.split("block", ":")
+    order = [F.col("block").startswith("gaps:"), *[F.try_element_at(name, F.lit(k)).try_cast("int") for k in (1, 2, 3)], F.col("block")]
+    # Few rows: one per block.
+    here = Window.partitionBy(F.lit(0)).orderBy(*order)
+    before = F.sum("rows").over(Window.partitionBy(order[0]).orderBy(*order[1:]).rowsBetween(Window.unboundedPreceding, 0)) - F.col("rows")
+    numbered = sizes.select("block", (~order[0]).alias("bound"), F.row_number().over(here).alias("part"), F.floor(before / band_rows).alias("own"))
+    return numbered.select("block", "part", "bound", F.dense_rank().over(Window.partitionBy(F.lit(0)).orderBy(~F.col("bound"), "own")).alias("band"))
 
 
 def _meeting(summaries: DataFrame, angle: float) -> DataFrame:
@@ -110,30 +134,35 @@ def edges(
     sample = _unit(np.array([r.deltas for r in some], np.float64)) if some else np.zeros((0, max(width, 1)))
     angle = float(np.arccos(threshold)) + SLACK
     if some:
-        placed = pin(_blocks(_angles(whole, choose_pivots(sample, pivots)), block_rows))
-        each = placed.select("block", F.posexplode("angles").alias("k", "angle")).groupBy("block", "k").agg(F.min("angle").alias("low"), F.max("angle").alias("high"))
-        summaries = each.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("k", "low", "high"))).alias("s")).selectExpr("block", "s.low AS low", "s.high AS high")
-        summaries, placed = pin(summaries), placed.select(ENTITY, "block")
-        met = _meeting(summaries, angle)
+        far = choose_pivots(sample, pivots)
+        placed = pin(_blocks(_angles(whole, far), block_rows))
+        summaries = pin(_bounds(placed.select("block", F.col("angles").alias("low"), F.col("angles").alias("high")), "block"))
+        placed = placed.select(ENTITY, "block")
     else:
+        far = sample
         placed = spark.createDataFrame([], f"{ENTITY} string, block string")
-        met = spark.createDataFrame([], "block string, other string")
+        summaries = spark.createDataFrame([], "block string, low array<double>, high array<double>")
     gaps = rows.where("NOT _whole") if some else rows
     parts = max(1, -(-gaps.count() // int(block_rows)))
     gaps = gaps.select(ENTITY, F.concat(F.lit("gaps:"), F.pmod(F.xxhash64(ENTITY), F.lit(parts)).cast("string")).alias("block"))
     every = pin(placed.unionByName(gaps))
-    # Few rows: one per block.
-    numbers = pin(every.select("block").distinct().select("block", F.row_number().over(Window.orderBy("block")).alias("number")))
-    listed = numbers.agg(F.collect_list("block").alias("all"))
-    with_gaps = numbers.where("block LIKE 'gaps:%'").crossJoin(listed).select("block", F.explode("all").alias("other"))
-    pairs = met.union(with_gaps.select(F.least("block", "other").alias("block"), F.greatest("block", "other").alias("other"))).distinct()
-    numbered = pairs.join(numbers, "block").withColumnRenamed("number", "_i").join(numbers.select(F.col("block").alias("other"), F.col("number").alias("_j")), "other")
-    numbered = pin(numbered.select(F.least("_i", "_j").alias("_i"), F.greatest("_i", "_j").alias("_j")))
+    band_rows = network.rows_per_block(rows, every.count(), block_rows)
+    numbers = pin(_bands(every.groupBy("block").agg(F.count(F.lit(1)).alias("rows")), band_rows))
+    # Pairs of bands: no more than a few dozen bands until a band fills a task.
+    of_band = _bounds(summaries.join(numbers, "block").select(F.col("band").alias("block"), "low", "high"), "block")
+    bands = numbers.select("band", "bound").distinct()
+    with_gaps = bands.where("NOT bound").select("band").crossJoin(bands.select(F.col("band").alias("other")))
+    numbered = pin(_meeting(of_band, angle).union(with_gaps).select(F.least("block", "other").alias("_i"), F.greatest("block", "other").alias("_j")).distinct())
     ends = numbered.select("_i", "_j", F.explode(F.array_distinct(F.array("_i", "_j"))).alias("_own"))
-    sent = every.join(numbers, "block").select(ENTITY, F.col("number").alias("_own")).join(rows.select(ENTITY, "steps", "deltas"), ENTITY).join(ends, "_own")
-    kernel = network.block_kernel(max(2, int(min_pairs)), float(threshold), sums=False)
-    found = sent.select("_i", "_j", "_own", ENTITY, "steps", "deltas").groupBy("_i", "_j").applyInArrow(kernel, network.PAIR_SCHEMA)
+    dealt = every.join(numbers.select("block", F.col("part").alias("_part"), F.col("bound").alias("_bound"), F.col("band").alias("_own")), "block")
+    sent = dealt.join(rows.select(ENTITY, "steps", "deltas"), ENTITY).join(F.broadcast(ends), "_own")
+    kernel = network.block_kernel(max(2, int(min_pairs)), float(threshold), sums=False, parted=(far, angle))
+    found = sent.select("_i", "_j", "_own", "_part", "_bound", ENTITY, "steps", "deltas").groupBy("_i", "_j").applyInArrow(kernel, network.PAIR_SCHEMA)
+    # What the bounds part, by blocks: counted when the report is read.
+    free = F.count_if(~F.col("bound"))
+    counted = numbers.agg(F.count(F.lit(1)).alias("blocks"), free.alias("with_gaps"))
+    parted = _meeting(summaries, angle).agg(F.count(F.lit(1)).alias("met"))
+    compared = F.col("met") + F.col("with_gaps") * (F.col("blocks") - F.col("with_gaps")) + F.floor(F.col("with_gaps") * (F.col("with_gaps") + 1) / 2)
     blocks = F.col("blocks")
-    report = numbers.agg(F.count(F.lit(1)).alias("blocks"), F.count_if(F.col("block").startswith("gaps:")).alias("with_gaps")).crossJoin(numbered.agg(F.count(F.lit(1)).alias("compared")))
-    report = report.select("blocks", "with_gaps", F.floor(blocks * (blocks + 1) / 2).alias("block_pairs"), "compared")
+    report = counted.crossJoin(parted).select("blocks", "with_gaps", F.floor(blocks * (blocks + 1) / 2).alias("block_pairs"), compared.alias("compared"))
     return network.pair_table(found), report.withColumn("skipped_share", F.round(1 - F.try_divide(F.col("compared"), F.col("block_pairs")), 4))
